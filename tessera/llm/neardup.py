@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,6 +38,8 @@ from tessera.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 _SLICE = 1 << 16
+RARE = 24  # a shingle is rare up to so many occurrences above the mean load of the sketch's cells
+BUCKETS = 1 << 20  # bits of the filter that spares the comparison step most of the texts
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -148,7 +151,7 @@ def _members(key: str, text: str, width: int, least_words: int, cells: int):
         for at in range(0, cells, _SLICE):
             part = sketch[at : at + _SLICE]
             if part.any():
-                blob = np.minimum(part, 0xFFFF).astype(np.uint16).tobytes()
+                blob = zlib.compress(np.minimum(part, 0xFFFF).astype(np.uint16).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([at // _SLICE], pa.int32()), pa.array([blob], pa.binary())],
                     names=names,
@@ -160,7 +163,7 @@ def _members(key: str, text: str, width: int, least_words: int, cells: int):
 def _add_slices(table: pa.Table) -> pa.Table:
     total = np.zeros(_SLICE, dtype=np.int64)
     for blob in table.column("counts").to_pylist():
-        part = np.frombuffer(blob, dtype=np.uint16)
+        part = np.frombuffer(zlib.decompress(blob), dtype=np.uint16)
         total[: len(part)] += part
     blob = np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary())})
@@ -169,7 +172,7 @@ def _add_slices(table: pa.Table) -> pa.Table:
 def _keys(width: int, least_words: int, threshold: float, cells: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        rare = int(counts.mean()) + 8
+        rare = int(counts.mean()) + RARE
         seen: set[int] = set()
         for batch in batches:
             _, offsets, shingles = shingle_sets(batch.column(1).to_pylist(), width, least_words)
@@ -207,10 +210,14 @@ def _keys(width: int, least_words: int, threshold: float, cells: int, sketch):
     return run
 
 
-def _sets(width: int, least_words: int):
+def _sets(width: int, least_words: int, wanted):
+    """Shingle sets of the texts whose key falls in a wanted bucket; texts beside those cost no shingling."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            _, offsets, shingles = shingle_sets(batch.column(1).to_pylist(), width, least_words)
+            batch = batch.filter(pa.array(bits[batch.column(1).to_numpy(zero_copy_only=False)]))
+            _, offsets, shingles = shingle_sets(batch.column(0).to_pylist(), width, least_words)
             blobs = [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(offsets, shingles), pa.int64()), pa.array(blobs, pa.binary())], names=["cls", "shingles"])
 
@@ -274,11 +281,15 @@ def similar_classes(
     candidates = cut(candidates)
     representatives = members.groupBy("cls").agg(F.min("key").alias("key"))
     involved = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    wanted = involved.join(representatives, "cls").select("key")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    wanted = involved.join(representatives, "cls").select(bucket.alias("bucket"))
+    words = wanted.groupBy(F.floor(F.col("bucket") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bucket, 32) as int)))").alias("bits"))
+    bits = np.zeros(BUCKETS, dtype=bool)
+    for word, held in words.collect():  # BUCKETS / 32 rows at most, whatever the data
+        bits[word * 32 : word * 32 + 32] = (held >> np.arange(32)) & 1
     sets = (
-        narrow.join(wanted, "key", "left_semi")
-        .select("key", "text")
-        .mapInArrow(_sets(width, least_words), "cls long, shingles binary")
+        narrow.select("text", bucket.alias("bucket"))
+        .mapInArrow(_sets(width, least_words, spark.sparkContext.broadcast(bits)), "cls long, shingles binary")
         .groupBy("cls")
         .agg(F.first("shingles").alias("shingles"))
     )
