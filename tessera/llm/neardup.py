@@ -4,12 +4,13 @@ A record is the set of its word shingles (hashed to 64 bits). Records with the s
 class; the join runs between classes, their members are attached afterwards.
 
 Method. All shingles have one global order, rarest first. If two sets have a Jaccard similarity of
-at least t, their prefixes of |x| - ceil(t |x|) + k shingles share at least k shingles. Shingles are
-rare or frequent by a count sketch over all records. The index holds each rare shingle of a prefix
-singly and each combination of k = 2 frequent ones; a similar pair shares a rare single or, if all
-that it shares is frequent, a combination. Pairs that share a key pass the length filter and a
-parity bitmap (the symmetric difference is at least the distance of the bitmaps), then the sets
-themselves are compared. No bound is set on partners or candidates, and no link is lost.
+at least t, their prefixes of |x| - ceil(t |x|) + k shingles share at least k shingles; k is 2 and one
+more for every 32 shingles of the smaller set. Shingles are rare or frequent by a count sketch over
+all records. The index holds each rare shingle of a prefix singly and each combination of two
+frequent ones; a similar pair shares s singles and f frequent ones with s + f >= k, so at least
+k - 1 keys. Pairs that share so many and pass the length filter and a parity bitmap (the symmetric
+difference is at least the distance of the bitmaps) have their sets compared. No bound is set on
+partners or candidates, and no link is lost.
 
 The sketch has a fixed number of cells; its size, not the data's, is what the driver gathers and
 broadcasts. It only decides the order and the classes, so too few cells cost time, never links.
@@ -39,6 +40,7 @@ from tessera.session import cut
 _WORD = re.compile(r"[^\W_]+")
 _SLICE = 1 << 16
 RARE = 24  # a shingle is rare up to so many occurrences above the mean load of the sketch's cells
+STEP = 32  # a similar pair must share one key more for every so many shingles of the smaller set
 BUCKETS = 1 << 20  # bits of the filter that spares the comparison step most of the texts
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -103,9 +105,10 @@ def parity_bitmaps(offsets: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarra
     return words[:, 0].copy(), words[:, 1].copy()
 
 
-def prefix_keys(shingles: np.ndarray, counts: np.ndarray, rare: int, threshold: float, k: int = 2) -> np.ndarray:
+def prefix_keys(shingles: np.ndarray, counts: np.ndarray, rare: int, threshold: float) -> np.ndarray:
     """Index keys of one set: rare shingles of its extended prefix, pairs of frequent ones."""
     n = len(shingles)
+    k = 2 + n // STEP
     need = math.ceil(threshold * n - 1e-9)
     if need < k:
         return shingles
@@ -275,8 +278,10 @@ def similar_classes(
         .where(F.col("cls") < F.col("cls_b"))
         .where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9))
         .where(F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) <= total - 2 * least_overlap)
-        .select(F.col("cls").alias("cls_a"), F.col("cls_b"))
-        .distinct()
+        .groupBy(F.col("cls").alias("cls_a"), "cls_b")
+        .agg(F.count("*").alias("n_keys"), F.min(F.least("n", "n_b")).alias("n"))
+        .where(F.col("n_keys") >= 1 + F.floor(F.col("n") / STEP))
+        .select("cls_a", "cls_b")
     )
     candidates = cut(candidates)
     representatives = members.groupBy("cls").agg(F.min("key").alias("key"))
