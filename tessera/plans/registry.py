@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines"]
+MODULES = ["lines", "text"]
 
 
 def _gather(attribute: str) -> dict:
