@@ -135,7 +135,7 @@ def strip_front_matter(text: Column) -> Column:
     return F.when(text.startswith("---\n") & (end > 0), rest).otherwise(text)
 
 
-def remove_decorative_images(text: Column, hints: tuple[str, ...] = ("logo", "banner", "icon", "avatar", "decoration", "spacer")) -> Column:
+def remove_decorative_images(text: Column, hints: tuple[str, ...] = ("logo", "icon", "bullet", "separator", "decoration", "bg_")) -> Column:
     """Images without alternative text whose source carries one of the hints; long runs of line ends shrink to two."""
     bare = F.regexp_replace(text, rf"(?i)!\[\]\([^)]*(?:{'|'.join(hints)})[^)]*\)", "")
     return F.regexp_replace(bare, r"\n{3,}", "\n\n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text"]
+MODULES = ["lines", "text", "audit"]
 
 
 def _gather(attribute: str) -> dict:

@@ -227,7 +227,7 @@ select chunk_id, max(length(regexp_replace(regexp_replace(content, '\$\$\s*\$\$'
 from chunks where content is not null and chunk_type = 'text' group by chunk_id""",
     "scl_images": r"""
 select chunk_id, max(len(regexp_extract_all(content, '!\[[^\]]*\]\([^)]*\)'))) as n_images, max(len(regexp_extract_all(content, '!\[\]\([^)]*\)'))) as n_bare,
-    max(length(regexp_replace(regexp_replace(content, '(?i)!\[\]\([^)]*(?:logo|banner|icon|avatar|decoration|spacer)[^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as n_left
+    max(length(regexp_replace(regexp_replace(content, '(?i)!\[\]\([^)]*(?:logo|icon|bullet|separator|decoration|bg_)[^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as n_left
 from chunks where content is not null group by chunk_id""",
     "scl_reply": rf"""
 select chunk_id, max(length({S.strip("regexp_replace(regexp_replace(" + S.strip("regexp_replace(content, '(?s)<think>.*?</think>', '', 'g')") + ", '^```[A-Za-z]*[[:space:]]*', ''), '[[:space:]]?```$', '')")})) as n_left
