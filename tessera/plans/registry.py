@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text", "audit"]
+MODULES = ["lines", "text", "audit", "layers"]
 
 
 def _gather(attribute: str) -> dict:
