@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text", "audit", "layers"]
+MODULES = ["lines", "text", "audit", "layers", "chunking"]
 
 
 def _gather(attribute: str) -> dict:
