@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
+from tessera.plans import _sql as S
 from tessera.session import read
 
 
@@ -31,4 +32,12 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"corpus_summary": corpus_summary}
-SQL: dict[str, str] = {}
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{30FF}\x{F900}-\x{FAFF}]"
+SQL = {
+    "corpus_summary": rf"""
+with {S.lines('documents', 'doc_id')}, l as (select l.doc_id, coalesce(source, 'unknown') as source, {S.strip('line')} as line from lines l join documents d on d.doc_id = l.doc_id),
+h as (select doc_id, line from l where length(line) > 0 and length(line) < 60 and regexp_matches(line, '[\p{{L}}\p{{N}}]') group by 1, 2 having count(*) >= 4),
+k as (select l.* from l where not exists (select 1 from h where h.doc_id = l.doc_id and h.line = l.line)),
+t as (select source, length(line) as n, length(line) - length(regexp_replace(line, '{CJK}', '', 'g')) as cjk from k)
+select source, count(*) as n_lines, sum(cjk + (n - cjk) // 4)::bigint as n_tokens from t group by 1"""
+}

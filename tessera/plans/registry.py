@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors"]
+MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors", "packages"]
 
 
 def _gather(attribute: str) -> dict:
