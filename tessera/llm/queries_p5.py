@@ -27,3 +27,16 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
+
+SQL = {
+    "p5_found": r"""
+with t as (
+    select chunk_id as record_id, 'content' as field_name, content as text from chunks where chunk_type = 'text' and content is not null
+    union all select doc_id, 'title', title from package_metadata where title is not null)
+select distinct record_id, field_name from t
+where nfc_normalize(text) <> text or regexp_matches(text, '[０-９Ａ-Ｚａ-ｚ]') or regexp_matches(text, '\p{Cf}')
+   or regexp_matches(text, '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]')
+   or len(list_filter(regexp_extract_all(regexp_replace(text, '\p{Cf}', '', 'g'), '\p{L}+'), lambda w:
+        regexp_matches(w, '\p{Latin}') and regexp_matches(w, '[\p{Greek}\p{Cyrillic}]')
+        and not regexp_matches(regexp_replace(w, '[АВЕКМНОРСТУХаеорсухкѕіјһԁԛԝІЈЅҮԌΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικγτχω]', '', 'g'), '[^\p{Latin}]'))) > 0"""
+}
