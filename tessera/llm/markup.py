@@ -38,10 +38,10 @@ SUSPECT = (
     r"[<>&\\`|\[\]{}~^$]|--|==|''|\*\S|\S\*|_\S[^\n]*_|(?m)^\s*(?:[-+*#>;!=]|\d{1,3}[.)])\s*\S"
 )
 
-_LITERAL_PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s,;]*|\\\\[\w.-]+(?:\\[\w.-]+)+")
+_LITERAL_PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s,;]*|\\\\[\w.-]++(?:\\[\w.-]++)++")
 
 _RULES: list[tuple[str, re.Pattern]] = [
-    ("html_comment", re.compile(r"<!--.*?-->|<!--|-->", re.S)),
+    ("html_comment", re.compile(r"<!--|-->")),
     ("html_tag", re.compile(rf"</?(?:{_NAMES})(?:\s+[^<>]*|\s*)/?>|<!doctype[^>]*>", re.I)),
     ("html_damaged", re.compile(rf"<(?:{_NAMES})\s+[\w:-]+\s*=|</(?:{_NAMES})\b", re.I)),
     ("html_entity", re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")),
@@ -51,7 +51,7 @@ _RULES: list[tuple[str, re.Pattern]] = [
     ("md_rule", re.compile(r"^[ ]{0,3}(?:={3,}|-{3,}|\*{3,}|_{3,})[ \t]*$", re.M)),
     ("md_list", re.compile(r"^[ \t]*[-*+][ \t]+(?!\d+[ \t]*-[ \t]*$)\S", re.M)),
     ("md_quote", re.compile(r"^>[ \t]?\S", re.M)),
-    ("md_table", re.compile(r"^[ \t]*\|[^\n]*\|[ \t]*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$", re.M)),
+    ("md_table", re.compile(r"^[ \t]*\|[^\n]*\|[ \t]*$|^[ \t]*+\|?+[ \t]*+:?-{3,}:?[ \t]*\|[-:| \t]*$", re.M)),
     ("md_code", re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
     ("md_emphasis", re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])[^*\n]*?(?<=[^\s*])\1(?![\w*])|(?<!\w)(_{1,3})(?=[^\s_])[^_\n]*?(?<=[^\s_])\2(?!\w)")),
     ("md_strike", re.compile(r"~~(?=\S)[^~\n]+~~")),
@@ -170,10 +170,10 @@ def _table_rows(body: str) -> str:
 
 
 def _html(text: str) -> str:
-    text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
+    text = re.sub(r"<!--(?:(?!<!--|-->).)*-->", "", text, flags=re.S)
     text = re.sub(r"<!--|-->", "", text)
-    text = re.sub(r"<(script|style)\b.*?</\1\s*>", "", text, flags=re.S | re.I)
-    text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>", "", text, flags=re.S | re.I)
+    text = re.sub(r"<(script|style)\b(?:(?!<\1\b).)*?</\1\s*>", "", text, flags=re.S | re.I)
+    text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!<ref\b).)*?</ref\s*>", "", text, flags=re.S | re.I)
     text = re.sub(r"<h([1-6])\b[^<>]*>", lambda m: "\n\n" + "#" * int(m[1]) + " ", text, flags=re.I)
     text = re.sub(r"<li\b[^<>]*>\s*", "\n- ", text, flags=re.I)
     text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", text, flags=re.I)
@@ -187,7 +187,7 @@ def _html(text: str) -> str:
 
 def _wiki(text: str) -> str:
     text = re.sub(r"__[A-Z]{3,}__\n?", "", text)
-    text = re.sub(r"^\{\|[^\n]*\n(.*?)^\|\}", lambda m: _table_rows(m[1]), text, flags=re.M | re.S)
+    text = re.sub(r"^\{\|[^\n]*\n((?:(?!^\{\|).)*?)^\|\}", lambda m: _table_rows(m[1]), text, flags=re.M | re.S)
     for _ in range(8):
         new = re.sub(r"\{\{([^{}]*)\}\}", lambda m: " ".join(p for p in m[1].split("|")[1:] if "=" not in p), text)
         if new == text:
@@ -209,7 +209,7 @@ def _latex(text: str) -> str:
     text = re.sub(r"\\begin\{tabular\*?\}(?:\{[^{}]*\})?|\\(?:begin|end)\{\w+\*?\}(?:\[[^\]]*\])?", "", text)
     text = re.sub(r"\\hline\b[ \t]*\n?", "", text)
     text = re.sub(r"\\item\b[ \t]*", "- ", text)
-    text = re.sub(r"[ \t]+&[ \t]+([^\n&]*?)[ \t]*\\\\[ \t]*$", r" | \1", text, flags=re.M)
+    text = re.sub(r"(?<![ \t])[ \t]++&[ \t]+([^\n&]*?)[ \t]*\\\\[ \t]*$", r" | \1", text, flags=re.M)
     text = re.sub(r"~?\\(?:cite[tp]?|ref|label|eqref|pageref|tag)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
     for _ in range(8):
         new = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
@@ -228,7 +228,7 @@ def _markdown(text: str) -> str:
     text = re.sub(r"\[\^[^\[\]\n]+\]", "", text)
     text = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)", r"\1", text)
     text = re.sub(r"(?<![\w\]])\[(?!\d+\])([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", text)
-    text = re.sub(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*\n?", "", text, flags=re.M)
+    text = re.sub(r"^[ \t]*+\|?+[ \t]*+:?-{3,}:?[ \t]*\|[-:| \t]*\n?", "", text, flags=re.M)
     text = re.sub(r"^[ \t]*\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", r"\1", text, flags=re.M)
     text = re.sub(r"^[ \t]*[-*+][ \t]+(?:\[[ xX]\][ \t]+)?(?!\d+[ \t]*-[ \t]*$)", "- ", text, flags=re.M)
     text = re.sub(r"^>[ \t]?", "", text, flags=re.M)

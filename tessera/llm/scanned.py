@@ -107,7 +107,7 @@ def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
             drop.add(i)
             found.add("page_number")
     out: list[str] = []
-    paragraph = ""
+    paragraph: list[str] = []  # its lines, each with the space before it
     page_break = blank = False
     for i, line in enumerate(lines):
         if i in drop:
@@ -116,25 +116,25 @@ def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
         if not line:
             blank = True
             continue
-        if paragraph and (not blank or page_break):
-            broken = _BROKEN.search(paragraph)
-            following = _LOWER_WORD.match(line)
-            if broken and following and line[0].islower() and following[1] not in _CONJUNCTIONS:
+        structure = bool(_STRUCTURE.match(line))
+        if paragraph:
+            last = paragraph[-1]
+            broken = _BROKEN.search(last, max(0, len(last) - 64)) if not blank or page_break else None
+            if broken and line[0].islower() and _LOWER_WORD.match(line)[1] not in _CONJUNCTIONS:
                 found.add("hyphenation")
-                paragraph = paragraph[: broken.end(1)] + line
+                paragraph[-1] = last[: broken.end(1)]
+                paragraph.append(line)
                 page_break = blank = False
                 continue
-        if paragraph and not _STRUCTURE.match(line) and not paragraph.startswith("#"):
-            if not blank or (page_break and paragraph[-1] not in ".!?…:。！？»”\""):
-                paragraph += " " + line
+            if not structure and not paragraph[0].startswith("#") and (not blank or (page_break and last[-1] not in ".!?…:。！？»”\"")):
+                paragraph.append(" " + line)
                 page_break = blank = False
                 continue
-        if paragraph:
-            out.append(paragraph)
-            out.append("\n" if not blank and _STRUCTURE.match(line) else "\n\n")
-        paragraph = line
+            out.append("".join(paragraph))
+            out.append("\n" if not blank and structure else "\n\n")
+        paragraph = [line]
         page_break = blank = False
-    out.append(paragraph)
+    out.append("".join(paragraph))
     return "".join(out), found
 
 
