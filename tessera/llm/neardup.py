@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import sketch as S
 from tessera.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
-_SLICE = 1 << 16
 RARE = 24  # a shingle is rare up to so many occurrences above the mean load of the sketch's cells
 STEP = 32  # a similar pair must share one key more for every so many shingles of the smaller set
 BUCKETS = 1 << 20  # bits of the filter that spares the comparison step most of the texts
@@ -151,27 +150,14 @@ def _members(key: str, text: str, width: int, least_words: int, cells: int):
                     ],
                     names=names,
                 )
-        for at in range(0, cells, _SLICE):
-            part = sketch[at : at + _SLICE]
-            if part.any():
-                blob = zlib.compress(np.minimum(part, 0xFFFF).astype(np.uint16).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([at // _SLICE], pa.int32()), pa.array([blob], pa.binary())],
-                    names=names,
-                )
+        for number, blob in S.slices(sketch):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=names
+            )
 
     return run
 
 
-def _add_slices(table: pa.Table) -> pa.Table:
-    total = np.zeros(_SLICE, dtype=np.int64)
-    for blob in table.column("counts").to_pylist():
-        part = np.frombuffer(zlib.decompress(blob), dtype=np.uint16)
-        total[: len(part)] += part
-    blob = np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary())})
-
-
 def _keys(width: int, least_words: int, threshold: float, cells: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -259,11 +245,7 @@ def similar_classes(
     narrow = records.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     gathered = cut(narrow.mapInArrow(_members("key", "text", width, least_words, cells), "key string, cls long, n int, slice int, counts binary"))
     members = gathered.where("key is not null").select("key", "cls", "n").distinct()
-    slices = gathered.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary")
-    sketch = np.zeros(cells, dtype=np.uint16)
-    for row in slices.collect():  # cells / _SLICE rows at most, whatever the data
-        part = np.frombuffer(row["counts"], dtype=np.uint16)
-        sketch[row["slice"] * _SLICE : row["slice"] * _SLICE + len(part)] = part
+    sketch = S.gather(gathered.where("slice is not null").select("slice", "counts"), cells)
     shared = spark.sparkContext.broadcast(sketch)
 
     keys = narrow.mapInArrow(

@@ -39,5 +39,6 @@ def gather(parts: DataFrame, cells: int) -> np.ndarray:
     sketch = np.zeros(cells, dtype=np.uint32)
     for row in parts.groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():
         part = np.frombuffer(row["counts"], dtype=np.uint32)
-        sketch[row["slice"] * SLICE : row["slice"] * SLICE + len(part)] = part
+        at = row["slice"] * SLICE
+        sketch[at : at + SLICE] = part[: cells - at]
     return sketch
