@@ -35,11 +35,11 @@ def live_headings(marks: DataFrame, key: str) -> DataFrame:
     last = [F.last(F.when(F.col("level") == n, F.col("line_no")), ignorenulls=True).over(upto) for n in range(1, 7)]
     df = marks.select("*", *(c.alias(f"at{n}") for n, c in enumerate(last, 1)))
     live: list[Column] = []
-    newest: Column = F.lit(0).cast("long")
+    newest: Column = F.lit(-1).cast("long")
     for n in range(1, 7):
         at = F.col(f"at{n}")
         live.append(F.when((F.col("level") >= n) & (at > newest), at))
-        newest = F.greatest(newest, F.coalesce(at, F.lit(0)))
+        newest = F.greatest(newest, F.coalesce(at, F.lit(-1)))
     return df.select(*marks.columns, F.array_compact(F.array(*live)).alias("stack"))
 
 

@@ -157,6 +157,7 @@ def search_lists(queries: DataFrame, rows: DataFrame, k: int = 10, n_centres: in
     probed = assign_lists(queries, centres, probes).select("list_no", F.col("id").alias("query_id"), F.col("vector").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     near = probed.join(inverted, "list_no")
-    score = F.round(dot("q", "r") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("r", "r"))), 4)
+    lengths = F.sqrt(dot("q", "q")) * F.sqrt(dot("r", "r"))
+    score = F.round(F.try_divide(dot("q", "r"), lengths), 4)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return near.select("query_id", "row_id", score.alias("score")).withColumn("place", place).where(F.col("place") <= k)
+    return near.select("query_id", "row_id", score.alias("score")).where("score is not null").withColumn("place", place).where(F.col("place") <= k)
