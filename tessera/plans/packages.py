@@ -86,7 +86,8 @@ def src_doc_info(spark, d):
 def cls_documents(spark, d):
     """CLS-01, CLS-02, AGG-06: type of every report's document by file stem and first pages."""
     r = R.reports(spark, d)
-    docs = r.select(F.col("report_id").alias("doc_id"), F.try_element_at("metadata", F.lit("stem")).alias("name"), F.substring("text", 1, 10000).alias("sample"), F.col("page_count").alias("pages"))
+    first_pages = F.array_join(F.slice(T.split_lines(F.col("text")), 1, 5 * 40), "\n")  # the classifier looks at five pages, here of 40 lines
+    docs = r.select(F.col("report_id").alias("doc_id"), F.try_element_at("metadata", F.lit("stem")).alias("name"), first_pages.alias("sample"), F.col("page_count").alias("pages"))
     return K.classify(docs)
 
 
@@ -172,7 +173,8 @@ v as (select case when h % 5 = 0 then 'x' || slug else slug end as slug, case wh
 select coalesce(h.slug, v.slug) as slug, case when h.slug is null then 'keep' when v.slug is null then 'copy' when h.hash = v.hash then 'skip' else 'conflict' end as action from h full join v on v.slug = h.slug""",
     "src_known": f"with {S.REPORTS} select report_id, doc_id from reports where doc_id is not null and doc_id not in (select doc_id from package_metadata where doc_id < '8')",
     "src_doc_info": "with e as (select report_id, any_value(doc_id) as doc_id, max(page_count) as p, max(table_count) as t, max(image_count) as i from extract_reports where doc_id is not null group by 1) select doc_id, coalesce(max(p), 0) as pages, max(t) as tables, max(i) as images, count(*) as runs from e group by 1",
-    "cls_documents": rf"""with {S.REPORTS}, f as (select report_id as doc_id, lower(coalesce(metadata['stem'], '')) as name, substr(text, 1, 10000) as sample, coalesce(page_count, 0) as pages from reports),
+    "cls_documents": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, five as (select report_id, string_agg(line, chr(10) order by line_no) as sample from lines where line_no <= 200 group by 1),
+f as (select r.report_id as doc_id, lower(coalesce(metadata['stem'], '')) as name, coalesce(sample, '') as sample, coalesce(page_count, 0) as pages from reports r left join five on five.report_id = r.report_id),
 g as (select *, regexp_matches(sample, '(?i)\$[^$]+\$|\\frac|\\sum|\\int|\\begin\{{equation|\\begin\{{align') as formulas, regexp_matches(sample, '(?m)^\|.+\|$') as tables,
     len(regexp_extract_all(sample, '[\x{{4E00}}-\x{{9FFF}}]')) as cjk, len(regexp_extract_all(sample, '[A-Za-z]')) as latin from f),
 h as (select *, {', '.join(f"{'+'.join(f'contains(name, {w!r})::int' for w in words)} as h{k}" for k, words in enumerate(K.KEYWORDS.values()))} from g),
