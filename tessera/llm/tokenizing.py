@@ -4,7 +4,7 @@ Each pre-token's bytes form a doubly linked list of symbols; a priority queue ho
 possible merges; the lowest is taken, entries whose symbols have changed since are stale and are
 skipped. Decoding concatenates the vocabulary's byte strings.
 
-Defined results: null text gives a null list, empty text an empty list; blank text is ordinary text;
+Defined results: null and empty texts give an empty list; blank text is ordinary text;
 strings of special tokens in a text are ordinary text. Repeated rows give repeated rows. Other
 columns of the input are not read.
 """
@@ -118,16 +118,11 @@ def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            offsets, flat, total = [0], [], 0
-            empty = []
+            offsets, flat = [0], []
             for value in batch.column(1).to_pylist():
-                if value is not None:
-                    ids = encode(value)
-                    flat.extend(ids)
-                    total += len(ids)
-                empty.append(value is None)
-                offsets.append(total)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(empty))
+                flat.extend(encode(value or ""))
+                offsets.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
     return narrow.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
