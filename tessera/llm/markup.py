@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 # Element names of HTML and of references in wiki text.
 ELEMENTS = (
     "a abbr article aside b blockquote body br button caption center cite code col colgroup dd del details div dl dt em "
@@ -265,14 +267,15 @@ def clean(text: str, drop: frozenset[str] | set[str] = frozenset()) -> str:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strings = pa.list_(pa.string())
     for batch in batches:
-        found, hashes, cleaned = [], [], []
+        found, hashes, cleaned, source = [], [], [], []
         for text in batch.column(3).to_pylist():
             kind = kinds(text)
             found.append(kind)
             hashes.append(sorted({h for _, _, h in subtrees(text)}) if kind else [])
             cleaned.append(clean(text) if kind else text)
+            source.append(text if hashes[-1] else None)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(found, strings), pa.array(hashes, strings), pa.array(cleaned, pa.string())],
+            [*batch.columns[:3], pa.array(source, pa.string()), pa.array(found, strings), pa.array(hashes, strings), pa.array(cleaned, pa.string())],
             names=["record_id", "field_name", "host", "text", "kinds", "hashes", "clean"],
         )
 
@@ -312,9 +315,11 @@ def clean_texts(texts: DataFrame, least_pages: int = 5, least_share: float = 0.2
     character reach Python, the others are clean as they are.
     """
     texts = texts.select("record_id", "field_name", F.coalesce("host", F.lit("")).alias("host"), "text").where(F.col("text").isNotNull())
-    parsed = texts.where(F.col("text").rlike(SUSPECT)).mapInArrow(
-        _parse,
-        "record_id string, field_name string, host string, text string, kinds array<string>, hashes array<string>, clean string",
+    parsed = cut(
+        texts.where(F.col("text").rlike(SUSPECT)).mapInArrow(
+            _parse,
+            "record_id string, field_name string, host string, text string, kinds array<string>, hashes array<string>, clean string",
+        )
     )
     templates = template_subtrees(parsed, texts.select("host", "record_id"), least_pages, least_share)
     to_drop = (
