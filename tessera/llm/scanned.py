@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import sketch as S
+from tessera.llm.lookalikes import plain_form
 from tessera.session import cut
 
 # Letters as printed and the basic Latin signs of similar shape they are read as.
@@ -47,6 +48,7 @@ HYPHENS = "-‐‑¬­"
 # Words that continue a suspended hyphen.
 _CONJUNCTIONS = {"and", "or", "to", "und", "oder", "bis", "bzw", "et", "ou", "y", "e", "o", "u", "ni"}
 _LINE_END = re.compile("\r\n|[\n\r\x0b\x0c]")
+_ODD = re.compile("[\u0300-\u036f\u200b-\u200f\u2060\ufeff\uff10-\uff5a\u00a0\u2000-\u200a\u202f]")
 _PAGE = re.compile(
     r"\d{1,4}|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}\s*/\s*\d{1,4}|[ivxl]{1,7}|[IVXL]{2,7}"
     r"|(?:p|pp|pg|S|pág|Pag|стр)\.\s*\d{1,4}|(?:page|seite|página|pagina|страница)\s+\d{1,4}(?:\s*(?:of|von|sur|de|из|/)\s*\d{1,4})?"
@@ -75,6 +77,8 @@ def _title_key(title: str | None) -> str:
 def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
     """Continuous paragraphs without headers, page numbers and broken words, and the defects that were there."""
     found: set[str] = set()
+    if _ODD.search(text):  # look-alike forms are no misreading
+        text = plain_form(text.replace("\u00ad\n", "-\n").replace("\u00ad\r", "-\r"))[0]
     lines = [line.strip() for line in _LINE_END.split(text)]
     if len(lines) < 2:
         return text, found
