@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # CJK ranges of the token estimate.
 CJK_CLASS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{30FF}\x{F900}-\x{FAFF}]"
 TAG = r"<[^>]+>"
+# Fixed value: the characters with the property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # One line splitter for every operator: all line ends that Unicode text may carry.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -36,7 +38,7 @@ def split_lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only U+0020."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 # --- tables ------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
+from tessera.session import cut
 
 
 def table_blocks(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
@@ -46,9 +47,10 @@ def live_headings(marks: DataFrame, key: str) -> DataFrame:
 def heading_paths(marks: DataFrame, key: str) -> DataFrame:
     """Adds ``path``: the titles of the open headings, equal siblings told apart by #2, #3 and so on.
 
-    Siblings are counted under their parent's path as written, so one pass for each depth.
+    Siblings are counted under their parent's path as written, so one pass for each depth over the headings, which are
+    written once before.
     """
-    stacked = live_headings(marks, key).withColumn("depth", F.size("stack")).withColumn("parent", F.when(F.size("stack") > 1, F.get("stack", F.size("stack") - 2)))
+    stacked = cut(live_headings(marks, key)).withColumn("depth", F.size("stack")).withColumn("parent", F.when(F.size("stack") > 1, F.get("stack", F.size("stack") - 2)))
     done: DataFrame | None = None
     above: DataFrame | None = None
     for depth in range(1, 7):
