@@ -9,7 +9,8 @@ decides, with the counts of both; where several words remain, the neighbours' bi
 
 Fixed bounds, documented: words have 3 to 40 signs; a lexicon word occurs at least three times; a
 form of letters alone may be at most as frequent as misreading explains (1 % of the word's count and
-three deviations). Bigrams are counted in a sketch of fixed size.
+three deviations); a sign at an edge belongs to the word unless what is inside stands alone more than
+a quarter as often. Bigrams are counted in a sketch of fixed size.
 
 Defined results: null texts give no row; empty texts have no defect; a text without title has no
 running header; repeated rows give the same finding again. Other columns are not read.
@@ -198,7 +199,7 @@ def _bigram_cells(words: list[str]) -> np.ndarray:
 
 
 def _count_words(bigrams: bool):
-    names = ["word", "n", "slice", "counts"]
+    names = ["word", "n", "alone", "slice", "counts"]
 
     def rows(counted: Counter) -> pa.RecordBatch:
         forms: Counter = Counter()
@@ -209,8 +210,10 @@ def _count_words(bigrams: bool):
             if bare != token and _WORD_FORM.fullmatch(bare):
                 forms[bare] += n
         k = len(forms)
+        alone = [counted[form] for form in forms]
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(forms), pa.string()), pa.array(list(forms.values()), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+            [pa.array(list(forms), pa.string()), pa.array(list(forms.values()), pa.int64()), pa.array(alone, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+            names=names,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,7 @@ def _count_words(bigrams: bool):
         if bigrams:
             for number, blob in S.slices(cells):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=names
+                    [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=names
                 )
 
     return run
@@ -264,9 +267,9 @@ def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """(seen, word, word_n, cost): what each rare form of ``words`` (word, n) may have been.
+    """(seen, word, word_n, cost): what each rare form of ``words`` (word, n, alone) may have been.
 
-    Forms and lexicon meet by hash keys, so neither is gathered anywhere.
+    ``alone`` counts a form without those that have a sign more at an edge. Forms and lexicon meet by hash keys, so neither is gathered anywhere.
     """
     key_schema = "key long, word string, n long"
     lexicon = words.where((F.col("n") >= 3) & F.col("word").rlike(r"^\p{L}+$"))
@@ -282,11 +285,11 @@ def corrections(words: DataFrame) -> DataFrame:
     )
     found = pairs.mapInArrow(_accept, "seen string, n long, word string, word_n long, cost double")
     bare = F.regexp_replace("seen", r"^[!|(]+|[!|(]+$", "")
-    inner = words.select(F.col("word").alias("bare"), F.col("n").alias("bare_n"))
+    inner = words.select(F.col("word").alias("bare"), F.col("alone").alias("bare_n"))
     return (
         found.withColumn("bare", bare)
         .join(inner, "bare", "left")
-        .where((F.col("bare") == F.col("seen")) | (F.coalesce("bare_n", F.lit(0)) <= 2 * F.col("n")))
+        .where((F.col("bare") == F.col("seen")) | (4 * F.coalesce("bare_n", F.lit(0)) <= F.col("n")))
         .select("seen", "word", "word_n", "cost")
     )
 
@@ -304,7 +307,7 @@ def _defects(common):
                     values.append(None)
                 for token in {*_TOKEN.findall(plain)}:
                     word = token.lower()
-                    if word in usual or word.strip(_STRIP) in usual or _CODE.fullmatch(token.strip(_STRIP)) or not _WORD_FORM.fullmatch(word):
+                    if word in usual or _CODE.fullmatch(token.strip(_STRIP)) or not _WORD_FORM.fullmatch(word):
                         continue
                     ids.append(key)
                     kinds.append("misread")
@@ -321,11 +324,11 @@ class Lexicon:
 
     def __init__(self, texts: DataFrame, bigrams: bool = False, usual: int = 1 << 15) -> None:
         texts = _narrow(texts)
-        counted = texts.mapInArrow(_count_words(bigrams), "word string, n long, slice int, counts binary")
+        counted = texts.mapInArrow(_count_words(bigrams), "word string, n long, alone long, slice int, counts binary")
         if bigrams:
             counted = cut(counted)
             self.bigrams = S.gather(counted.where("slice is not null").select("slice", "counts"), BIGRAM_CELLS)
-        words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+        words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
         self.words = cut(words)
         self.corrections = cut(corrections(self.words))
         regular = self.words.where(F.col("word").rlike(r"^\p{L}+$")).join(self.corrections.select(F.col("seen").alias("word")), "word", "left_anti")

@@ -43,3 +43,12 @@ def test_frame(spark):
     assert repaired["bad"]["repaired"] == "The modern channel carries the elevated filter near the surface." and repaired["bad"]["n_corrected"] == 3
     assert repaired["swap"]["n_corrected"] == 0 and repaired["code"]["n_corrected"] == 0 and repaired["empty"]["repaired"] == ""
     assert O.find_defects(df.limit(0)).count() == 0 and O.repair(df.limit(0)).count() == 0
+
+
+def test_misread_edges(spark):
+    good = "The annual report carries the indexed cover over the lake. " * 30
+    rows = [("end", "The annua| report.", None), ("start", "It (arries the !ndexed cover.", None), ("bracket", "The lake (over the cover) is here.", None)]
+    df = spark.createDataFrame([("ok", good, None), *rows], "record_id string, text string, title string")
+    assert {(r[0], r[1]) for r in O.find_defects(df).collect()} == {("end", "misread"), ("start", "misread")}
+    repaired = {r["record_id"]: r["repaired"] for r in O.repair(df).collect()}
+    assert repaired["end"] == "The annual report." and repaired["start"] == "It carries the indexed cover." and repaired["bracket"] == rows[2][1]
