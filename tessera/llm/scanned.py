@@ -10,7 +10,8 @@ decides, with the counts of both; where several words remain, the neighbours' bi
 Fixed bounds, documented: words have 3 to 40 signs; a lexicon word occurs at least three times; a
 form of letters alone may be at most as frequent as misreading explains (1 % of the word's count and
 three deviations); a sign at an edge belongs to the word unless what is inside stands alone more than
-a quarter as often. Bigrams are counted in a sketch of fixed size.
+a quarter as often. Codes are one to three capitals, digits and at most two more capitals in a row,
+or digits with one sign after them. Bigrams are counted in a sketch of fixed size.
 
 Defined results: null texts give no row; empty texts have no defect; a text without title has no
 running header; repeated rows give the same finding again. Other columns are not read.
@@ -64,7 +65,8 @@ _STRUCTURE = re.compile(r"#{1,6} |[-*+•] |\d{1,3}[.)] |\||```|~~~|>|<|\\")
 _TOKEN = re.compile(r"[!|(]?[^\W_]+(?:[!|(][^\W_]+)*[!|]?")
 _WORD_FORM = re.compile(r"(?=[^a-z]*[a-z])[a-z0-9!|(ß-öø-ɏ]{3,40}")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CODE = re.compile(r"[A-Z]{1,3}\d+\w*|\d+\w?")
+# No code: with a lower-case letter or three capitals in a row after the digits, the lexicon is asked.
+_CODE = re.compile(r"[A-Z]{1,3}\d++(?!\w*(?:[^\W\d_A-Z]|[A-Z]{3}))\w*|\d+\w?")
 _STRIP = "!|("
 
 BIGRAM_CELLS = 1 << 20

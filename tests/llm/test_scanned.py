@@ -52,3 +52,14 @@ def test_misread_edges(spark):
     assert {(r[0], r[1]) for r in O.find_defects(df).collect()} == {("end", "misread"), ("start", "misread")}
     repaired = {r["record_id"]: r["repaired"] for r in O.repair(df).collect()}
     assert repaired["end"] == "The annual report." and repaired["start"] == "It carries the indexed cover." and repaired["bracket"] == rows[2][1]
+
+
+def test_misread_capitalised_words(spark):
+    good = "In November the local conduit was robust and slow to boil. " * 30
+    rows = [
+        ("word", "In N0vember the L0cal C0nduit.", "In November the Local Conduit."), ("caps", "THE N0VEMBER OF IT", "THE NOVEMBER OF IT"),
+        ("code", "See S10W, B01L, X68A2, B80O, L0C and 10W of it.", "See S10W, B01L, X68A2, B80O, L0C and 10W of it."),
+    ]
+    df = spark.createDataFrame([("ok", good, None), *((i, text, None) for i, text, _ in rows)], "record_id string, text string, title string")
+    assert {(r[0], r[1]) for r in O.find_defects(df).collect()} == {("word", "misread"), ("caps", "misread")}
+    assert {r["record_id"]: r["repaired"] for r in O.repair(df).collect()} == {"ok": good, **{i: plain for i, _, plain in rows}}
