@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -121,7 +121,7 @@ def units(text: str) -> list[tuple[int, int, bool]]:
 
 
 def _quotations(text: str, start: int, end: int) -> tuple[list[int], list[int], set[int]]:
-    """Starts and ends of quotations and brackets that close within the unit, and the closers' places."""
+    """Starts and ends of the outermost quotations and brackets that close within the unit, and all closers' places."""
     starts, ends, closing = [], [], set()
     stack: list[tuple[str, int]] = []
     waited: dict[str, int] = {}
@@ -133,15 +133,15 @@ def _quotations(text: str, start: int, end: int) -> tuple[list[int], list[int],
                 waited[awaited] -= 1
                 if awaited == c:
                     break
-            if at - opened <= 1200:
-                starts.append(opened)
-                ends.append(at)
-                closing.add(at)
+            while starts and starts[-1] > opened:  # within this one
+                del starts[-1], ends[-1]
+            starts.append(opened)
+            ends.append(at)
+            closing.add(at)
         elif c in _OPENERS:
             stack.append((_OPENERS[c], at))
             waited[_OPENERS[c]] = waited.get(_OPENERS[c], 0) + 1
-    order = sorted(range(len(starts)), key=starts.__getitem__)
-    return [starts[k] for k in order], [ends[k] for k in order], closing
+    return starts, ends, closing
 
 
 def _word_before(text: str, start: int, at: int, word: str) -> tuple[str, bool]:
@@ -201,14 +201,8 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, str
         starts, ends, closing = _quotations(text, start, end)
 
     def inside(at: int) -> bool:
-        k = bisect_right(starts, at)
-        while k:
-            k -= 1
-            if starts[k] < at < ends[k]:
-                return True
-            if at - starts[k] > 1200:
-                return False
-        return False
+        k = bisect_left(starts, at)
+        return k > 0 and at < ends[k - 1]
 
     for m in _CANDIDATE.finditer(text, start, end):
         stop, closers, quote, space, opener, token = m.groups()

@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.sentences import sentence_ends, units
+from tessera.llm.sentences import QUOTED, candidates, sentence_ends, units
 
 PARAGRAPHS = [
     "The pump was tested. It failed twice. See Fig. 4 for more.", "Dr. Quenby met Mr. Drosk in March. They spoke, etc. The end came.", "It was cooled at 3 p.m. The rest is in Sec. 2.8 of it.",
@@ -47,3 +47,10 @@ def test_odd_rows(spark):
         got.setdefault(r["doc_id"], []).append(r["sent_end"])
     assert set(got) == {4, 5, 6, 7, 8} and got[4] == [14, 14] and sorted(got[5]) == [5, 17, 23] and sorted(got[6]) == [1, 3] and sorted(got[8]) == [2, 7]
     assert sentence_ends(df.limit(0)).count() == 0
+
+
+def test_long_quotations_hide_their_stops():
+    inner = "The seal failed at noon. " * 80
+    text = f"He said “{inner}It was over” and left. Then (see it) he came back."
+    quoted = [bool(code & QUOTED) for _, code, _, _ in candidates(text, 0, len(text))]
+    assert quoted == [True] * 80 + [False]
