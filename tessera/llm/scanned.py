@@ -1,7 +1,8 @@
 """Repair of text from scanned pages into continuous paragraphs.
 
-Lines: a running header is a line inside the text that repeats the document's title, whatever is
-beside it; a page number is a line with nothing else; a word broken at a line end is joined, across
+Lines: a running header is a line inside the text that repeats the document's title: by itself or set
+apart by a wide gap or a bar, whatever is beside it; a title of at least four signs also within a line
+of at most 40 signs more, as a longer one without a gap may be a sentence. A page number is a line with nothing else; a word broken at a line end is joined, across
 headers and page numbers too. Words: a symmetric-delete index over the corpus lexicon (words folded
 to the shape of their letters, with every deletion of one sign) proposes for each rare form the
 words it may have been; a weighted edit distance in which a pair of similar shapes costs little
@@ -73,8 +74,13 @@ BIGRAM_CELLS = 1 << 20
 
 
 def _title_key(title: str | None) -> str:
-    key = " ".join(unicodedata.normalize("NFKC", title or "").upper().split())
-    return key if len(key) >= 4 else ""
+    return " ".join(unicodedata.normalize("NFKC", title or "").upper().split())
+
+
+def _set_apart(key: str) -> re.Pattern:
+    """The title by itself, or set apart by a wide gap or a bar from what is printed beside it."""
+    title = r"\s+".join(map(re.escape, key.split()))
+    return re.compile(rf"(?:^|(?<=\s\s)|(?<=[\t|·•])|(?<=[|·•]\s)){title}(?=$|\s\s|\t|\s?[|·•])")
 
 
 def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
@@ -86,6 +92,8 @@ def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
     if len(lines) < 2:
         return text, found
     key = _title_key(title)
+    named = any(c.isalpha() for c in key)
+    longest = max(key.split(), key=len, default="")
     filled = [i for i, line in enumerate(lines) if line]
     drop: set[int] = set()
     fenced = False
@@ -95,11 +103,17 @@ def layout(text: str, title: str | None = None) -> tuple[str, set[str]]:
             fenced = not fenced
         if fenced:
             continue
-        if key and n and len(line) <= len(key) + 60:
-            upper = " ".join(line.upper().split())
-            if key not in upper:
-                upper = _title_key(line)
-            if key in upper and not line.startswith("#") and len(upper) - len(key) <= 40:
+        if key and n and not line.startswith("#"):
+            header = False
+            if len(key) >= 4 and len(line) <= len(key) + 60:
+                upper = " ".join(line.upper().split())
+                if key not in upper:
+                    upper = _title_key(line)
+                header = key in upper and len(upper) - len(key) <= 40
+            if not header and named and not line.startswith("|"):
+                upper = (line if line.isascii() else unicodedata.normalize("NFKC", line)).upper()
+                header = longest in upper and key in " ".join(upper.split()) and bool(_set_apart(key).search(upper))
+            if header:
                 drop.add(i)
                 found.add("running_header")
                 continue

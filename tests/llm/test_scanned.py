@@ -63,3 +63,12 @@ def test_misread_capitalised_words(spark):
     df = spark.createDataFrame([("ok", good, None), *((i, text, None) for i, text, _ in rows)], "record_id string, text string, title string")
     assert {(r[0], r[1]) for r in O.find_defects(df).collect()} == {("word", "misread"), ("caps", "misread")}
     assert {r["record_id"]: r["repaired"] for r in O.repair(df).collect()} == {"ok": good, **{i: plain for i, _, plain in rows}}
+
+
+def test_headers_of_any_length():
+    beside = "Proceedings of the Ninth Symposium on Pumps and Valves   Volume 12"
+    assert O.layout(f"text\n{beside}   {TITLE}\nmore", TITLE) == ("text more", {"running_header"})
+    assert O.layout(f"text\n{TITLE.upper()} | {beside}\nmore", TITLE)[1] == {"running_header"}
+    assert O.layout("text\nFAQ   12\nmore FAQ here", "FAQ") == ("text more FAQ here", {"running_header"})
+    sentence = f"As the report named {TITLE} has shown, the pump ran well for years and years."
+    assert O.layout(f"text\n{sentence}\nmore", TITLE) == (f"text {sentence} more", set())
