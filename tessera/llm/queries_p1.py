@@ -19,15 +19,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clean_texts(_texts(spark, sf_dir)).where(F.size("kinds") > 0)
+    """Fields whose tree has an element: one that went as a template of its host, or one that was left and written plainly."""
+    found = clean_texts(_texts(spark, sf_dir)).where(F.col("n_removed") + F.col("n_left") > 0)
     return found.select(F.col("record_id").alias("chunk_id"), "field_name").distinct()
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = clean_texts(_texts(spark, sf_dir))
-    return clean.groupBy(F.col("record_id").alias("chunk_id"), "field_name").agg(
-        F.max("clean").alias("clean"), F.max("kinds").alias("kinds"), F.max("n_dropped").alias("n_dropped")
-    )
+    return clean.groupBy(F.col("record_id").alias("chunk_id"), "field_name").agg(*(F.max(c).alias(c) for c in ("clean", "kinds", "n_left", "n_removed")))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean}

@@ -30,25 +30,81 @@ def test_markup_is_found_and_turned_into_plain_notation(text):
     assert " ".join(M.clean(text).split()) == " ".join(MARKED[text].split())
 
 
-def test_code_keeps_its_signs():
-    assert M.clean("```python\na_b = x * y * z  # <b>\n```") == "```\na_b = x * y * z  # <b>\n```"
+def test_code_keeps_its_signs_and_language():
+    assert M.clean("```python\na_b = x * y * z  # <b>\n```") == "```python\na_b = x * y * z  # <b>\n```"
+    assert M.clean("x\n<pre><code>if a &lt; b:</code></pre>") == "x\n\n```\nif a < b:\n```"
+
+
+def test_lists_keep_levels_and_numbers():
+    assert M.clean("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>") == "- a\n  - b\n- c"
+    assert M.clean("<ol><li>a</li><li>b</li></ol>") == "1. a\n2. b"
+    assert M.clean("- a\n  - b\n* c") == "- a\n  - b\n- c"
+    assert M.clean("\\begin{enumerate}\n\\item a\n\\item b\n\\end{enumerate}") == "1. a\n2. b"
+
+
+def test_nothing_is_held_by_marks_in_the_text():
+    text = "a \ue0000\ue001 b \ue0007\ue001 `c` $x^2$"
+    assert M.clean(text) == "a \ue0000\ue001 b \ue0007\ue001 c $x^2$"
+
+
+def test_escaped_tags_are_text():
+    assert M.clean("the tag &lt;b&gt;keep&lt;/b&gt; is bold") == "the tag <b>keep</b> is bold"
+
+
+def test_any_depth():
+    wiki, tex = "deep", "deep"
+    for _ in range(30):
+        wiki, tex = "{{a|" + wiki + "}}", "\\textbf{" + tex + "}"
+    assert M.clean(wiki) == "deep" and M.clean(tex) == "deep"
+    assert M.clean("<div>" * 3000 + "x" + "</div>" * 3000).strip() == "x"
+
+
+def test_long_formulas_stay_whole():
+    formula = "$" + " + ".join(f"x_{i} < y" for i in range(200)) + "$"
+    assert M.clean(f"so {formula} holds <b>here</b>") == f"so {formula} holds here"
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<li><b>", "{", "{{", "<b>{", "[[", "`", "<a href=", "$", "*a", "_b ", "\\textbf{", "|", "| |", "<pre>", "<!--", "''", "<a " + " " * 50, "[x](", "\\begin{a}", "&", "> ", "]]", "a & "])
+def test_hostile_texts_end(piece):
+    import time
+
+    began = time.time()
+    for text in (piece * (60_000 // len(piece)), "\n".join([piece] * (60_000 // len(piece)))):
+        M.clean(text)
+    assert time.time() - began < 6
 
 
 def test_subtrees_and_their_removal():
     text = "<div><nav><a>x</a></nav>body</div>"
-    hashes = {h for _, _, h in M.subtrees(text)}
-    assert len(hashes) == 3
+    assert len({h for _, _, h in M.subtrees(text)}) == 3
     nav = next(h for a, b, h in M.subtrees(text) if text[a:b].startswith("<nav>"))
-    assert M.without(text, {nav}) == "<div>body</div>"
+    assert M.clean(text, {nav}) == "body"
+    assert nav in {h for _, _, h in M.subtrees("<p>more</p><nav><a>x</a></nav>")}
 
 
 def test_templates_recurring_on_pages_of_a_host_go(spark):
     menu = '<div class="menu"><a href="x">home</a></div>'
     rows = [(f"p{i}", "content", "h1", f"{menu} text {i}", "x") for i in range(8)] + [("q1", "content", "h2", f"{menu} only", "x"), ("q1", "content", "h2", f"{menu} only", "x")]
+    rows += [(f"o{i}", "content", None, f"{menu} text", "x") for i in range(9)]
     rows += [("n1", "content", None, None, "x"), ("n2", "content", None, "", None), ("n3", "embed_text", "h1", "plain", "x"), ("long", "content", "h2", "<p>" + "word " * 200_000, "x")]
     df = spark.createDataFrame(rows, "record_id string, field_name string, host string, text string, hash string")
     out = {r["record_id"]: r for r in M.clean_texts(df).collect()}
-    assert out["p3"]["clean"].strip() == "text 3" and out["p3"]["n_dropped"] >= 1
-    assert "home" in out["q1"]["clean"] and out["q1"]["n_dropped"] == 0
+    assert out["p3"]["clean"].strip() == "text 3" and out["p3"]["n_removed"] == 2 and out["p3"]["n_left"] == 0
+    assert "home" in out["q1"]["clean"] and out["q1"]["n_removed"] == 0 and out["q1"]["n_left"] == 2
+    assert "home" in out["o1"]["clean"]
     assert "n1" not in out and out["n2"]["clean"] == "" and out["n3"]["kinds"] == [] and out["long"]["kinds"]
     assert M.clean_texts(df.limit(0)).count() == 0
+
+
+def test_a_planted_site_loses_its_templates_through_the_queries(spark, tmp_path):
+    """Wiki, HTML and LaTeX boxes on every page of one document: found through them, clean without them."""
+    from tessera.llm.queries_p1 import p1_clean, p1_found
+
+    boxes = ["{{nav|home}}", "<footer><p>imprint</p></footer>", "\\begin{center}terms\\end{center}"]
+    rows = [(f"{i:016x}", "site", "text", f"{boxes[i % 3]}\nbody {i}", f"body {i}") for i in range(18)] + [("f" * 16, "other", "text", f"{boxes[1]}\nbody", None)]
+    spark.createDataFrame(rows, "chunk_id string, doc_id string, chunk_type string, content string, embed_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    found = {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()}
+    assert found == {(r[0], "content") for r in rows}
+    clean = {r["chunk_id"]: r for r in p1_clean(spark, str(tmp_path)).collect() if r["field_name"] == "content"}
+    assert all(clean[f"{i:016x}"]["clean"] == f"body {i}" and clean[f"{i:016x}"]["n_removed"] > 0 for i in range(18))
+    assert "imprint" in clean["f" * 16]["clean"]
