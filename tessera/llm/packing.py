@@ -1,11 +1,15 @@
 """Filling containers of fixed capacity by a grouping genetic algorithm on islands.
 
-Items are dealt by hash into blocks of bounded size; each block is one packing problem, solved by
-several islands at once. An individual is a partition of the block's items into containers. The
-crossover injects whole well-filled containers of the second parent into the first, removes the
-first parent's containers that hold one of these items, and puts the displaced items where they fit
-best. After each round every island's elite moves on to the next island of its block. What the
-blocks leave in badly filled containers is dealt anew and packed once more.
+Items are dealt by hash into blocks of bounded size; each block is one packing problem. Best fit in
+falling order gives its first individual; where that already needs no more containers than the sum
+of the sizes does, nothing can be better and the block is done. Every other block is evolved on
+several islands, each a row and a task of its own with a population of its own. An individual is a
+partition of the block's items into containers. The crossover injects whole well-filled containers
+of the second parent into the first, removes the first parent's containers that hold one of these
+items, and puts the displaced items where they fit best, after swapping them with one or two items of
+a container that is fuller that way. After each round every island's elite moves on to the next
+island of its block. What the blocks leave in badly filled containers is dealt anew and packed once
+more.
 
 Defined results: an item within the capacity is never split; one above it fills whole containers
 and leaves a rest, which is packed like an item; an item of no size is put like any other; null
@@ -17,7 +21,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,12 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 BLOCK = 2048
-ISLANDS = 2
-ROUNDS = 2
-POPULATION = 6
-CHILDREN = 16
+ISLANDS = 4
+ROUNDS = 5
+POPULATION = 8
 WELL_FILLED = 0.98
+# Children of an island in a round; small blocks, which are harder to fill, are searched longer.
+CHILDREN, LEAST_WORK = 16, 8192
 
 
 class Packing:
@@ -68,13 +74,49 @@ def best_fit(bins: list[list[int]], fills: list[int], items: list[int], sizes: l
     return Packing(bins, fills)
 
 
+def exchange(bins: list[list[int]], fills: list[int], displaced: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Swap displaced items for one or two smaller ones of a container that becomes fuller; returns what is displaced then."""
+    by_size: dict[int, list[int]] = {}
+    for item in displaced:
+        by_size.setdefault(sizes[item], []).append(item)
+    there = sorted(by_size)
+    for k, items in enumerate(bins):
+        room = capacity - fills[k]
+        if room <= 0 or not there:
+            continue
+        best: tuple[int, tuple[int, ...], int] | None = None
+        short = items[:12]  # a container of many items has enough pairs among its first ones
+        for out in [(x,) for x in short] + [(x, y) for i, x in enumerate(short) for y in short[:i]]:
+            size = sum(sizes[x] for x in out)
+            at = bisect_right(there, room + size) - 1
+            if at >= 0 and there[at] > size and (best is None or there[at] - size > best[0]):
+                best = (there[at] - size, out, there[at])
+                if best[0] == room:
+                    break
+        if best is None:
+            continue
+        gain, out, size = best
+        item = by_size[size].pop()
+        if not by_size[size]:
+            del by_size[size]
+            there.remove(size)
+        for x in out:
+            items.remove(x)
+            if sizes[x] not in by_size:
+                insort(there, sizes[x])
+            by_size.setdefault(sizes[x], []).append(x)
+        items.append(item)
+        fills[k] += gain
+    return [item for size in reversed(there) for item in by_size[size]]
+
+
 def crossover(first: Packing, second: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     n = len(second.bins)
     full = [k for k in range(n) if second.fills[k] >= WELL_FILLED * capacity] or sorted(range(n), key=lambda k: -second.fills[k])[: max(1, n // 10)]
     chosen = rng.sample(full, max(1, min(len(full), len(full) // 3 + 1)))
     injected = {item for k in chosen for item in second.bins[k]}
     bins, fills, displaced = [list(second.bins[k]) for k in chosen], [second.fills[k] for k in chosen], []
-    poor = sorted(range(len(first.bins)), key=lambda k: first.fills[k])[: max(1, len(first.bins) // 20)]
+    poor = sorted(range(len(first.bins)), key=lambda k: (first.fills[k], rng.random()))[: max(1, len(first.bins) // 20)]
     broken = set(poor)
     for k, items in enumerate(first.bins):
         if k in broken or not injected.isdisjoint(items):
@@ -82,17 +124,27 @@ def crossover(first: Packing, second: Packing, sizes: list[int], capacity: int,
         else:
             bins.append(list(items))
             fills.append(first.fills[k])
+    displaced = exchange(bins, fills, displaced, sizes, capacity)
     displaced.sort(key=lambda i: -sizes[i])
     if rng.random() < 0.5:  # a little disorder lets other combinations meet
         displaced.sort(key=lambda i: -sizes[i] * rng.uniform(0.8, 1.0))
     return best_fit(bins, fills, displaced, sizes, capacity)
 
 
-def first_population(sizes: list[int], capacity: int, rng: random.Random) -> list[Packing]:
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing needs fewer containers than this."""
+    return -(-sum(sizes) // capacity)
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> Packing:
+    return best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
+
+
+def first_population(sizes: list[int], capacity: int, rng: random.Random, first: list[Packing] | None = None) -> list[Packing]:
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = [best_fit([], [], order, sizes, capacity)]
+    people = list(first or ())
     while len(people) < POPULATION:
-        noise = rng.choice((0.1, 0.3, 0.6))
+        noise = rng.choice((0.1, 0.3, 0.6, 1.0))
         people.append(best_fit([], [], sorted(order, key=lambda i: -sizes[i] * rng.uniform(1 - noise, 1)), sizes, capacity))
     return people
 
@@ -100,7 +152,7 @@ def first_population(sizes: list[int], capacity: int, rng: random.Random) -> lis
 def evolve(people: list[Packing], sizes: list[int], capacity: int, children: int, rng: random.Random) -> list[Packing]:
     """Steady state: each child replaces the worst individual if it is better; best first in the result."""
     ranked = sorted(((p.fitness(capacity), k, p) for k, p in enumerate(people)), key=lambda x: (-x[0], x[1]))
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     for number in range(children):
         if len(ranked) < 2 or len(ranked[0][2].bins) <= least:
             break
@@ -142,6 +194,7 @@ _STATE_TYPES = pa.schema(
         ("people", pa.list_(pa.binary())),
     ]
 )
+DONE = -1  # the island number of a block that needs no search
 
 
 def _seed(*parts: object) -> random.Random:
@@ -149,36 +202,39 @@ def _seed(*parts: object) -> random.Random:
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """One block's items become the first state of each of its islands, already evolved once, with migrants."""
+    """One block: done by best fit, or one row for each of its islands with the first individual."""
     rows = sorted(zip(table.column("key").to_pylist(), table.column("size").to_pylist()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
     kind, block, capacity = (table.column(c)[0].as_py() for c in ("container_kind", "block", "capacity"))
     keys, sizes = [r[0] for r in rows], [r[1] for r in rows]
-    out = []
-    for island in range(ISLANDS):
-        rng = _seed(kind, block, island, 0)
-        people = evolve(first_population(sizes, capacity, rng), sizes, capacity, CHILDREN, rng)
-        out.extend(_state_rows(kind, block, island, capacity, keys, sizes, people))
-    return pa.Table.from_pylist(out, schema=_STATE_TYPES)
+    first = best_fit_decreasing(sizes, capacity)
+    islands = [DONE] if len(first.bins) <= least_bins(sizes, capacity) else range(ISLANDS)
+    row = {"container_kind": kind, "block": block, "capacity": capacity, "keys": keys, "sizes": sizes, "people": [_to_bytes(first, len(sizes))]}
+    return pa.Table.from_pylist([row | {"island": island} for island in islands], schema=_STATE_TYPES)
 
 
-def _state_rows(kind, block, island, capacity, keys, sizes, people) -> list[dict]:
+def _state_rows(own: dict, people: list[Packing]) -> list[dict]:
     """The island's own state, and its elite on the way to the next island."""
-    base = {"container_kind": kind, "block": block, "capacity": capacity}
-    own = base | {"island": island, "keys": keys, "sizes": sizes, "people": [_to_bytes(p, len(sizes)) for p in people]}
-    migrant = base | {"island": (island + 1) % ISLANDS, "keys": None, "sizes": None, "people": [_to_bytes(people[0], len(sizes))]}
-    return [own, migrant]
+    n = len(own["sizes"])
+    migrant = own | {"island": (own["island"] + 1) % ISLANDS, "keys": None, "sizes": None, "people": [_to_bytes(people[0], n)]}
+    return [own | {"people": [_to_bytes(p, n) for p in people]}, migrant]
+
+
+def evolve_island(own: dict, migrants: list[bytes], number: int) -> list[Packing]:
+    """One round of one island; its population is drawn in the first one."""
+    sizes, capacity = own["sizes"], own["capacity"]
+    rng = _seed(own["container_kind"], own["block"], own["island"], number)
+    people = [_from_bytes(p, sizes) for p in [*own["people"], *migrants]]
+    if number == 0:
+        people = first_population(sizes, capacity, rng, people)
+    return evolve(people, sizes, capacity, max(CHILDREN, LEAST_WORK // max(1, len(sizes))), rng)[:POPULATION]
 
 
 def _round(number: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["keys"] is None)
-        own, sizes = rows[0], rows[0]["sizes"]
-        people = [_from_bytes(p, sizes) for r in rows for p in r["people"]]
-        rng = _seed(own["container_kind"], own["block"], own["island"], number)
-        people = evolve(people, sizes, own["capacity"], CHILDREN, rng)[:POPULATION]
-        return pa.Table.from_pylist(
-            _state_rows(own["container_kind"], own["block"], own["island"], own["capacity"], own["keys"], sizes, people), schema=_STATE_TYPES
-        )
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["keys"] is not None)
+        migrants = [p for r in rows if r["keys"] is None for p in r["people"]]
+        return pa.Table.from_pylist(_state_rows(own, evolve_island(own, migrants, number)), schema=_STATE_TYPES)
 
     return run
 
@@ -186,31 +242,48 @@ def _round(number: int):
 _OUT = "container_kind string, block long, bin int, key string, size int, fill int, capacity int"
 
 
-def _winner(table: pa.Table) -> pa.Table:
-    rows = [r for r in table.to_pylist() if r["keys"] is not None]
-    keys, sizes, capacity = rows[0]["keys"], rows[0]["sizes"], rows[0]["capacity"]
-    best = max((_from_bytes(r["people"][0], sizes) for r in sorted(rows, key=lambda r: r["island"])), key=lambda p: p.fitness(capacity))
+def _assignment(row: dict, best: Packing) -> pa.RecordBatch:
     order = [(k, i) for k, items in enumerate(best.bins) for i in items]
     n = len(order)
-    return pa.table(
-        {
-            "container_kind": pa.array([rows[0]["container_kind"]] * n, pa.string()),
-            "block": pa.array([rows[0]["block"]] * n, pa.int64()),
-            "bin": pa.array([k for k, _ in order], pa.int32()),
-            "key": pa.array([keys[i] for _, i in order], pa.string()),
-            "size": pa.array([sizes[i] for _, i in order], pa.int32()),
-            "fill": pa.array([best.fills[k] for k, _ in order], pa.int32()),
-            "capacity": pa.array([capacity] * n, pa.int32()),
-        }
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([row["container_kind"]] * n, pa.string()),
+            pa.array([row["block"]] * n, pa.int64()),
+            pa.array([k for k, _ in order], pa.int32()),
+            pa.array([row["keys"][i] for _, i in order], pa.string()),
+            pa.array([row["sizes"][i] for _, i in order], pa.int32()),
+            pa.array([best.fills[k] for k, _ in order], pa.int32()),
+            pa.array([row["capacity"]] * n, pa.int32()),
+        ],
+        names=["container_kind", "block", "bin", "key", "size", "fill", "capacity"],
     )
 
 
+def _winner(table: pa.Table) -> pa.Table:
+    rows = sorted((r for r in table.to_pylist() if r["keys"] is not None), key=lambda r: r["island"])
+    best = max((_from_bytes(r["people"][0], r["sizes"]) for r in rows), key=lambda p: p.fitness(rows[0]["capacity"]))
+    return pa.Table.from_batches([_assignment(rows[0], best)])
+
+
+def _as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _assignment(row, _from_bytes(row["people"][0], row["sizes"]))
+
+
+def settle_blocks(items: DataFrame) -> DataFrame:
+    """The state of every block of items (container_kind, block, capacity, key, size): done, or on its islands."""
+    return cut(items.groupBy("container_kind", "block").applyInArrow(_settle, _STATE))
+
+
 def pack_blocks(items: DataFrame) -> DataFrame:
     """(container_kind, block, bin, key, size, fill, capacity) for items with container_kind, block, capacity, key and size."""
-    state = items.groupBy("container_kind", "block").applyInArrow(_settle, _STATE)
-    for number in range(1, ROUNDS):
+    settled = settle_blocks(items)
+    state = settled.where(F.col("island") != DONE)
+    for number in range(ROUNDS):
         state = state.groupBy("container_kind", "block", "island").applyInArrow(_round(number), _STATE)
-    return state.groupBy("container_kind", "block").applyInArrow(_winner, _OUT)
+    evolved = state.groupBy("container_kind", "block").applyInArrow(_winner, _OUT)
+    return settled.where(F.col("island") == DONE).mapInArrow(_as_they_are, _OUT).unionByName(evolved)
 
 
 def _dealt(items: DataFrame, n_blocks: int, salt: int) -> DataFrame:

@@ -28,4 +28,26 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_assignment": p7_assignment, "p7_fill": p7_fill}
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an assignment must keep, for each kind: every document in it, nothing above capacity, nothing split that fits, parts that join."""
+    sizes = read(spark, sf_dir, "container_sizes").select("container_kind", "capacity_tokens").distinct()
+    parts = p7_assignment(spark, sf_dir).join(sizes, "container_kind")
+    over = parts.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("fill"), F.max("capacity_tokens").alias("c")).where("fill > c")
+    whole = parts.groupBy("container_kind", "doc_id").agg(
+        F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n"), F.max("capacity_tokens").alias("c"), F.max(F.col("part_start") + F.col("n_tokens")).alias("end"),
+        F.count_distinct("part_no").alias("n_numbers"),
+    )
+    bad = (F.col("n") != F.col("end")) | (F.col("n_parts") != F.col("n_numbers"))
+    by_kind = whole.groupBy("container_kind").agg(
+        F.count("*").alias("n_documents"), F.count_if((F.col("n_parts") > 1) & (F.col("n") <= F.col("c"))).alias("n_split_that_fit"), F.count_if(bad).alias("n_with_gaps")
+    )
+    return by_kind.join(over.groupBy("container_kind").agg(F.count("*").alias("n_over")), "container_kind", "left").select(
+        "container_kind", "n_documents", "n_split_that_fit", "n_with_gaps", F.coalesce("n_over", F.lit(0)).alias("n_over")
+    )
+
+
+QUERIES = {"p7_assignment": p7_assignment, "p7_fill": p7_fill, "p7_check": p7_check}
+
+SQL = {
+    "p7_check": "select distinct container_kind, (select count(distinct doc_id) from documents) as n_documents, 0::bigint as n_split_that_fit, 0::bigint as n_with_gaps, 0::bigint as n_over from container_sizes"
+}

@@ -44,3 +44,47 @@ def test_frame(spark):
                 at += length
     assert sorted(parts["small", "big"]) == [(0, 0, 100), (1, 100, 100), (2, 200, 50)] and {k for k, _ in parts} == {"small", "wide"}
     assert K.fill_containers(df.limit(0), [("small", 100)]).count() == 0
+
+
+def planted(rng, n_bins, capacity=1000):
+    """Sizes that fill the containers exactly, three in each, none of them a simple fit."""
+    sizes = []
+    while len(sizes) < 3 * n_bins:
+        a, b = rng.randint(250, 500), rng.randint(250, 500)
+        if 250 <= capacity - a - b <= 500:
+            sizes += [a, b, capacity - a - b]
+    rng.shuffle(sizes)
+    return sizes
+
+
+def test_the_search_saves_containers_where_best_fit_fails(spark):
+    rows, best = [], {}
+    for block in range(4):
+        sizes = planted(random.Random(block), 30)
+        first = K.best_fit_decreasing(sizes, 1000)
+        best[block] = len(first.bins)
+        assert len(first.bins) > 30
+        rows += [("k", block, 1000, f"{block}-{i}", s) for i, s in enumerate(sizes)]
+    rows += [("k", 9, 1000, f"9-{i}", 500) for i in range(10)]
+    df = spark.createDataFrame(rows, "container_kind string, block long, capacity int, key string, size int")
+    settled = {(r["block"], r["island"]) for r in K.settle_blocks(df).collect()}
+    assert settled == {(b, i) for b in range(4) for i in range(K.ISLANDS)} | {(9, K.DONE)}
+    bins, keys = defaultdict(set), []
+    for r in K.pack_blocks(df).collect():
+        bins[r["block"]].add(r["bin"])
+        keys.append(r["key"])
+        assert r["fill"] <= 1000
+    assert sorted(keys) == sorted(r[3] for r in rows) and len(bins[9]) == 5
+    assert all(len(bins[b]) < best[b] for b in range(4))
+    assert sum(len(bins[b]) for b in range(4)) <= 4 * 30 + (sum(best.values()) - 4 * 30) // 3
+
+
+def test_islands_get_each_others_elite():
+    sizes = planted(random.Random(5), 12)
+    own = {"sizes": sizes, "capacity": 1000, "container_kind": "k", "block": 0, "island": 1, "people": [K._to_bytes(K.best_fit_decreasing(sizes, 1000), len(sizes))]}
+    exact = K.Packing([[i] for i in range(len(sizes))], list(sizes))
+    rows = K._state_rows(own, [exact])
+    assert rows[0]["island"] == 1 and rows[1]["island"] == 2 and rows[1]["keys"] is None and rows[1]["people"] == rows[0]["people"]
+    perfect = K.best_fit([], [], sorted(range(len(sizes))), sizes, 10_000)
+    people = K.evolve_island(own, [K._to_bytes(perfect, len(sizes))], 1)
+    assert len(people[0].bins) == len(perfect.bins)
