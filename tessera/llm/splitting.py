@@ -61,9 +61,13 @@ class Sizes:
     def estimate(self, start: int, end: int) -> int:
         return int(self.cjk[end] - self.cjk[start] + (self.other[end] - self.other[start]) // 4)
 
-    def inside_tag(self, position: int) -> bool:
+    def tag_around(self, position: int) -> tuple[int, int] | None:
+        """The tag that a cut at this position would cut."""
         k = int(np.searchsorted(self._tag_starts, position, side="right")) - 1
-        return k >= 0 and self.tags[k][0] < position < self.tags[k][1]
+        return self.tags[k] if k >= 0 and self.tags[k][0] < position < self.tags[k][1] else None
+
+    def inside_tag(self, position: int) -> bool:
+        return self.tag_around(position) is not None
 
 
 def _cuts(pattern: re.Pattern, text: str, start: int, end: int) -> list[int]:
@@ -74,13 +78,13 @@ def _sections(text: str, start: int, end: int, level: int) -> list[int]:
     return [m.start() for m in _HEADING.finditer(text, start, end) if len(m[1]) <= level and start < m.start() < end]
 
 
-def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    """The subtrees of a node at a level of the tree: 1 to 6 heading sections, then ever smaller units."""
+def _children(text: str, sizes: Sizes, start: int, end: int, level: int) -> list[tuple[int, int]]:
+    """The subtrees of a node at a level of the tree: 1 to 6 heading sections, then ever smaller units; none begins inside a tag."""
     if level <= 6:
         cuts = _sections(text, start, end, level)
     else:
         cuts = _cuts((_BLANK, _ROW_END, _SENTENCE_END, _SPACE)[level - 7], text, start, end)
-    edges = [start, *cuts, end]
+    edges = [start, *(c for c in cuts if not sizes.inside_tag(c)), end]
     return list(zip(edges, edges[1:]))
 
 
@@ -91,7 +95,7 @@ def pack(text: str, sizes: Sizes, limit: int, start: int = 0, end: int | None =
         return [(start, end)]
     children: list[tuple[int, int]] = []
     while level <= 10:
-        children = _children(text, start, end, level)
+        children = _children(text, sizes, start, end, level)
         level += 1
         if len(children) > 1:
             break
@@ -115,8 +119,10 @@ def _by_code_points(sizes: Sizes, limit: int, start: int, end: int) -> list[tupl
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if sizes.estimate(start, middle) <= limit else (low, middle - 1)
-        while low < end and low > start + 1 and sizes.inside_tag(low):
-            low -= 1
+        if low < end:
+            tag = sizes.tag_around(low)
+            if tag is not None:  # before the tag, or behind it if nothing is before: a tag counts as one sign only
+                low = tag[0] if tag[0] > start else tag[1]
         spans.append((start, low))
         start = low
     return spans
@@ -149,7 +155,7 @@ def split_text(text: str, table: bool = False, cap: int = CAP, overlap: int = OV
 
 
 SCHEMA = (
-    "chunk_id string, piece_no int, n_pieces int, heading_path array<string>, "
+    "chunk_id string, piece_no int, n_pieces int, chunk_type string, heading_path array<string>, "
     "overlap_start int, start int, end int, content string, token_est int"
 )
 
@@ -157,14 +163,14 @@ SCHEMA = (
 def _pieces(cap: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             columns = batch.to_pydict()
             for key, kind, path, text in zip(columns["chunk_id"], columns["chunk_type"], columns["heading_path"], columns["content"]):
                 table = kind == "table"
                 pieces = split_text(text or "", table, cap, overlap)
                 for k, (from_, start, end) in enumerate(pieces):
                     piece = text[from_:end]
-                    row = (key, k, len(pieces), path, from_, start, end, piece, Sizes(piece, table).estimate(0, len(piece)))
+                    row = (key, k, len(pieces), kind, path, from_, start, end, piece, Sizes(piece, table).estimate(0, len(piece)))
                     for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -172,10 +178,10 @@ def _pieces(cap: int, overlap: int):
                     pa.array(column, type)
                     for column, type in zip(
                         out,
-                        (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()),
+                        (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()),
                     )
                 ],
-                names=["chunk_id", "piece_no", "n_pieces", "heading_path", "overlap_start", "start", "end", "content", "token_est"],
+                names=["chunk_id", "piece_no", "n_pieces", "chunk_type", "heading_path", "overlap_start", "start", "end", "content", "token_est"],
             )
 
     return run

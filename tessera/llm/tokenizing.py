@@ -19,7 +19,8 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed value: the pre-token pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,21 +103,27 @@ class Decoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load_ranks(path))
-    return _ENCODERS[path]
+def encoder(name: str) -> Encoder:
+    """One encoder for each vocabulary and worker process; the vocabulary came with the job."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(load_ranks(SparkFiles.get(name)))
+    return _ENCODERS[name]
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary file with the job, so only the driver's machine must hold it; returns its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids) of every row; no shuffle, each partition by itself."""
-    path = path or os.path.join(FOLDER, BYTE_BPE_50K)
+    name = ship_vocabulary(documents.sparkSession, path or os.path.join(FOLDER, BYTE_BPE_50K))
     narrow = documents.select(key, text)
     kind = narrow.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(name).encode
         for batch in batches:
             offsets, flat = [0], []
             for value in batch.column(1).to_pylist():
@@ -130,12 +137,12 @@ def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens) of every row; null and empty texts have no tokens."""
-    path = path or os.path.join(FOLDER, BYTE_BPE_50K)
+    name = ship_vocabulary(documents.sparkSession, path or os.path.join(FOLDER, BYTE_BPE_50K))
     narrow = documents.select(key, text)
     kind = narrow.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = encoder(path)
+        cache = encoder(name)
         for batch in batches:
             counts = [sum(map(len, map(cache.__getitem__, cache._split(t)))) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=[key, "n_tokens"])

@@ -50,6 +50,28 @@ def test_table_tags_are_not_cut():
         assert text[a:b].count("<") == text[a:b].count(">")
 
 
+def test_no_level_of_the_tree_cuts_a_tag():
+    for text in (
+        "<table>" + "".join(f'<td class="a b. C {i}" title="One. Two">word {i}.</td>' for i in range(900)),
+        "<table>" + "".join(f"<td\n\ndata-x='{i}. A'\n>" for i in range(6000)),
+        "<td " + "x. Y " * 3000 + ">" + "tail " * 3000,
+    ):
+        pieces = split_text(text, True)
+        sizes = Sizes(text, True)
+        assert len(pieces) > 1 and "".join(text[a:b] for _, a, b in pieces) == text
+        assert not any(sizes.inside_tag(a) or sizes.inside_tag(start) for start, a, _ in pieces)
+
+
+def test_check_query(spark, sf):
+    import duckdb
+
+    from tessera.llm import queries_p2 as Q
+
+    duckdb.sql(f"create or replace view chunks as select * from '{sf}/chunks.parquet'")
+    got = sorted(tuple(r) for r in Q.p2_check(spark, sf).collect())
+    assert got and got == sorted(duckdb.sql(Q.SQL["p2_check"]).fetchall())
+
+
 def test_frame(spark):
     long = "A sentence of words here. " * 400
     rows = [
