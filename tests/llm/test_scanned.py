@@ -26,7 +26,9 @@ def test_paragraphs_are_continuous():
 def test_costs():
     assert O.misreading_cost("modern", "rnodern") == 0.25
     assert O.misreading_cost("channel", "chanriel") == 0.25
-    assert O.misreading_cost("filter", "fitler") == 2.0
+    assert O.misreading_cost("filter", "fitler") > 10 and O.misreading_cost("minimum", "rniniınurn") > 10
+    assert O.misreading_cost("environmental commemorations".replace(" ", ""), "environrnental cornrnernorations".replace(" ", "")) == 1.0
+    assert O.misreading_cost("вода", "вoдa") == 0.5
     assert O.misreading_cost("same", "same") == 0.0
     assert O.fold("rnodern") == O.fold("modern") and O.fold("carrle") == O.fold("carrie")
 
@@ -72,3 +74,37 @@ def test_headers_of_any_length():
     assert O.layout("text\nFAQ   12\nmore FAQ here", "FAQ") == ("text more FAQ here", {"running_header"})
     sentence = f"As the report named {TITLE} has shown, the pump ran well for years and years."
     assert O.layout(f"text\n{sentence}\nmore", TITLE) == (f"text {sentence} more", set())
+
+
+def test_headers_alone_at_a_page_break():
+    beside = "a chapter on the keeping of valves, pumps, pipes and their many smaller parts in the field"
+    assert O.layout(f"text\n\n{TITLE} - {beside}\n\nmore", TITLE)[1] == {"running_header"}
+    assert O.layout(f"text\n12\n{TITLE} - {beside}\n\nmore", TITLE)[1] == {"running_header", "page_number"}
+    assert O.layout(f"text\n\n{TITLE} - {beside}.\n\nmore", TITLE)[1] == set()
+    assert O.layout("text\n" + "- " * 20 + "12" + " -" * 20 + "\nmore")[1] == set() and O.layout("text\n[" + " " * 40 + "12 ]\nmore")[1] == {"page_number"}
+
+
+def test_neighbours_decide_among_words(spark):
+    good = "the farm gate was open " * 20 + "the form letter was sent " * 20 + "the firm handshake was given " * 20
+    rows = [("ok", good, None), ("a", "the f0rm letter", None), ("b", "the f@rm gate", None), ("c", "a f0rm gate", None)]
+    df = spark.createDataFrame(rows, "record_id string, text string, title string")
+    options = spark.createDataFrame([("f0rm", "form", 20, 0.25), ("f0rm", "farm", 20, 0.5)], "seen string, word string, word_n long, cost double")
+    places = spark.createDataFrame([("a", "f0rm", "the", "letter"), ("c", "f0rm", "a", "gate"), ("d", "f0rm", O._EDGE, O._EDGE)], "record_id string, seen string, before string, after string")
+    chosen = {r["record_id"]: r["word"] for r in O.choose(df, places, options).collect()}
+    assert chosen == {"a": "form", "c": "farm", "d": "form"}
+    needed = spark.createDataFrame([("farm", "gate"), ("form", "gate"), ("the", "form")], "first string, second string")
+    assert {tuple(r) for r in O.bigram_counts(df, needed).collect()} == {("farm", "gate", 20), ("the", "form", 20)}
+
+
+def test_words_of_other_scripts(spark):
+    good = "Вода стоит в старом городе " * 30
+    df = spark.createDataFrame([("ok", good, None), ("bad", "В старoм гор0де", None)], "record_id string, text string, title string")
+    assert {tuple(r) for r in O.find_defects(df).collect()} == {("bad", "misread")}
+    assert {r["record_id"]: r["repaired"] for r in O.repair(df).collect()}["bad"] == "В старом городе"
+
+
+def test_defects_of_layout_are_spread_over_the_join(spark):
+    rows = [(f"r{i}", f"text\n{i}\nmore", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "record_id string, text string, title string")
+    found = O.find_defects(df)
+    assert found.count() == 400
