@@ -9,12 +9,18 @@ more for every 32 shingles of the smaller set. Shingles are rare or frequent by
 all records. The index holds each rare shingle of a prefix singly and each combination of two
 frequent ones; a similar pair shares s singles and f frequent ones with s + f >= k, so at least
 k - 1 keys. Pairs that share so many and pass the length filter and a parity bitmap (the symmetric
-difference is at least the distance of the bitmaps) have their sets compared. No bound is set on
-partners or candidates, and no link is lost.
+difference is at least the distance of the bitmaps) have their sets compared. A shingle that the
+sketch counts once is in one class only and needs no key. A key with more than ``HOT`` classes is
+split into blocks of about so many; each two blocks meet in a task of their own, so no key is a hot
+one. No bound is set on partners or candidates, and no link is lost.
 
 The sketch has a fixed number of cells; its size, not the data's, is what the driver gathers and
 broadcasts. It only decides the order and the classes, so too few cells cost time, never links.
 
+Sets so small that similar ones may share fewer than k shingles (at 0.7 those of one shingle, at 0.5
+of up to two), and all sets that can be similar to them, have every shingle as a key as well. The
+threshold must be at least 0.1, so that these sets are small ones.
+
 Defined results: records with a null key or text or with fewer than ``least_words`` words take no
 part; a record delivered again counts once; equal texts are linked; a pair is given once, the
 smaller key first. Columns other than key and text are not read.
@@ -26,12 +32,13 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import sketch as S
@@ -39,6 +46,7 @@ from tessera.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 RARE = 24  # a shingle is rare up to so many occurrences above the mean load of the sketch's cells
+HOT = 2000  # classes under one key that meet in one task; more are split into blocks
 STEP = 32  # a similar pair must share one key more for every so many shingles of the smaller set
 BUCKETS = 1 << 20  # bits of the filter that spares the comparison step most of the texts
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -104,22 +112,34 @@ def parity_bitmaps(offsets: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarra
     return words[:, 0].copy(), words[:, 1].copy()
 
 
+@cache
+def small_sets(threshold: float) -> int:
+    """The largest size of a set to which a similar one may have fewer than k shingles in common."""
+    return max((n for n in range(1, 200) if math.ceil(threshold * n - 1e-9) < 2 + n // STEP), default=0)
+
+
 def prefix_keys(shingles: np.ndarray, counts: np.ndarray, rare: int, threshold: float) -> np.ndarray:
     """Index keys of one set: rare shingles of its extended prefix, pairs of frequent ones."""
     n = len(shingles)
     k = 2 + n // STEP
     need = math.ceil(threshold * n - 1e-9)
-    if need < k:
-        return shingles
+    every = shingles[:0]
+    if n * threshold <= small_sets(threshold):
+        every = shingles[counts > 1]
+        if need < k:
+            return every
     length = min(n, n - need + k)
     order = np.lexsort((shingles, counts))[:length]
     prefix, frequency = shingles[order], counts[order]
     n_rare = int(np.searchsorted(frequency, rare, side="right"))
+    singles = prefix[:n_rare][frequency[:n_rare] > 1]
+    if len(every):
+        singles = np.union1d(singles, every)
     if length - n_rare < 2:
-        return prefix[:n_rare]
+        return singles
     often = np.sort(prefix[n_rare:])
     i, j = np.triu_indices(len(often), 1)
-    return np.concatenate((prefix[:n_rare], _mix(often[i] * _M1 + often[j])))
+    return np.concatenate((singles, _mix(often[i] * _M1 + often[j])))
 
 
 def _members(key: str, text: str, width: int, least_words: int, cells: int):
@@ -231,6 +251,21 @@ def _verify(numerator: int, denominator: int):
     return run
 
 
+def _meeting(index: DataFrame, hot: int) -> DataFrame:
+    """Each two classes (cls, n, high, low and the same with _b) under each key that both have."""
+    columns = ("cls", "n", "high", "low")
+    sized = index.withColumn("m", F.count("*").over(Window.partitionBy("index_key")))
+    few = sized.where(F.col("m") <= hot).select("index_key", *columns)
+    cold = few.join(few.select("index_key", *(F.col(c).alias(f"{c}_b") for c in columns)), "index_key").where(F.col("cls") < F.col("cls_b"))
+    blocks = F.ceil(F.col("m") / hot)
+    many = sized.where(F.col("m") > hot).withColumn("last", (blocks - 1).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    left = many.select("index_key", F.col("block").alias("one"), F.explode(F.sequence("block", "last")).alias("two"), *columns)
+    right = many.select("index_key", F.explode(F.sequence(F.lit(0), "block")).alias("one"), F.col("block").alias("two"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    split = left.join(right, ["index_key", "one", "two"]).where((F.col("one") < F.col("two")) | (F.col("cls") < F.col("cls_b")))
+    names = [*columns, *(f"{c}_b" for c in columns)]
+    return cold.select(*names).unionByName(split.select(*names))
+
+
 def similar_classes(
     records: DataFrame,
     key: str,
@@ -239,8 +274,11 @@ def similar_classes(
     width: int = 5,
     least_words: int = 5,
     cells: int = 1 << 22,
+    hot: int = HOT,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: key, cls, n) and (links: cls_a, cls_b, similarity) of all records and all similar classes."""
+    if not 0.1 <= threshold <= 1:
+        raise ValueError("the threshold must be between 0.1 and 1")
     spark = records.sparkSession
     narrow = records.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     gathered = cut(narrow.mapInArrow(_members("key", "text", width, least_words, cells), "key string, cls long, n int, slice int, counts binary"))
@@ -252,15 +290,13 @@ def similar_classes(
         _keys(width, least_words, threshold, cells, shared), "index_key long, cls long, n int, high long, low long"
     ).repartition("index_key")
     index = keys.groupBy("index_key", "cls").agg(F.first("n").alias("n"), F.first("high").alias("high"), F.first("low").alias("low"))
-    other = index.select("index_key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "high", "low")))
     total = F.col("n") + F.col("n_b")
     least_overlap = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     candidates = (
-        index.join(other, "index_key")
-        .where(F.col("cls") < F.col("cls_b"))
+        _meeting(index, hot)
         .where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9))
         .where(F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) <= total - 2 * least_overlap)
-        .groupBy(F.col("cls").alias("cls_a"), "cls_b")
+        .groupBy(F.least("cls", "cls_b").alias("cls_a"), F.greatest("cls", "cls_b").alias("cls_b"))
         .agg(F.count("*").alias("n_keys"), F.min(F.least("n", "n_b")).alias("n"))
         .where(F.col("n_keys") >= 1 + F.floor(F.col("n") / STEP))
         .select("cls_a", "cls_b")
@@ -289,13 +325,17 @@ def similar_classes(
     return members, links
 
 
-def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key_a, key_b) of all linked records: those of one class and those of similar classes."""
+def similar_pairs(members: DataFrame, links: DataFrame, several_texts: bool = False) -> DataFrame:
+    """(key_a, key_b) of all linked records: those of one class and those of similar classes.
+
+    Where a key may have come with several texts, ``several_texts`` gives its pairs once.
+    """
     a = members.select(F.col("cls").alias("cls_a"), F.col("key").alias("x"))
     b = members.select(F.col("cls").alias("cls_b"), F.col("key").alias("y"))
     within = a.join(b, F.col("cls_a") == F.col("cls_b")).where("x < y").select("x", "y")
     across = links.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("x", "y")
-    return within.unionByName(across).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    pairs = within.unionByName(across.where("x <> y")).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    return pairs.distinct() if several_texts else pairs
 
 
 def class_table(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -61,3 +61,32 @@ def test_odd_rows(spark):
     assert table["b"] == ("a", 2, 0) and "g" not in table
     empty_members, empty_links = similar_classes(df.limit(0), "chunk_id", "content", 0.7, 3, 20, cells=1 << 16)
     assert similar_pairs(empty_members, empty_links).count() == 0
+
+
+def test_small_sets_and_low_thresholds(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i}", " ".join(rng.sample("a b c d e f g h".split(), rng.choice((1, 2, 3, 4, 6))))) for i in range(150)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string")
+    for threshold in (0.3, 0.4, 0.5, 0.7):
+        members, links = similar_classes(df, "chunk_id", "content", threshold, 1, 1, cells=1 << 16)
+        assert {tuple(r) for r in similar_pairs(members, links).collect()} == brute(rows, threshold, 1, 1)
+
+
+def test_hot_keys_are_split_and_lose_no_pair(spark):
+    rng = random.Random(7)
+    frame = [f"b{i}" for i in range(30)]
+    rows = [(f"k{i}", " ".join(frame + [f"{rng.randrange(40)}z" for _ in range(3)])) for i in range(90)]
+    rows += corpus(3)
+    df = spark.createDataFrame(rows, "chunk_id string, content string")
+    for hot in (7, 50):
+        members, links = similar_classes(df, "chunk_id", "content", 0.7, 3, 20, cells=1 << 16, hot=hot)
+        got = [tuple(r) for r in similar_pairs(members, links).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7, 3, 20)
+
+
+def test_a_key_with_several_texts_is_no_pair_of_itself(spark):
+    base = [f"x{i}" for i in range(40)]
+    rows = [("a", " ".join(base)), ("a", " ".join([*base, "more"])), ("b", " ".join([*base, "else"]))]
+    df = spark.createDataFrame(rows, "chunk_id string, content string")
+    members, links = similar_classes(df, "chunk_id", "content", 0.7, 3, 20, cells=1 << 16)
+    assert [tuple(r) for r in similar_pairs(members, links, several_texts=True).collect()] == [("a", "b")]
