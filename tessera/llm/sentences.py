@@ -6,12 +6,17 @@ Thai letters is a candidate, which a maximum-entropy model accepts or not by fea
 neighbouring tokens: their case, length, digits and script, how the corpus uses them, and whether a
 quotation or bracket is open. The statistics of tokens (how often one ends a paragraph, how often
 one begins it) are counted over all documents. The model is trained on reliable boundaries: the last
-token of a paragraph with the first of the next is a boundary; a stop inside a quotation or before a
-small letter that never begins a paragraph is none, nor is one after a token that never ends one.
-
-Fixed bounds: the model is fitted on at most ``SAMPLE`` candidates, picked by hash; of each kind of
-telling tokens (such as abbreviations) the ``KEPT`` most frequent are known by name, every other
-token counts as an ordinary word.
+token of a paragraph with the first of the next is a boundary; a stop after a token that never ends a
+paragraph is none. Three kinds of candidates the layout says nothing about are labelled by rule: a
+space between Thai letters is a boundary; a stop inside a quotation and one before a small letter
+that never begins a paragraph are none. So the model repeats these rules, it did not find them. The
+weights are a posterior: the prior's mean is a fixed vector of rounded weights, which decides where a
+corpus has no example of a feature.
+
+Fixed bound: the model is fitted on at most ``SAMPLE`` candidates, picked by hash. The ``KEPT`` most
+frequent telling tokens of each kind (such as abbreviations) are known to every task; candidates
+with other telling tokens are decided by a join with their counts, so all decisions use exact counts
+of all documents. A token above 48 signs is known by its hash.
 
 Defined results: null, empty and blank texts have no rows; ends are code points from the start of
 the text, inclusive; a text without any stop is one unit per paragraph. Repeated rows repeat their
@@ -24,6 +29,7 @@ import heapq
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -43,9 +49,8 @@ _CLOSERS = "\"'”’»)]}」』）》】〕›“"
 _STOP = re.compile(f"[{_STOPS}]+")
 _CANDIDATE = re.compile(
     rf"([{_STOPS}]+)((?:['”’»)\]}}」』）》】〕›]|[ \xa0\u202f\u2009]»|“(?=[\s,.;)]|\Z))*)"
-    r"(?=(\"?)(\s*)([\"'“”‘’„«»(\[¿¡「『《（【‹›]{0,8})\s*([^\W\d_]{1,40}|\d{1,40}|\S|))"
+    r"(?=(\"?)(\s*)([\"'“”‘’„«»(\[¿¡「『《（【‹›]{0,8})\s*([^\W\d_]+|\d+|\S|))"
 )
-_BEFORE = re.compile(rf"[^\s{_STOPS}]*$")
 _THAI_SPACE = re.compile("(?<=[\u0e00-\u0e7f]) +(?=[\u0e00-\u0e7f])")
 _QUOTE = re.compile("[\"“”„«»‹›()\\[\\]「」『』（）《》]")
 _OPENERS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "《": "》", "‹": "›", '"': '"'}
@@ -54,8 +59,7 @@ _HEADING_MARK = re.compile(r"\s*#{1,6}[ \t]+\S")
 _HEADING_NUMBER = regex.compile(r"\s*\d{1,3}(?:\.\d{1,3})+\.?[ \t]+(?=[\p{Lu}\p{Lo}])")
 _ITEM = re.compile(r"\s*(?:[-*+•‣▪–]|\d{1,3}[.)]|[(]\d{1,3}[)]|[(]?[a-z][)])[ \t]+(?=\S)")
 _LIST_NUMBER = re.compile(r"\s*(\d{1,3})[.)][ \t]")
-_TAIL = re.compile(rf"([^\s{_STOPS}]*)([{_STOPS}]+)$")
-_FIRST = re.compile(r"[\"'“”‘’„«»(\[¿¡「『《（【‹›]{0,8}\s*([^\W\d_]{1,40}|\d{1,40}|\S|)")
+_FIRST = re.compile(r"[\"'“”‘’„«»(\[¿¡「『《（【‹›]{0,8}\s*([^\W\d_]+|\d+|\S|)")
 _LEAD = "\"'“”‘’„«»([¿¡「『《（"
 
 # A candidate's code: class of the stop, case of the next token, and flags.
@@ -188,7 +192,17 @@ def _code(kind: int, case: int, word: str, initial: bool, gap: bool, quoted: boo
 
 
 def _normal(token: str) -> str:
-    return token.lower()[-24:]
+    token = token.lower()
+    return token if len(token) <= 48 else f"{token[0]}#{xxhash.xxh64_hexdigest(token.encode('utf-8', 'surrogatepass'))}"
+
+
+def _last_word(text: str, start: int, end: int) -> str:
+    """What stands between the last white space and ``end``."""
+    word = text[max(text.rfind(" ", start, end) + 1, start) : end]
+    if word and not word.isalnum():
+        parts = word.split()
+        word = parts[-1] if parts and not word[-1].isspace() else ""
+    return word
 
 
 def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, str]]:
@@ -204,9 +218,10 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, str
         k = bisect_left(starts, at)
         return k > 0 and at < ends[k - 1]
 
+    behind = start  # tokens end at stops, so none begins before the last one
     for m in _CANDIDATE.finditer(text, start, end):
         stop, closers, quote, space, opener, token = m.groups()
-        a, after = m.start(), m.end()
+        a, after, low, behind = m.start(), m.end(), behind, m.end(1)
         closed = bool(closers)
         if quote:
             if after in closing:
@@ -221,7 +236,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, str
             continue
         if stop == "." and not space and not closed and (token[:1].isdigit() or token[:1].islower() or token[:1] in "/_"):
             continue  # inside a number, a file name or an address
-        word, initial = _word_before(text, start, a, _BEFORE.search(text, max(start, a - 40), a)[0])
+        word, initial = _word_before(text, start, a, _last_word(text, low, a))
         kind = _stop_class(stop)
         code = _code(kind, _case(token), word, initial, bool(space), bool(starts) and inside(a) and not closed, closed, opener[:1] in _OPENERS or opener[:1] in ("¿", "¡"), token)
         out.append((after, code, _normal(word) if kind == DOT and not code & DIGIT else "", _normal(token) if kind < WIDE else ""))
@@ -232,12 +247,13 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, str
 
 def _turn(text: str, start: int, end: int) -> tuple[str, int, bool, bool] | None:
     """How a paragraph ends: token, class of its stop, whether an initial, whether closed by a quote or bracket."""
-    bare = text[max(start, end - 64) : end].rstrip(_CLOSERS)
-    m = _TAIL.search(bare)
-    if not m or end - start <= len(m[0]):
+    tail = _last_word(text, start, end)
+    bare = tail.rstrip(_CLOSERS)
+    rest = bare.rstrip(_STOPS)
+    if len(rest) == len(bare) or end - start <= len(bare):
         return None
-    word, initial = _word_before(bare, 0, m.start(2), m[1])
-    return word, _stop_class(m[2]), initial, len(bare) < min(64, end - start)
+    word, initial = _word_before(rest, 0, len(rest), rest[max(map(rest.rfind, _STOPS)) + 1 :])
+    return word, _stop_class(bare[len(rest) :]), initial, len(bare) < len(tail)
 
 
 _ROW = "doc_id {key}, ends array<int>, c_end array<int>, c_code array<int>, c_prev array<string>, c_next array<string>, role string, token string, code int, n array<long>"
@@ -324,8 +340,8 @@ FEATURES = [
     "initial_never_final", "short_never_final", "long_never_final", "final_share", "goes_on", "small_first", "digit_never_first",
 ]
 N_STATIC = FEATURES.index("saying_after") + 1
-# For corpora without any reliable boundary: rounded from a fitted model.
-DEFAULT_WEIGHTS = np.array(
+# The prior's mean: rounded from a fitted model.
+PRIOR = np.array(
     [0.5, 0.0, 0.5, 0.5, 2.0, 3.0, 1.0, 1.5, -4.0, -8.0, 0.5, -6.0, -7.0, 2.0, 2.0, -8.0, 2.0, -4.0, 1.0, 0.0, -6.0, -5.0, -6.0, -2.0, 2.0, -4.0, 7.0, -6.0]
 )
 
@@ -346,7 +362,7 @@ def static_features(code: int) -> np.ndarray:
 
 
 class Tokens:
-    """What the corpus says about telling tokens; each of the three tables has at most ``KEPT`` entries."""
+    """What the corpus says about telling tokens: counts before a stop, first small words, words that never come first."""
 
     def __init__(self, before: dict[str, tuple[int, int, int]], small_first: dict[str, tuple[int, int]], never_first: dict[str, int]) -> None:
         self.before, self.small_first, self.never_first = before, small_first, never_first
@@ -389,12 +405,14 @@ class Tokens:
         return n >= 40 and not turns
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Maximum-entropy weights (two classes) by Newton's method with a small ridge."""
-    w = np.zeros(x.shape[1])
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Maximum-entropy weights (two classes) by Newton's method, with a weak normal prior around ``prior``."""
+    w = prior.copy()
+    if not len(y):
+        return w
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(y) + ridge * w
+        gradient = x.T @ (p - y) / len(y) + ridge * (w - prior)
         curvature = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         step = np.linalg.solve(curvature, gradient)
         w -= step
@@ -403,51 +421,118 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> n
     return w
 
 
-def _train(rows: DataFrame, tokens: Tokens, sample: int) -> np.ndarray:
-    drawn = rows.where("role = 'sample'").orderBy(F.col("n")[0]).select("code", "token", F.col("n")[1].alias("turn")).limit(sample).collect()
+_TELLING = {
+    "before": "role = 'prev' and n0 >= 2 and (n1 * 10 < n0 or n2 > 0)",
+    "first": "role = 'next' and small and n1 * 20 > n0",
+    "never": "role = 'next' and small and n1 = 0 and n0 >= 2",
+}
+
+
+def _as_tokens(rows: dict[str, list]) -> Tokens:
+    return Tokens(
+        {r["token"]: (r["n0"], r["n1"], r["n2"]) for r in rows["before"]}, {r["token"]: (r["n0"], r["n1"]) for r in rows["first"]}, {r["token"]: r["n0"] for r in rows["never"]}
+    )
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(role, token, n0, n1, n2, small): how often each token stood there, at a paragraph's turn, before a small letter."""
+    counts = rows.where("role in ('prev', 'next')").groupBy("role", "token").agg(*(F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(3)))
+    first = F.substring("token", 1, 1)
+    return cut(counts.withColumn("small", F.lower(first) != F.upper(first)))
+
+
+def _known(counts: DataFrame, kept: int) -> tuple[Tokens, DataFrame | None]:
+    """The most frequent telling tokens of each kind, and a table (kind, token, n0, n1, n2) of all others, if there are any."""
+    found: dict[str, list] = {}
+    rest = []
+    for kind, telling in _TELLING.items():
+        top = counts.where(telling).orderBy(F.desc("n0"), "token").limit(kept + 1).collect()
+        found[kind] = top[:kept]
+        if len(top) > kept:
+            n, token = top[kept]["n0"], top[kept]["token"]
+            behind = (F.col("n0") < n) | ((F.col("n0") == n) & (F.col("token") >= token))
+            rest.append(counts.where(telling).where(behind).select(F.lit(kind).alias("kind"), "token", "n0", "n1", "n2"))
+    return _as_tokens(found), reduce(DataFrame.unionByName, rest) if rest else None
+
+
+def _train(rows: DataFrame, counts: DataFrame, sample: int) -> np.ndarray:
+    """Weights fitted on the sample's reliable candidates, with the exact counts of their tokens."""
+    drawn = rows.where("role = 'sample'").orderBy(F.col("n")[0], "token", "code").select("code", "token", F.col("n")[1].alias("turn")).limit(sample).collect()
+    parted = [(code, *pair.partition("\t")[::2], turn) for code, pair, turn in drawn]
+    wanted = rows.sparkSession.createDataFrame(sorted({("prev", p[1]) for p in parted} | {("next", p[2]) for p in parted}), "role string, token string")
+    telling = counts.join(F.broadcast(wanted), ["role", "token"], "left_semi")  # two tokens of a sampled candidate at most
+    tokens = _as_tokens({kind: telling.where(condition).collect() for kind, condition in _TELLING.items()})
     x, y = [], []
-    for code, pair, turn in drawn:
-        word, _, token = pair.partition("\t")
+    for code, word, token, turn in parted:
         if turn or code & 7 == THAI or tokens.is_no_end(code, word, token):
             x.append(np.concatenate((static_features(code), tokens.features(code, word, token))))
             y.append(float(bool(turn) or code & 7 == THAI))
-    if len(set(y)) < 2:
-        return DEFAULT_WEIGHTS
-    return fit(np.array(x), np.array(y))
+    return fit(np.array(x).reshape(len(x), len(FEATURES)), np.array(y), PRIOR)
 
 
-def _tokens(rows: DataFrame) -> Tokens:
-    counts = rows.where("role in ('prev', 'next')").groupBy("role", "token").agg(*(F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(3)))
-    counts = cut(counts)
-    telling = (F.col("role") == "prev") & (F.col("n0") >= 2) & ((F.col("n1") * 10 < F.col("n0")) | (F.col("n2") > 0))
-    before = counts.where(telling).orderBy(F.desc("n0"), "token").limit(KEPT).collect()
-    is_next, small = F.col("role") == "next", F.lower(F.substring("token", 1, 1)) != F.upper(F.substring("token", 1, 1))
-    first = counts.where(is_next & small & (F.col("n1") * 20 > F.col("n0"))).orderBy(F.desc("n1"), "token").limit(KEPT).collect()
-    never = counts.where(is_next & small & (F.col("n1") == 0) & (F.col("n0") >= 2)).orderBy(F.desc("n0"), "token").limit(KEPT).collect()
-    return Tokens(
-        {r["token"]: (r["n0"], r["n1"], r["n2"]) for r in before}, {r["token"]: (r["n0"], r["n1"]) for r in first}, {r["token"]: r["n0"] for r in never}
-    )
+REST_BITS = 1 << 24  # a filter of fixed size; it only spares candidates the join
+
+
+def _bit(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) % REST_BITS
+
+
+def _bits_of(rest: DataFrame) -> bytes:
+    """Filter of the tokens beyond the known ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["bit"])
+
+    words = rest.select("token").mapInArrow(run, "bit long").groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("held"))
+    held = np.zeros(REST_BITS // 32, dtype=np.uint32)
+    for word, bits in words.toLocalIterator():
+        held[word] = bits
+    return held.tobytes()
+
+
+def _score(tokens: Tokens, weights: np.ndarray, code: int, word: str, token: str) -> float:
+    return float(static_features(code) @ weights[:N_STATIC]) + float(np.array(tokens.features(code, word, token)) @ weights[N_STATIC:])
+
+
+_OPEN = ("doc_id", "sent_end", "code", "word", "token")
 
 
 def _decide(model):
+    """(doc_id, sent_end) of all ends; with a filter of other telling tokens also the candidates that need these (code not null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, weights = model.value
+        tokens, weights, others = model.value
         # the score is a sum over (code), (code, token before) and (code, token after); each part is worked out once
         static: dict[int, float] = {}
         by_word: dict[tuple[int, str], float] = {}
         by_token: dict[tuple[int, str], float] = {}
         dynamic = weights[N_STATIC:]
+        asked: dict[str, bool] = {}
 
         def part(known: dict, code: int, word: str, token: str, picked: slice) -> float:
             if len(known) > 200_000:
                 known.clear()
             return float(np.array(tokens.features(code, word, token)[picked]) @ dynamic[picked])
 
+        def is_other(token: str) -> bool:
+            found = asked.get(token)
+            if found is None:
+                if len(asked) > 200_000:
+                    asked.clear()
+                bit = _bit(token)
+                found = asked[token] = bool(others[bit >> 3] >> (bit & 7) & 1)
+            return found
+
         for batch in batches:
             lists = []
-            for ends, at, codes, words, following in zip(*(batch.column(c).to_pylist() for c in ("ends", "c_end", "c_code", "c_prev", "c_next"))):
+            undecided: list[tuple] = []
+            for key, ends, at, codes, words, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ends", "c_end", "c_code", "c_prev", "c_next"))):
                 kept = list(ends)
                 for end, code, word, token in zip(at, codes, words, following):
+                    if others is not None and (word and is_other(word) or token and is_other(token)):
+                        undecided.append((key, end, code, word, token))
+                        continue
                     score = static.get(code)
                     if score is None:
                         score = static[code] = float(static_features(code) @ weights[:N_STATIC])
@@ -466,20 +551,57 @@ def _decide(model):
                 lists.append(kept)
             counts = np.array([len(x) for x in lists], dtype=np.int64)
             keys = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(lists)), counts)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(list(chain.from_iterable(lists)), pa.int64())], names=["doc_id", "sent_end"])
+            columns = [keys, pa.array(list(chain.from_iterable(lists)), pa.int64())]
+            if others is None:
+                yield pa.RecordBatch.from_arrays(columns, names=_OPEN[:2])
+                continue
+            types = (keys.type, pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(keys), t) for t in types[2:])], names=_OPEN)
+            if undecided:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*undecided), types)], names=_OPEN)
+
+    return run
+
+
+def _decide_open(model):
+    """The same for candidates that came with the counts of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights, _ = model.value
+        for batch in batches:
+            keep = []
+            for code, word, token, before, first, never in zip(*(batch.column(c).to_pylist() for c in ("code", "word", "token", "before", "first", "never"))):
+                tokens = Tokens(
+                    {word: tuple(before.values())} if before else {word: known.before[word]} if word in known.before else {},
+                    {token: (0, 0)} if first or token in known.small_first else {},
+                    {token: never["n0"] if never else known.never_first.get(token, 0)},
+                )
+                keep.append(_score(tokens, weights, code, word, token) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sent_end")], names=_OPEN[:2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def sentence_ends(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def sentence_ends(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, kept: int = KEPT) -> DataFrame:
     """(key, sent_end) of every sentence unit of every document."""
+    spark = documents.sparkSession
     narrow = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     whole = narrow.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     kind, arrow_kind = ("long", pa.int64()) if whole else ("string", pa.string())
     narrow = narrow.withColumn("doc_id", F.col("doc_id").cast(kind))
     rows = cut(narrow.mapInArrow(_extract(arrow_kind, sample), _ROW.format(key=kind)))
-    tokens = _tokens(rows)
-    weights = _train(rows, tokens, sample)
-    model = documents.sparkSession.sparkContext.broadcast((tokens, weights))
+    counts = _counts(rows)
+    tokens, rest = _known(counts, kept)
+    weights = _train(rows, counts, sample)
+    model = spark.sparkContext.broadcast((tokens, weights, _bits_of(rest) if rest is not None else None))
     found = rows.where("role is null").select("doc_id", "ends", "c_end", "c_code", "c_prev", "c_next")
-    return found.mapInArrow(_decide(model), f"doc_id {kind}, sent_end long").withColumnRenamed("doc_id", key)
+    short = f"doc_id {kind}, sent_end long"
+    if rest is None:
+        return found.mapInArrow(_decide(model), short).withColumnRenamed("doc_id", key)
+    every = cut(found.mapInArrow(_decide(model), f"{short}, code int, word string, token string"))
+    undecided = every.where("code is not null")
+    for name, by in (("before", "word"), ("first", "token"), ("never", "token")):
+        told = rest.where(F.col("kind") == name).select(F.col("token").alias(by), F.struct("n0", "n1", "n2").alias(name))
+        undecided = undecided.join(told, by, "left")
+    decided = undecided.select("doc_id", "sent_end", "code", "word", "token", "before", "first", "never").mapInArrow(_decide_open(model), short)
+    return every.where("code is null").select("doc_id", "sent_end").unionByName(decided).withColumnRenamed("doc_id", key)

@@ -54,3 +54,43 @@ def test_long_quotations_hide_their_stops():
     text = f"He said “{inner}It was over” and left. Then (see it) he came back."
     quoted = [bool(code & QUOTED) for _, code, _, _ in candidates(text, 0, len(text))]
     assert quoted == [True] * 80 + [False]
+
+
+def test_tokens_beyond_the_known_ones_decide_alike(spark):
+    rng = random.Random(8)
+    names = [f"abbr{k}" for k in range(40)]
+    rows = []
+    for i in range(150):
+        lines = [f"The {rng.choice(names)}. Moor pump failed", f"Sure thing went in {rng.choice(names)}", f"{rng.choice('eh so no'.split())} well, they said", "Others ran on"]
+        said = [". ".join(rng.choices(lines, k=3)) + "." for _ in range(4)]
+        rows.append((i, "\n\n".join(said)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ends = [sorted(tuple(r) for r in sentence_ends(df, kept=kept).collect()) for kept in (1 << 16, 3, 0)]
+    assert ends[0] == ends[1] == ends[2] and len(ends[0]) > len(rows) * 4
+
+
+def test_no_token_is_cut():
+    long = "x" * 300
+    text = f"{long}a. {long}b said. End"
+    words = [(w, t) for _, _, w, t in candidates(text, 0, len(text))]
+    other = [(w, t) for _, _, w, t in candidates(text.replace("xa.", "xc."), 0, len(text))]
+    assert words[0][0] != other[0][0] and words[0][1] == other[0][1] and words[0][0].startswith("x#")
+
+
+def test_a_corpus_with_one_kind_of_example_is_decided_by_the_prior(spark):
+    df = spark.createDataFrame([(1, "One pump ran. Two failed."), (2, "Three ran.\n\nFour ran.")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in sentence_ends(df).collect()) == [(1, 13), (1, 25), (2, 10), (2, 21)]
+
+
+def test_hostile_texts_end():
+    import time
+
+    from tessera.llm.sentences import _turn
+
+    began = time.time()
+    for piece in ("。", "字", "字。", "a", "a.", ". ", "“a. ", "x\u00a0", ".)", "1.", "- a\n", "\u0e01 "):
+        text = piece * (60_000 // len(piece))
+        for a, b, is_open in units(text):
+            candidates(text, a, b)
+            _turn(text, a, b)
+    assert time.time() - began < 8
