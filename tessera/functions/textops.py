@@ -137,7 +137,11 @@ def strip_front_matter(text: Column) -> Column:
     return F.when(text.startswith("---\n") & (end > 0), rest).otherwise(text)
 
 
-def remove_decorative_images(text: Column, hints: tuple[str, ...] = ("logo", "icon", "bullet", "separator", "decoration", "bg_")) -> Column:
+# Parts of the file names of images that only decorate.
+DECORATIVE = ("logo", "icon", "bullet", "separator", "decoration", "bg_")
+
+
+def remove_decorative_images(text: Column, hints: tuple[str, ...] = DECORATIVE) -> Column:
     """Images without alternative text whose source carries one of the hints; long runs of line ends shrink to two."""
     bare = F.regexp_replace(text, rf"(?i)!\[\]\([^)]*(?:{'|'.join(hints)})[^)]*\)", "")
     return F.regexp_replace(bare, r"\n{3,}", "\n\n")
@@ -188,3 +192,17 @@ def language_for_engine(text: Column) -> Column:
     cjk = F.length(text) - F.length(F.regexp_replace(text, r"[\x{4E00}-\x{9FFF}]", ""))
     latin = F.length(text) - F.length(F.regexp_replace(text, r"[A-Za-z]", ""))
     return F.when(cjk >= F.greatest(F.lit(20), F.floor(1.2 * latin)), "ch").otherwise("en")
+
+
+# --- settings and JSON -------------------------------------------------------------------------------------------------
+
+
+def tri_state(flag: Column, configured: Column, policy: Column) -> Column:
+    """On, off, or by what is configured and the policy allows: for true, on, yes, 1; false, off, no, 0; anything else."""
+    said = F.lower(strip(flag.cast("string")))
+    return F.when(said.isin("true", "on", "yes", "1"), True).when(said.isin("false", "off", "no", "0"), False).otherwise(configured & policy)
+
+
+def json_object(*values: Column, names: tuple[str, ...]) -> Column:
+    """The values as one JSON object; nulls are written."""
+    return F.to_json(F.struct(*(v.alias(n) for v, n in zip(values, names))), {"ignoreNullFields": "false"})

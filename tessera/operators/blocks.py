@@ -19,6 +19,28 @@ def table_blocks(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
     return runs.where(F.col("n") >= least).select(key, "block", "line_no", (F.col("line_no") - F.col("block") + 1).alias("row_no"), "line")
 
 
+def placed_rows(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """(key, line_no, line, block, row_no): every line; rows of table blocks with their block and place in it, others with nulls."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    pipe = T.is_pipe_row(F.col("line"))
+    goes_on = F.coalesce(F.lag("pipe").over(w) & (F.lag("line_no").over(w) == F.col("line_no") - 1), F.lit(False))
+    df = lines.select(key, "line_no", "line", pipe.alias("pipe")).withColumn("island", F.when(F.col("pipe") & ~goes_on, F.col("line_no")))
+    df = df.withColumn("island", F.when(F.col("pipe"), F.last("island", ignorenulls=True).over(w)))
+    # a block of one row is none: the row after its first one would have to be of the same island
+    after = F.lead("island").over(w)
+    df = df.withColumn("whole", (F.col("line_no") > F.col("island")) | (after == F.col("island"))) if least == 2 else df.withColumn("whole", F.col("pipe"))
+    block = F.when(F.col("whole"), F.col("island"))
+    return df.select(key, "line_no", "line", block.alias("block"), (F.col("line_no") - block + 1).alias("row_no"))
+
+
+def block_around(lines: DataFrame, at: DataFrame, key: str) -> DataFrame:
+    """(key, at, first, last): the run of pipe rows around each line named in ``at`` (key, at); a single row is one too."""
+    rows = placed_rows(lines, key, least=1).where("block is not null")
+    bounds = rows.groupBy(key, "block").agg(F.max("line_no").alias("last")).withColumnRenamed("block", "first")
+    named = rows.select(key, F.col("line_no").alias("at"), F.col("block").alias("first"))
+    return at.select(key, "at").join(named, [key, "at"]).join(bounds, [key, "first"]).select(key, "at", "first", "last")
+
+
 def headings(lines: DataFrame, key: str) -> DataFrame:
     """(key, line_no, level, title) of every heading line outside fenced code."""
     fence = F.col("line").rlike(r"^\s*(```|~~~)")

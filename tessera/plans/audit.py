@@ -15,23 +15,20 @@ from tessera.session import read
 
 def order_tables(spark, d):
     """(doc, line_no, line): one pipe table for each order; by its key it is torn, fused, blank or flattened."""
-    items = read(spark, d, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     k = F.col("l_orderkey")
     n, q, p = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string")
     torn = F.concat(F.lit("| "), q, F.lit(" | "), n, F.lit(" | x 10 | - "), n, F.lit(" |"))
     plain = F.concat(F.lit("| part "), p, F.lit(" | "), q, F.lit(" | sum |  |"))
-    rows = items.select(k.alias("doc"), (F.row_number().over(w) + 2).cast("long").alias("line_no"), F.when(k % 5 == 0, torn).otherwise(plain).alias("line"))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(k % 5 == 0, torn).otherwise(plain).alias("line"))
+    orders = read(spark, d, "lineitem").groupBy(k.alias("doc")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["line"]).alias("rows"))  # an order has few lines
     header = (
         F.when(F.col("doc") % 7 == 0, "| total 5 | rate 3.1% | a | b |")
         .when(F.col("doc") % 11 == 0, "|  |  |  |  |")
         .when(F.col("doc") % 13 == 0, "| big net price | small net price | gross sum | x |")
         .otherwise("| part | quantity | sum | note |")
     )
-    docs = items.select(k.alias("doc")).distinct()
-    heads = docs.select("doc", F.lit(1).cast("long").alias("line_no"), header.alias("line"))
-    rules = docs.select("doc", F.lit(2).cast("long").alias("line_no"), F.lit("|---|---|---|---|").alias("line"))
-    return heads.unionByName(rules).unionByName(rows)
+    lines = F.concat(F.array(header, F.lit("|---|---|---|---|")), "rows")
+    return orders.select("doc", F.posexplode(lines).alias("pos", "line")).select("doc", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def dirty_texts(spark, d):
@@ -62,7 +59,7 @@ def det_sanitize(spark, d):
     """DET-102, DET-106, DET-108a, SAN, SNK-10."""
     t = dirty_texts(spark, d)
     control, spans, brackets = A.sanitize_counts(F.col("text"))
-    return t.select("doc", F.length(A.sanitize(F.col("text"))).alias("n_left"), control.alias("n_control"), spans.alias("n_spans"), brackets.alias("n_brackets"))
+    return t.select("doc", F.md5(A.sanitize(F.col("text"))).alias("left_hash"), control.alias("n_control"), spans.alias("n_spans"), brackets.alias("n_brackets"))
 
 
 def det_empty_header(spark, d):
@@ -95,33 +92,41 @@ def det_image_links(spark, d):
 
 
 def audit_run(spark, d):
-    """AUD, AUD-RUN, AGG-05, SET-05: all rules over all order tables, severities counted by document."""
-    lines = order_tables(spark, d)
-    return A.severity_counts(A.all_rules(lines, B.table_blocks(lines, "doc"), "doc"), "doc")
+    """AUD, AGG-05, SET-05: all rules over all order tables, severities counted by document."""
+    return A.severity_counts(A.all_rules(order_tables(spark, d), "doc"), "doc")
 
 
 def qc_gate(spark, d):
-    """QC-01 to QC-06 of every report."""
+    """QC-01 to QC-06 of every report: tables against the number the engine reported, escalated by critical issues and segments of its package."""
     r = R.reports(spark, d)
-    n_tables = B.table_blocks(R.report_lines(spark, d), "report_id").groupBy("report_id").agg(F.count_distinct("block").alias("n_tables"))
-    critical = A.garbled(R.report_lines(spark, d), "report_id").select("report_id", F.lit(True).alias("critical"))
-    r = r.join(n_tables, "report_id", "left").join(critical, "report_id", "left")
+    expected = read(spark, d, "extract_reports").groupBy("report_id").agg(F.max("table_count").alias("expected"))
+    lines = R.report_lines(spark, d)
+    n_tables = B.table_blocks(lines, "report_id").groupBy("report_id").agg(F.count_distinct("block").alias("n_tables"))
+    critical = A.garbled(lines, "report_id").select("report_id", F.lit(True).alias("critical"))
+    packages = read(spark, d, "package_metadata").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.size("degraded_segments")).alias("n_degraded"))
+    r = r.join(expected, "report_id").join(n_tables, "report_id", "left").join(critical, "report_id", "left").join(packages, "doc_id", "left")
     scores = {
         "text": A.completeness(F.col("text"), F.col("page_count")),
         "headings": A.heading_structure(F.col("text")),
         "formulas": A.formula_integrity(F.col("text")),
-        "tables": A.table_coverage(F.coalesce("n_tables", F.lit(0)), F.lit(0)),
+        "tables": A.table_coverage(F.coalesce("n_tables", F.lit(0)), F.col("expected")),
     }
-    verdict, failed, warned = A.gate(scores, F.coalesce("critical", F.lit(False)))
+    verdict, failed, warned = A.gate(scores, F.coalesce("critical", F.lit(False)) | (F.coalesce("n_degraded", F.lit(0)) > 0), F.col("text"))
     return r.select("report_id", *(F.round(s, 6).alias(n) for n, s in scores.items()), verdict.alias("verdict"), failed.alias("failed"), warned.alias("warned"))
 
 
 def seq_table_blocks(spark, d):
-    """SEQ-01, SEQ-02: extent of every table block of table chunks."""
+    """SEQ-01: extent of every table block of table chunks."""
     b = B.table_blocks(R.table_lines(spark, d), "chunk_id")
     return b.groupBy("chunk_id", "block").agg(F.max("line_no").alias("last_line"), F.count("*").alias("n_rows"))
 
 
+def seq_block_around(spark, d):
+    """SEQ-02: the block around every third line of table chunks, where that line is a row."""
+    lines = R.table_lines(spark, d)
+    return B.block_around(lines, lines.where("line_no % 3 = 2").select("chunk_id", F.col("line_no").alias("at")), "chunk_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith(("det_", "audit_", "qc_", "seq_")) and callable(v)}
 
 ORDERS = """orders_t as (
@@ -170,7 +175,7 @@ SQL = {
     "det_garbled": LINES + _issue(r"select * from lines where regexp_matches(line, '[\x{FFFD}\x{E000}-\x{F8FF}]')", "doc", "101", "critical"),
     "det_sanitize": rf"""
 with {DIRTY}, bare as (select doc, text, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') as b from dirty)
-select doc, length(replace(replace(replace(b, '<span></span>', ''), '[\[', '[['), '\]](', ']](')) as n_left, length(text) - length(b) as n_control,
+select doc, md5(replace(replace(replace(b, '<span></span>', ''), '[\[', '[['), '\]](', ']](')) as left_hash, length(text) - length(b) as n_control,
     len(regexp_extract_all(b, '<span></span>')) as n_spans, len(regexp_extract_all(b, '\[\\\[')) + len(regexp_extract_all(b, '\\\]\]\(')) as n_brackets from bare""",
     "det_empty_header": HEAD + RULE_103,
     "det_torn_numbers": HEAD + RULE_104,
@@ -192,17 +197,23 @@ from refs""",
 with {S.REPORTS}, {S.lines('reports', 'report_id')}, {_blocks_sql('lines', 'report_id')},
 t as (select report_id, count(distinct block) as n_tables from blocks group by report_id),
 g as (select distinct report_id from lines where regexp_matches(line, '[\x{{FFFD}}\x{{E000}}-\x{{F8FF}}]')),
-f as (select report_id, text, page_count, length({S.strip('text')}) / page_count as rate, len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) as h,
+f as (select report_id, doc_id, text, page_count, length({S.strip('text')}) / page_count as rate, len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) as h,
       list_transform(regexp_extract_all(text, '\$[^$]+\$'), lambda x: {S.strip("regexp_replace(x, '^[$]|[$]$', '', 'g')")}) as inner_f from reports),
 s as (select f.report_id,
       case when coalesce(page_count, 0) <= 0 then case when length(text) > 100 then 1.0 else 0.0 end when rate >= 1000 then 1.0 when rate >= 500 then 0.8 when rate >= 200 then 0.5 when rate >= 50 then 0.3 else 0.1 end::double as text_s,
       case when h >= 5 then 1.0 when h >= 3 then 0.7 when h >= 1 then 0.4 else 0.1 end::double as headings,
       case when len(inner_f) = 0 then 1.0 else 1.0 - len(list_filter(inner_f, lambda x: regexp_full_match(x, '\?*') or contains(x, '???'))) / len(inner_f) end::double as formulas,
-      case when coalesce(n_tables, 0) > 0 then 1.0 else 0.5 end::double as tables, g.report_id is not null as critical
-      from f left join t on t.report_id = f.report_id left join g on g.report_id = f.report_id),
+      case when coalesce(expected, 0) <= 0 then case when coalesce(n_tables, 0) > 0 then 1.0 else 0.5 end else least(1.0, coalesce(n_tables, 0) / expected) end::double as tables,
+      g.report_id is not null or coalesce(n_degraded, 0) > 0 as critical, length({S.strip('text')}) = 0 as blank
+      from f left join t on t.report_id = f.report_id left join g on g.report_id = f.report_id
+      join (select report_id, max(table_count) as expected from extract_reports group by 1) x on x.report_id = f.report_id
+      left join (select doc_id, max(len(degraded_segments)) as n_degraded from package_metadata group by 1) k on k.doc_id = f.doc_id),
 v as (select *, list_filter([case when text_s < 0.3 then 'text' end, case when headings < 0.1 then 'headings' end, case when formulas < 0.5 then 'formulas' end], lambda x: x is not null) as failed,
       list_filter([case when text_s >= 0.3 and text_s < 0.6 then 'text' end, case when headings >= 0.1 and headings < 0.4 then 'headings' end, case when formulas >= 0.5 and formulas < 0.8 then 'formulas' end, case when tables < 0.5 then 'tables' end], lambda x: x is not null) as warned from s)
-select report_id, text_s as text, headings, round(formulas, 6) as formulas, tables, case when len(failed) > 0 then 'HALT' when len(warned) > 0 or critical then 'WARN' else 'PASS' end as verdict,
+select report_id, text_s as text, headings, round(formulas, 6) as formulas, round(tables, 6) as tables, case when blank or len(failed) > 0 then 'HALT' when len(warned) > 0 or critical then 'WARN' else 'PASS' end as verdict,
     array_to_string(failed, ',') as failed, array_to_string(warned, ',') as warned from v""",
+    "seq_block_around": rf"""with {S.TABLES}, {S.lines('tables', 'chunk_id')}, p as (select chunk_id, line_no, line_no - row_number() over (partition by chunk_id order by line_no) as island from lines where regexp_matches({S.strip('line')}, '^\|.*\|$')),
+e as (select chunk_id, island, min(line_no) as "first", max(line_no) as "last" from p group by 1, 2)
+select p.chunk_id, line_no as "at", "first", "last" from p join e on e.chunk_id = p.chunk_id and e.island = p.island where line_no % 3 = 2""",
     "seq_table_blocks": rf"with {S.TABLES}, {S.lines('tables', 'chunk_id')}, {_blocks_sql('lines', 'chunk_id')} select chunk_id, block, max(line_no) as last_line, count(*) as n_rows from blocks group by chunk_id, block",
 }

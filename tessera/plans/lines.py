@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
@@ -10,25 +10,24 @@ from tessera.plans import _sql as S
 from tessera.session import read
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return docs.select("doc_id", "source", F.posexplode(T.split_lines(F.col("text"))).alias("line_no", "line"))
+def repeated_lines(lines: Column, least: int = 4, longest: int = 60) -> Column:
+    """Running headers of one document: short lines that occur at least ``least`` times in its array of lines.
 
-
-def repeated_lines(lines: DataFrame, least: int = 4, longest: int = 60) -> DataFrame:
-    """Running headers: short lines that occur at least ``least`` times in one document."""
-    trimmed = lines.select("doc_id", T.strip(F.col("line")).alias("line"))
-    short = trimmed.where((F.length("line") > 0) & (F.length("line") < longest) & F.col("line").rlike(r"[\p{L}\p{N}]"))
-    return short.groupBy("doc_id", "line").count().where(F.col("count") >= least)
+    In the sorted array a line that occurs so often equals the one ``least`` - 1 places later.
+    """
+    short = F.sort_array(F.filter(lines, lambda x: F.length(x).between(1, longest - 1) & x.rlike(r"[\p{L}\p{N}]")))
+    pairs = F.zip_with(short, F.slice(short, F.lit(least), F.size(short)), lambda x, y: F.when(x == y, x))
+    return F.array_compact(F.array_distinct(pairs))
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = document_lines(spark, sf_dir).withColumn("line", T.strip(F.col("line")))
-    headers = repeated_lines(lines).select("doc_id", "line")
-    kept = lines.join(headers, ["doc_id", "line"], "left_anti")
-    return kept.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(
-        F.count("*").alias("n_lines"), F.sum(T.estimate_tokens(F.col("line"))).alias("n_tokens")
-    )
+    """Lines and tokens by source without running headers; documents are rows, so only the sums are shuffled."""
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("source", F.transform(T.split_lines(F.col("text")), T.strip).alias("lines"))
+    docs = docs.withColumn("headers", repeated_lines(F.col("lines")))
+    kept = F.when(F.size("headers") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("headers", x)))
+    tokens = F.aggregate(F.transform("kept", lambda x: T.estimate_tokens(x)), F.lit(0).cast("long"), lambda total, n: total + n)
+    summed = docs.withColumn("kept", kept).select(F.coalesce("source", F.lit("unknown")).alias("source"), F.size("kept").alias("n"), tokens.alias("t")).where("n > 0")
+    return summed.groupBy("source").agg(F.sum("n").alias("n_lines"), F.sum("t").alias("n_tokens"))
 
 
 QUERIES = {"corpus_summary": corpus_summary}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors", "packages"]
+MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors", "packages", "jobs"]
 
 
 def _gather(attribute: str) -> dict:

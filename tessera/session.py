@@ -29,13 +29,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where no such folder is set (tests, one machine) a temporary one of this machine is used.
+    Only on one machine (a local master, as in tests) a temporary folder of this machine is used where none is set.
     """
     context = spark.sparkContext
     set_dir = context.getCheckpointDir()
     if set_dir:
         return set_dir
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
     context.setCheckpointDir(folder)
