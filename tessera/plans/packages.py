@@ -10,6 +10,7 @@ from tessera.functions import unicode as U
 from tessera.operators import classify as K
 from tessera.operators import packaging as P
 from tessera.plans import _sql as S
+from tessera.plans import layers as L
 from tessera.plans import tables as R
 from tessera.sources import documents as D
 from tessera.streaming import ingest as I
@@ -45,9 +46,18 @@ def snk_readme(spark, d):
 
 
 def snk_manifest(spark, d):
-    """SNK-06: manifests over the contents of each document's chunks as files."""
-    files = R.chunks(spark, d).where("doc_id is not null and content is not null").select("doc_id", F.concat(F.lit("chunks/"), "chunk_id").alias("path"), "content")
-    return P.manifest(files, "doc_id").select("doc_id", "files", "bytes")
+    """SNK-06: a row for each file of each package, its chunks' contents."""
+    return P.manifest(_files(spark, d), "doc_id")
+
+
+def _files(spark, d):
+    return R.chunks(spark, d).where("doc_id is not null and content is not null").select("doc_id", F.concat(F.lit("chunks/"), "chunk_id").alias("path"), "content")
+
+
+def snk_metadata(spark, d):
+    """SNK-06: metadata of each package, with a digest of its files."""
+    p = _packages(spark, d).select("doc_id", "title", U.slug(F.col("title"), F.col("doc_id")).alias("slug"), F.col("source_pdf").alias("source"), "pages")
+    return P.metadata(p, _files(spark, d), "doc_id")
 
 
 def snk_csv(spark, d):
@@ -56,12 +66,32 @@ def snk_csv(spark, d):
     return rows.select("chunk_id", "line_no", D.csv_line(T.cells(F.col("line"))).alias("record"))
 
 
+def snk_table_files(spark, d):
+    """SNK-02: the CSV file of each table; tables without a filled cell have none but are counted."""
+    rows = R.table_lines(spark, d).where(T.is_pipe_row(F.col("line")) & ~T.is_separator(F.col("line"))).withColumn("cells", T.cells(F.col("line")))
+    record = F.struct("line_no", D.csv_line(F.col("cells")).alias("record"))
+    texts = rows.groupBy("chunk_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(record)), lambda x: x["record"]), "\n").alias("csv"), F.max(F.exists("cells", lambda c: c != "")).alias("filled")
+    )  # one table's rows
+    tables = R.chunks(spark, d).where("chunk_type = 'table' and doc_id is not null and content is not null").select("doc_id", "chunk_id", "page", "seq")
+    named = P.table_files(tables, "doc_id", "page", ["seq", "chunk_id"]).join(texts, "chunk_id").where("filled")
+    return named.select("doc_id", "chunk_id", "file", F.md5("csv").alias("csv_hash"))
+
+
 def snk_slugs(spark, d):
     """SNK-03: slugs of packages, told apart where documents share a title."""
     p = _packages(spark, d)
     return P.unique_slugs(p.select("doc_id", U.slug(F.col("title"), F.col("doc_id")).alias("slug")))
 
 
+def snk_assemble(spark, d):
+    """SNK-03: slugs of packages written again beside folders of some of them, of others and of unknown documents."""
+    p = _packages(spark, d).select("doc_id", U.slug(F.col("title"), F.col("doc_id")).alias("slug"))
+    h = F.conv(F.substring("doc_id", 1, 4), 16, 10).cast("int")
+    folders = p.where(h % 3 != 0).select("slug", F.when(h % 3 == 1, F.col("doc_id")).when(h % 2 == 0, F.concat(F.lit("x"), "doc_id")).alias("doc_id"))
+    return P.assemble_slugs(p, folders)
+
+
 def snk_export(spark, d):
     """SNK-07, JON-13, STR-10: what an export to an older copy would do."""
     p = _packages(spark, d).select(F.col("doc_id").alias("slug"), F.col("content_hash").alias("hash"))
@@ -78,17 +108,21 @@ def src_known(spark, d):
 
 
 def src_doc_info(spark, d):
-    """SRC-13, SRC-14: page count, tables and images of each document over its runs."""
+    """SRC-13, SRC-14, TOOL-14: title, creator and file of each document, with page count, tables and images over its runs."""
     e = read(spark, d, "extract_reports").where("doc_id is not null").dropDuplicates(["report_id"])
-    return e.groupBy("doc_id").agg(F.coalesce(F.max("page_count"), F.lit(0)).alias("pages"), F.max("table_count").alias("tables"), F.max("image_count").alias("images"), F.count("*").alias("runs"))
+    stem = F.max(F.try_element_at("metadata", F.lit("stem"))).alias("stem")
+    runs = e.groupBy("doc_id").agg(F.coalesce(F.max("page_count"), F.lit(0)).alias("pages"), F.max("table_count").alias("tables"), F.max("image_count").alias("images"), F.count("*").alias("runs"), stem)
+    p = _packages(spark, d).select("doc_id", "title", F.col("generator").alias("creator"))
+    return runs.join(p, "doc_id", "left").select("doc_id", T.derive_title(F.col("title"), F.col("stem")).alias("title"), "creator", "pages", "tables", "images", "runs")
 
 
 def cls_documents(spark, d):
-    """CLS-01, CLS-02, AGG-06: type of every report's document by file stem and first pages."""
+    """CLS-01, CLS-02, AGG-06, TOOL-13: type of every report's document by file stem and first pages, with features and whether it is a scan."""
     r = R.reports(spark, d)
     first_pages = F.array_join(F.slice(T.split_lines(F.col("text")), 1, 5 * 40), "\n")  # the classifier looks at five pages, here of 40 lines
     docs = r.select(F.col("report_id").alias("doc_id"), F.try_element_at("metadata", F.lit("stem")).alias("name"), first_pages.alias("sample"), F.col("page_count").alias("pages"))
-    return K.classify(docs)
+    scans = L.pred_scanned(spark, d).select(F.col("report_id").alias("doc_id"), F.col("scanned").alias("is_scanned"), F.col("textless"))
+    return K.classify(docs).join(scans, "doc_id", "left")
 
 
 def top_recent_jobs(spark, d):
@@ -106,10 +140,11 @@ def top_jobs_kept(spark, d):
 
 
 def top_tables(spark, d):
-    """TOP-05: the five largest tables of each document."""
-    t = R.chunks(spark, d).where("chunk_type = 'table' and doc_id is not null and content is not null")
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("content")), "chunk_id")
-    return t.withColumn("place", F.row_number().over(w)).where("place <= 5").select("doc_id", "chunk_id", "place")
+    """TOP-05: at most 30 tables and 20 figures of each document, the first ones (a cap that is the feature)."""
+    t = R.chunks(spark, d).where("chunk_type in ('table', 'figure') and doc_id is not null and content is not null")
+    w = Window.partitionBy("doc_id", "chunk_type").orderBy("seq", "chunk_id")
+    kept = t.withColumn("place", F.row_number().over(w)).where("place <= 30 and (chunk_type = 'table' or place <= 20)")
+    return kept.select("doc_id", "chunk_type", "chunk_id", "place")
 
 
 def agg_batch(spark, d):
@@ -119,10 +154,10 @@ def agg_batch(spark, d):
 
 
 def set_segments(spark, d):
-    """SET-07, STR-05, STR-06: chunks of each document put together in order, with their states."""
+    """SET-07: the distinct segments of each document as one digest that depends on their places, with those of unknown page."""
     c = R.chunks(spark, d).where("doc_id is not null and content is not null")
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk_id", "content"))), lambda x: x["content"]), "\n\n")
-    return c.groupBy("doc_id").agg(F.md5(whole).alias("text_hash"), F.count_if(F.col("page").isNull()).alias("n_unplaced"))
+    placed = P.digest(c, "doc_id", F.col("seq"), F.col("chunk_id"), F.md5("content"))
+    return placed.join(c.groupBy("doc_id").agg(F.count_if(F.col("page").isNull()).alias("n_unplaced")), "doc_id").select("doc_id", "n", F.col("digest").alias("text_digest"), "n_unplaced")
 
 
 def str_ingest(spark, d):
@@ -164,7 +199,23 @@ SQL = {
     "snk_readme": f"""with {CHUNKS}, {PACKAGES}, {SLUG}, n as (select doc_id, count(*) as n_chunks, count(*) filter (chunk_type = 'table') as n_tables from c where doc_id is not null group by 1)
 select s.doc_id, '# ' || title || chr(10) || '| path | content |' || chr(10) || '|---|---|' || chr(10) || '| ' || slug || '.md | text |' || chr(10) || '| data/chunks.jsonl | ' || n_chunks || ' chunks |'
     || case when n_tables > 0 then chr(10) || '| tables/ | ' || n_tables || ' tables |' else '' end as readme from s join n on n.doc_id = s.doc_id where title is not null""",
-    "snk_manifest": f"with {CHUNKS} select doc_id, count(*) as files, sum(strlen(content))::bigint as bytes from c where doc_id is not null and content is not null group by 1",
+    "snk_manifest": f"with {CHUNKS} select doc_id, 'chunks/' || chunk_id as path, substr(sha256(content), 1, 16) as sha256, strlen(content)::bigint as bytes from c where doc_id is not null and content is not null",
+    "snk_metadata": f"""with {CHUNKS}, {PACKAGES}, {SLUG},
+f as (select doc_id, 'chunks/' || chunk_id as path, substr(sha256(content), 1, 16) as sha, strlen(content)::bigint as b from c where doc_id is not null and content is not null),
+g as (select doc_id, count(*) as n, sum(b)::bigint as b, sum(('0x' || substr(md5(path || '|' || sha), 1, 15))::bigint)::hugeint::varchar as h from f group by 1)
+select s.doc_id, '{{"schema_version":"1","doc_id":' || to_json(s.doc_id)::varchar || ',"title":' || coalesce(to_json(title)::varchar, 'null') || ',"slug":' || to_json(slug)::varchar || ',"source":' || coalesce(to_json(source_pdf)::varchar, 'null')
+    || ',"pages":' || coalesce(pages::varchar, 'null') || ',"files":' || coalesce(n, 0) || ',"bytes":' || coalesce(b, 0) || ',"content_hash":' || coalesce('"' || h || '"', 'null') || '}}' as metadata from s left join g on g.doc_id = s.doc_id""",
+    "snk_table_files": rf"""with {CHUNKS}, {S.TABLES}, {S.lines('tables', 'chunk_id')}, r as (select chunk_id, line_no, {S.cells('line')} as cells from lines where regexp_matches({S.strip('line')}, '^\|.*\|$') and not (regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-'))),
+t as (select chunk_id, md5(string_agg(array_to_string(list_transform(cells, lambda x: case when regexp_matches(x, '[",\r\n]') then '"' || replace(x, '"', '""') || '"' else x end), ','), chr(10) order by line_no)) as csv_hash,
+    bool_or(len(list_filter(cells, lambda x: x <> '')) > 0) as filled from r group by 1),
+k as (select doc_id, chunk_id, 'p' || coalesce(page, 0) || '_table_' || row_number() over (partition by doc_id order by coalesce(page, 0), seq nulls first, chunk_id) || '.csv' as file from c where chunk_type = 'table' and doc_id is not null and content is not null)
+select doc_id, k.chunk_id, file, csv_hash from k join t on t.chunk_id = k.chunk_id where filled""",
+    "snk_assemble": f"""with {PACKAGES}, {SLUG}, h as (select doc_id, slug, ('0x' || substr(doc_id, 1, 4))::int as h from s),
+fo as (select slug, case when h % 3 = 1 then doc_id when h % 2 = 0 then 'x' || doc_id end as owner from h where h % 3 <> 0),
+own as (select owner as doc_id, min(slug) as slug from fo where owner is not null group by 1), fresh as (select doc_id, slug from h where doc_id not in (select doc_id from own)),
+firsts as (select slug, min(doc_id) as first_doc from fresh group by 1)
+select h.doc_id, own.slug from h join own on own.doc_id = h.doc_id
+union all select f.doc_id, case when f.doc_id <> first_doc or f.slug in (select slug from fo) then f.slug || '-' || substr(f.doc_id, 1, 8) else f.slug end from fresh f join firsts on firsts.slug = f.slug""",
     "snk_csv": rf"""with {S.TABLES}, {S.lines('tables', 'chunk_id')} select chunk_id, line_no, array_to_string(list_transform({S.cells('line')}, lambda x: case when regexp_matches(x, '[",\r\n]') then '"' || replace(x, '"', '""') || '"' else x end), ',') as record
 from lines where regexp_matches({S.strip('line')}, '^\|.*\|$') and not (regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-'))""",
     "snk_slugs": f"with {PACKAGES}, {SLUG}, o as (select slug, min(doc_id) as owner from s group by 1) select doc_id, case when doc_id = owner then s.slug else s.slug || '-' || substr(doc_id, 1, 8) end as slug from s join o on o.slug = s.slug",
@@ -172,7 +223,9 @@ from lines where regexp_matches({S.strip('line')}, '^\|.*\|$') and not (regexp_f
 v as (select case when h % 5 = 0 then 'x' || slug else slug end as slug, case when h % 7 = 0 then null when h % 11 = 0 then 'other' else hash end as hash from h where h % 3 <> 0)
 select coalesce(h.slug, v.slug) as slug, case when h.slug is null then 'keep' when v.slug is null then 'copy' when h.hash = v.hash then 'skip' else 'conflict' end as action from h full join v on v.slug = h.slug""",
     "src_known": f"with {S.REPORTS} select report_id, doc_id from reports where doc_id is not null and doc_id not in (select doc_id from package_metadata where doc_id < '8')",
-    "src_doc_info": "with e as (select report_id, any_value(doc_id) as doc_id, max(page_count) as p, max(table_count) as t, max(image_count) as i from extract_reports where doc_id is not null group by 1) select doc_id, coalesce(max(p), 0) as pages, max(t) as tables, max(i) as images, count(*) as runs from e group by 1",
+    "src_doc_info": rf"""with {PACKAGES}, e as (select report_id, any_value(doc_id) as doc_id, max(page_count) as p, max(table_count) as t, max(image_count) as i, max(metadata['stem']) as stem from extract_reports where doc_id is not null group by 1),
+g as (select doc_id, coalesce(max(p), 0) as pages, max(t) as tables, max(i) as images, count(*) as runs, max(stem) as stem from e group by 1), j as (select g.*, {S.strip('p.title')} as t, p.generator as creator from g left join p on p.doc_id = g.doc_id)
+select doc_id, case when length(t) between 4 and 200 and length(regexp_replace(t, '\P{{L}}', '', 'g')) >= 4 and not regexp_matches(lower(t), '\.(pdf|docx?|tex|dvi|indd|pptx?|xlsx?)$') then t else stem end as title, creator, pages, tables, images, runs from j""",
     "cls_documents": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, five as (select report_id, string_agg(line, chr(10) order by line_no) as sample from lines where line_no <= 200 group by 1),
 f as (select r.report_id as doc_id, lower(coalesce(metadata['stem'], '')) as name, coalesce(sample, '') as sample, coalesce(page_count, 0) as pages from reports r left join five on five.report_id = r.report_id),
 g as (select *, regexp_matches(sample, '(?i)\$[^$]+\$|\\frac|\\sum|\\int|\\begin\{{equation|\\begin\{{align') as formulas, regexp_matches(sample, '(?m)^\|.+\|$') as tables,
@@ -183,12 +236,13 @@ s as (select *, [struct_pack(score := h0 * 0.3::double + case when formulas then
     struct_pack(score := h2 * 0.3::double, o := -2, t := 'policy_doc', n := h2 > 0), struct_pack(score := h3 * 0.3::double, o := -3, t := 'tech_research', n := h3 > 0),
     struct_pack(score := h4 * 0.3::double + case when tables and pages > 20 then 0.2::double else 0 end, o := -4, t := 'industry_report', n := h4 > 0)] as e from h), b as (select *, list_max(e) as best from s)
 select doc_id, case when best.score <= 0 then 'general' else best.t end as doc_type, case when best.score <= 0 then 0.1 else round(least(1.0, best.score), 2) end as confidence,
-    case when best.n and best.score > 0 then 'filename' else 'content' end as source, case when cjk > 0.5 * latin then 'ch' when latin > 0 then 'en' else 'unknown' end as language from b""",
+    case when best.n and best.score > 0 then 'filename' else 'content' end as source, case when cjk > 0.5 * latin then 'ch' when latin > 0 then 'en' else 'unknown' end as language,
+    formulas as has_formulas, tables as has_tables, pages as page_count, scanned as is_scanned, textless from b left join ({L.SQL['pred_scanned']}) z on z.report_id = b.doc_id""",
     "top_recent_jobs": "select job_id, max(created_at) as created_at from jobs group by 1 order by 2 desc, 1 limit 10",
     "top_jobs_kept": "with j as (select job_id, max(created_at) as created_at from jobs group by 1) select * from j where created_at >= (select max(created_at) from j) - 30 * 86400 order by created_at desc, job_id limit 500",
-    "top_tables": f"with {CHUNKS} select doc_id, chunk_id, place from (select doc_id, chunk_id, row_number() over (partition by doc_id order by length(content) desc, chunk_id) as place from c where chunk_type = 'table' and doc_id is not null and content is not null) where place <= 5",
+    "top_tables": f"with {CHUNKS} select doc_id, chunk_type, chunk_id, place from (select doc_id, chunk_type, chunk_id, row_number() over (partition by doc_id, chunk_type order by seq nulls first, chunk_id) as place from c where chunk_type in ('table', 'figure') and doc_id is not null and content is not null) where place <= 30 and (chunk_type = 'table' or place <= 20)",
     "agg_batch": "with e as (select report_id, any_value(engine) as engine, any_value(ok) as ok from extract_reports group by 1) select engine, count(*) as total, count(*) filter (ok) as converted, count(*) filter (not ok) as failed from e group by 1",
-    "set_segments": f"with {CHUNKS} select doc_id, md5(string_agg(content, chr(10) || chr(10) order by seq nulls first, chunk_id)) as text_hash, count(*) filter (page is null) as n_unplaced from c where doc_id is not null and content is not null group by 1",
+    "set_segments": f"with {CHUNKS} select doc_id, count(*) as n, sum(('0x' || substr(md5(coalesce(seq::varchar, '') || '|' || chunk_id || '|' || md5(content)), 1, 15))::bigint)::hugeint::varchar as text_digest, count(*) filter (page is null) as n_unplaced from c where doc_id is not null and content is not null group by 1",
     "str_ingest": "select chunk_id, any_value(doc_id) as doc_id, any_value(chunk_type) as chunk_type from chunks group by 1",
     "str_merge": "select chunk_id, any_value(chunk_type) as chunk_type from chunks group by 1",
     "str_windows": "select date_trunc('hour', ts) as \"start\", event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.session import shared_dir
 
 
+BUCKETS = 64
+
+
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A folder of Parquet files, or the one file of that path, as a stream with the file's schema."""
     schema = spark.read.parquet(path).schema
@@ -45,15 +48,20 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, key: str,
 
 
 def merge_batches(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append the rows of each micro-batch whose key the target doesn't hold yet (again after a failure: the same result)."""
+    """Append the rows of each micro-batch whose key the target doesn't hold yet (again after a failure: the same result).
+
+    The target is partitioned by a hash of the key into ``BUCKETS`` folders; a batch reads the keys of
+    those folders only that its own keys fall into.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
         where = spark._jvm.org.apache.hadoop.fs.Path(target)
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # BUCKETS numbers at most
+            fresh = fresh.join(spark.read.parquet(target).where(F.col("_bucket").isin(touched)).select(key), key, "left_anti")
+        fresh.write.mode("append").partitionBy("_bucket").parquet(target)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
