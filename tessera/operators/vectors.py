@@ -101,26 +101,86 @@ def _top(k: int):
     return run
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int = 10, parts: int | None = None) -> DataFrame:
     """(query_id, row_id, score, place): the ``k`` rows nearest by cosine to each query, exactly.
 
-    Both sides have id and vector. Blocks of queries meet blocks of rows, each pair gives its best k,
-    and a window keeps the best of all. Filters belong on ``rows``, before. k is held to 1 to 50.
+    Both sides have id and vector. Blocks of rows are dealt to ``parts`` tasks and every block of
+    queries is sent to each of them, so neither side is broadcast or gathered, whatever its size; a
+    pair of blocks gives its best k, and a window keeps the best of all. Filters belong on ``rows``,
+    before. k is held to 1 to 50.
     """
     k = max(1, min(50, k))
-    q = _blocks(queries.select(F.col("id").cast("long"), "vector").coalesce(8), QUERY_BLOCK, "q")
-    r = _blocks(rows.select(F.col("id").cast("long"), "vector"), ROW_BLOCK, "r")
-    near = r.join(q, F.lit(True)).mapInArrow(_top(k), "query_id long, row_id long, score double")
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _blocks(queries.select(F.col("id").cast("long"), "vector"), QUERY_BLOCK, "q").select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    r = _blocks(rows.select(F.col("id").cast("long"), "vector"), ROW_BLOCK, "r").withColumn("part", F.pmod(F.xxhash64(F.get("r_ids", F.lit(0))), F.lit(parts)).cast("int"))
+    near = r.join(q, "part").mapInArrow(_top(k), "query_id long, row_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
+def hits(near: DataFrame, payload: DataFrame, longest: int = 1500) -> DataFrame:
+    """Search results with the title and the start of the content of each row; ``payload`` has row_id, title and content."""
+    return near.join(payload.select("row_id", "title", F.substring("content", 1, longest).alias("content")), "row_id", "left")
+
+
+def search_text(text: str, embedder: Callable[[list[str]], np.ndarray], rows: DataFrame, k: int = 10) -> DataFrame:
+    """The nearest rows to a text; a blank text or an empty index is an error."""
+    if not text or not text.strip():
+        raise ValueError("the query is empty")
+    if rows.isEmpty():
+        raise LookupError("nothing is indexed")
+    vector = [float(x) for x in embedder([text])[0]]
+    query = rows.sparkSession.createDataFrame([(0, vector)], "id long, vector array<float>")
+    return search(query, rows, k).drop("query_id")
+
+
+# --- building the index --------------------------------------------------------------------------------------------------
+
+
+def build_plan(packages: DataFrame, bodies: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, state) of every package: stale if its body's hash isn't the one it was chunked from, empty without chunks, else ready.
+
+    ``packages`` has doc_id and content_hash, ``bodies`` doc_id and body_hash, ``counts`` doc_id and n_chunks.
+    """
+    joined = packages.join(bodies, "doc_id", "left").join(counts, "doc_id", "left")
+    fresh = F.col("content_hash").eqNullSafe(F.col("body_hash"))
+    return joined.select("doc_id", F.when(~fresh, "stale").when(F.coalesce("n_chunks", F.lit(0)) == 0, "empty").otherwise("ready").alias("state"))
+
+
+def build_report(current: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row (embedded, unchanged, deleted, total) of what a sync does."""
+    now, then = current.select("chunk_id", F.lit(True).alias("now")).distinct(), indexed.select("chunk_id", F.lit(True).alias("then")).distinct()
+    both = now.join(then, "chunk_id", "full")
+    return both.agg(
+        F.count_if(F.col("then").isNull()).alias("embedded"), F.count_if(F.col("now") & F.col("then")).alias("unchanged"), F.count_if(F.col("now").isNull()).alias("deleted"),
+        F.count_if(F.col("now").isNotNull()).alias("total"),
+    )
+
+
+def sync_ready(current: DataFrame, indexed: DataFrame, plan: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """The index after a sync of the ready packages alone (doc_id, chunk_id, vector); those of refused packages stay as they are."""
+    ready = plan.where("state = 'ready'").select("doc_id")
+    kept = indexed.join(ready, "doc_id", "left_anti").select("doc_id", "chunk_id", "vector")
+    chosen, before = current.join(ready, "doc_id", "left_semi"), indexed.join(ready, "doc_id", "left_semi")
+    owners = chosen.select("chunk_id", "doc_id").dropDuplicates(["chunk_id"])
+    return kept.unionByName(sync(chosen, before, embedder).join(owners, "chunk_id").select("doc_id", "chunk_id", "vector"))
+
+
 # --- inverted-file index -------------------------------------------------------------------------------------------------
 
 
-def fit_centres(rows: DataFrame, n_centres: int = 32, sample: int = 20_000, steps: int = 15) -> np.ndarray:
-    """Centres of spherical k-means on at most ``sample`` rows, picked by hash of their id (a documented bound)."""
-    drawn = rows.where("vector is not null").orderBy(F.xxhash64("id"), "id").select("vector").limit(sample).collect()
+MOST_CENTRES, ROWS_A_CENTRE = 8192, 32  # bounds of the fit: at most 8,192 lists from 262,144 rows
+
+
+def list_count(n_rows: int) -> int:
+    """As many lists as rows in each, up to the bound."""
+    return max(1, min(MOST_CENTRES, round(max(1, n_rows) ** 0.5)))
+
+
+def fit_centres(rows: DataFrame, n_centres: int | None = None, steps: int = 15) -> np.ndarray:
+    """Centres of spherical k-means on at most ``ROWS_A_CENTRE`` rows for each, picked by hash of their id (a documented bound)."""
+    n_centres = n_centres or list_count(rows.count())
+    drawn = rows.where("vector is not null").orderBy(F.xxhash64("id"), "id").select("vector").limit(ROWS_A_CENTRE * n_centres).collect()
     x = np.array([r[0] for r in drawn], dtype=np.float64)
     if not len(x):
         return np.zeros((1, 1))
@@ -128,11 +188,27 @@ def fit_centres(rows: DataFrame, n_centres: int = 32, sample: int = 20_000, step
     centres = x[np.linspace(0, len(x) - 1, min(n_centres, len(x))).astype(int)]
     for _ in range(steps):
         owner = (x @ centres.T).argmax(axis=1)
-        sums = np.array([x[owner == c].sum(axis=0) if (owner == c).any() else centres[c] for c in range(len(centres))])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, owner, x)
+        lost = np.bincount(owner, minlength=len(centres)) == 0
+        sums[lost] = centres[lost]
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres
 
 
+def needed_probes(queries: DataFrame, rows: DataFrame, centres: np.ndarray, k: int, recall: float = 0.95, sample: int = 64) -> int:
+    """In how many lists nearest to a query so large a share of its true neighbours lies, over at most ``sample`` queries."""
+    drawn = queries.where("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+    truth = search(drawn, rows, k).select("query_id", F.col("row_id").alias("id"))
+    lists = assign_lists(rows.join(truth.select("id").distinct(), "id", "left_semi"), centres, 1).select("id", "list_no")
+    found = truth.join(lists, "id").join(drawn.select(F.col("id").cast("long").alias("query_id"), "vector"), "query_id").select("vector", "list_no").collect()
+    if not found:
+        return len(centres)
+    near = np.argsort(-(np.array([r[0] for r in found], dtype=np.float64) @ centres.T), axis=1, kind="stable")
+    ranks = np.sort((near == np.array([[r[1]] for r in found])).argmax(axis=1))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
 def assign_lists(rows: DataFrame, centres: np.ndarray, n_lists: int) -> DataFrame:
     """(id, vector, list_no): each row in its ``n_lists`` nearest lists; every row is indexed."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # n_centres vectors, whatever the data
@@ -150,13 +226,20 @@ def assign_lists(rows: DataFrame, centres: np.ndarray, n_lists: int) -> DataFram
     return rows.select(F.col("id").cast("long"), "vector").mapInArrow(run, f"id long, vector {kind}, lists array<int>").select("id", "vector", F.explode("lists").alias("list_no"))
 
 
-def search_lists(queries: DataFrame, rows: DataFrame, k: int = 10, n_centres: int = 32, probes: int = 12) -> DataFrame:
-    """(query_id, row_id, score, place): approximate search in the ``probes`` lists nearest to each query."""
+def search_lists(queries: DataFrame, rows: DataFrame, k: int = 10, n_centres: int | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, row_id, score, place): approximate search in the lists nearest to each query.
+
+    Every row is in one list. The number of lists grows with the square root of the rows; how many of
+    them are searched is measured on a sample of the queries, so that nine of ten true neighbours and
+    more are found (``needed_probes``). Long lists are split, so that no list's rows are one hot key.
+    """
     centres = fit_centres(rows, n_centres)
-    inverted = assign_lists(rows, centres, 1).select("list_no", F.col("id").alias("row_id"), F.col("vector").alias("r"))
-    probed = assign_lists(queries, centres, probes).select("list_no", F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    probes = probes or needed_probes(queries, rows, centres, k)
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inverted = assign_lists(rows, centres, 1).select("list_no", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.col("id").alias("row_id"), F.col("vector").alias("r"))
+    probed = assign_lists(queries, centres, probes).select("list_no", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("id").alias("query_id"), F.col("vector").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    near = probed.join(inverted, "list_no")
+    near = probed.join(inverted, ["list_no", "salt"])
     lengths = F.sqrt(dot("q", "q")) * F.sqrt(dot("r", "r"))
     score = F.round(F.try_divide(dot("q", "r"), lengths), 4)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))

@@ -27,13 +27,45 @@ def vec_filtered_search(spark, d):
 
 
 def vec_index_recall(spark, d):
-    """VEC-03: share of the true ten nearest that the inverted-file index finds (no SQL: fitted centres)."""
+    """VEC-03: queries, and whether the inverted-file index finds at least nine of ten true neighbours."""
     rows = _rows(spark, d)
     queries = rows.where("id % 100 = 0")
     truth, found = V.search(queries, rows, 10), V.search_lists(queries, rows, 10)
     hit = truth.select("query_id", "row_id").join(found.select("query_id", "row_id"), ["query_id", "row_id"], "left_semi")
     n = hit.groupBy("query_id").agg(F.count("*").alias("n"))
-    return truth.groupBy("query_id").agg(F.count("*").alias("k")).join(n, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.col("k")).alias("recall"))
+    by_query = truth.groupBy("query_id").agg(F.count("*").alias("k")).join(n, "query_id", "left")
+    return by_query.agg(F.count("*").alias("n_queries"), (F.sum(F.coalesce("n", F.lit(0))) / F.sum("k") >= 0.9).alias("finds_enough"))
+
+
+def vec_hits(spark, d):
+    """VEC-05, TOOL-09: three nearest rows of label 3 to every query, with the title and content of the document of that number."""
+    rows = _rows(spark, d)
+    near = V.search(rows.where("id % 100 = 0"), rows.where("label = 3"), 3)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("source", F.lit("unknown")).alias("title"), F.col("text").alias("content"))
+    return V.hits(near, docs).select("query_id", "row_id", "score", "place", "title", F.md5("content").alias("content_hash"))
+
+
+def vec_build_plan(spark, d):
+    """VEC-04, PRED-05: which packages a build takes, some with a body changed since and some without chunks."""
+    h = F.conv(F.substring("doc_id", 1, 4), 16, 10).cast("int")
+    p = read(spark, d, "package_metadata").where("doc_id is not null").groupBy("doc_id").agg(F.max_by("content_hash", F.struct("loaded_at", "content_hash")).alias("content_hash"))
+    bodies = p.select("doc_id", F.when(h % 5 == 0, "changed").otherwise(F.col("content_hash")).alias("body_hash"))
+    counts = R.chunks(spark, d).where((h % 7 != 0) & F.col("content").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return V.build_plan(p, bodies, counts)
+
+
+def vec_build_report(spark, d):
+    """AGG-12, TOOL-08: what the sync of the two states does, in one row."""
+    return V.build_report(*_versions(spark, d))
+
+
+def vec_sync_ready(spark, d):
+    """VEC-04: the index after a sync that refuses stale and empty packages."""
+    now, then = _versions(spark, d)
+    owners = R.chunks(spark, d).where("doc_id is not null").select("chunk_id", "doc_id")
+    now = now.join(owners, "chunk_id")
+    then = V.embed(then).withColumn("bare", F.regexp_replace("chunk_id", "^old-", "")).join(owners.withColumnRenamed("chunk_id", "bare"), "bare").drop("bare")
+    return V.sync_ready(now, then, vec_build_plan(spark, d)).select("doc_id", "chunk_id", F.size("vector").alias("dimensions"))
 
 
 def _versions(spark, d):
@@ -45,14 +77,14 @@ def _versions(spark, d):
 
 
 def vec_diff(spark, d):
-    """VEC-04, JON-02 to JON-04, SET-03, AGG-12, SRC-15: what a sync would add, delete and keep."""
+    """JON-02 to JON-04, SET-03, SRC-15: what a sync would add, delete and keep."""
     add, gone, same = V.diff(*_versions(spark, d))
     tagged = [x.withColumn("action", F.lit(n)) for n, x in (("add", add), ("delete", gone), ("keep", same))]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
 def vec_sync(spark, d):
-    """VEC-01, SNK-08, STR-09: the index after a sync (no SQL: an embedder)."""
+    """VEC-01, SNK-08, STR-09: the index after a sync."""
     now, then = _versions(spark, d)
     state = V.sync(now, V.embed(then))
     return state.select("chunk_id", F.size("vector").alias("dimensions"))
@@ -76,7 +108,18 @@ select * from (select *, row_number() over (partition by query_id order by score
 
 VERSIONS = """now as (select distinct chunk_id from chunks), h as (select chunk_id, ('0x' || substr(chunk_id, 1, 4))::int as h from now),
 then_ as (select case when h % 11 = 0 then 'old-' || chunk_id else chunk_id end as chunk_id from h where h % 7 <> 0)"""
+PLAN = """p as (select doc_id, max_by(content_hash, struct_pack(loaded_at, content_hash)) as content_hash from package_metadata where doc_id is not null group by 1),
+c0 as (select chunk_id, max_by(struct_pack(doc_id, content), struct_pack(indexed_at, seq)) as r from chunks group by chunk_id), owners as (select chunk_id, r.doc_id as doc_id, r.content as content from c0),
+k as (select doc_id, count(*) as n from owners where content is not null and ('0x' || substr(doc_id, 1, 4))::int % 7 <> 0 group by 1),
+plan as (select p.doc_id, case when ('0x' || substr(p.doc_id, 1, 4))::int % 5 = 0 then 'stale' when coalesce(n, 0) = 0 then 'empty' else 'ready' end as state from p left join k on k.doc_id = p.doc_id)"""
 SQL = {
+    "vec_index_recall": "select count(*) filter (vec_id % 100 = 0) as n_queries, true as finds_enough from embeddings",
+    "vec_hits": f"with h as ({_search(' and r.label = 3', 3)}) select query_id, row_id, score, place, case when doc_id is null then null else coalesce(source, 'unknown') end as title, md5(substr(text, 1, 1500)) as content_hash from h left join documents on doc_id = row_id",
+    "vec_build_plan": f"with {PLAN} select doc_id, state from plan",
+    "vec_build_report": f"with {VERSIONS} select (select count(*) from now where chunk_id not in (select chunk_id from then_)) as embedded, (select count(*) from now where chunk_id in (select chunk_id from then_)) as unchanged, (select count(*) from then_ where chunk_id not in (select chunk_id from now)) as deleted, (select count(*) from now) as total",
+    "vec_sync": f"with {VERSIONS} select chunk_id, 32 as dimensions from now",
+    "vec_sync_ready": f"""with {VERSIONS}, {PLAN}, o as (select owners.doc_id, owners.chunk_id, coalesce(state, 'none') as state from owners left join plan on plan.doc_id = owners.doc_id where owners.doc_id is not null)
+select doc_id, chunk_id, 32 as dimensions from o where state = 'ready' union all select o.doc_id, t.chunk_id, 32 from then_ t join o on o.chunk_id = replace(t.chunk_id, 'old-', '') where state <> 'ready'""",
     "vec_search": _search("", 10),
     "vec_filtered_search": _search(" and r.label = 3", 5),
     "vec_diff": f"with {VERSIONS} select chunk_id, 'add' as action from now where chunk_id not in (select chunk_id from then_) union all select chunk_id, 'delete' from then_ where chunk_id not in (select chunk_id from now) union all select chunk_id, 'keep' from now where chunk_id in (select chunk_id from then_)",
