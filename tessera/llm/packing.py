@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 BLOCK = 2048
-ISLANDS = 4
-ROUNDS = 5
+ISLANDS = 3
+ROUNDS = 4
 POPULATION = 8
 WELL_FILLED = 0.98
 # Children of an island in a round; small blocks, which are harder to fill, are searched longer.
-CHILDREN, LEAST_WORK = 16, 8192
+CHILDREN, LEAST_WORK = 10, 8192
 
 
 class Packing:
@@ -64,7 +64,7 @@ def best_fit(bins: list[list[int]], fills: list[int], items: list[int], sizes: l
         at = bisect_left(free, (size, -1))
         if at < len(free):
             room, k = free.pop(at)
-            bins[k].append(item)
+            bins[k] = [*bins[k], item]  # containers are shared between individuals, so none is changed in place
         else:
             room, k = capacity, len(bins)
             bins.append([item])
@@ -100,12 +100,11 @@ def exchange(bins: list[list[int]], fills: list[int], displaced: list[int], size
         if not by_size[size]:
             del by_size[size]
             there.remove(size)
+        bins[k] = [x for x in items if x not in out] + [item]
         for x in out:
-            items.remove(x)
             if sizes[x] not in by_size:
                 insort(there, sizes[x])
             by_size.setdefault(sizes[x], []).append(x)
-        items.append(item)
         fills[k] += gain
     return [item for size in reversed(there) for item in by_size[size]]
 
@@ -115,14 +114,14 @@ def crossover(first: Packing, second: Packing, sizes: list[int], capacity: int,
     full = [k for k in range(n) if second.fills[k] >= WELL_FILLED * capacity] or sorted(range(n), key=lambda k: -second.fills[k])[: max(1, n // 10)]
     chosen = rng.sample(full, max(1, min(len(full), len(full) // 3 + 1)))
     injected = {item for k in chosen for item in second.bins[k]}
-    bins, fills, displaced = [list(second.bins[k]) for k in chosen], [second.fills[k] for k in chosen], []
+    bins, fills, displaced = [second.bins[k] for k in chosen], [second.fills[k] for k in chosen], []
     poor = sorted(range(len(first.bins)), key=lambda k: (first.fills[k], rng.random()))[: max(1, len(first.bins) // 20)]
     broken = set(poor)
     for k, items in enumerate(first.bins):
         if k in broken or not injected.isdisjoint(items):
             displaced.extend(i for i in items if i not in injected)
         else:
-            bins.append(list(items))
+            bins.append(items)
             fills.append(first.fills[k])
     displaced = exchange(bins, fills, displaced, sizes, capacity)
     displaced.sort(key=lambda i: -sizes[i])
