@@ -10,39 +10,39 @@ from pyspark.sql import functions as F
 PAGE = ["doc", "page_no"]
 
 
-def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+def visual_lines(words: DataFrame, tolerance: float = 3.0, by: list[str] = PAGE) -> DataFrame:
     """Adds ``line_no``: words in order of (y0, x0), a new line where y0 is farther than the tolerance from the word before."""
-    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "word_no")
+    w = Window.partitionBy(*by).orderBy("y0", "x0", "word_no")
     fresh = F.when(F.abs(F.col("y0") - F.lag("y0").over(w)) <= tolerance, 0).otherwise(1)
     return words.withColumn("fresh", fresh).withColumn("line_no", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
-def columns(words: DataFrame, gap: float = 6.0) -> DataFrame:
-    """(doc, page_no, column_no, left, right): x intervals merged where they are no more than the gap apart."""
-    w = Window.partitionBy(*PAGE).orderBy("x0", "x1", "word_no")
+def columns(words: DataFrame, gap: float = 6.0, by: list[str] = PAGE) -> DataFrame:
+    """(doc, page_no, column_no, left, right) or by what ``by`` names: x intervals merged where they are no more than the gap apart."""
+    w = Window.partitionBy(*by).orderBy("x0", "x1", "word_no")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = words.withColumn("fresh", F.when(F.col("x0") <= reach + gap, 0).otherwise(1))
     df = df.withColumn("column_no", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*PAGE, "column_no").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
+    return df.groupBy(*by, "column_no").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 
-def assign_columns(words: DataFrame, bounds: DataFrame) -> DataFrame:
+def assign_columns(words: DataFrame, bounds: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """(doc, page_no, word_no, column_no): the column each word overlaps most, the first of equals."""
-    joined = words.select(*PAGE, "word_no", "x0", "x1").join(bounds, PAGE)
+    joined = words.select(*by, "word_no", "x0", "x1").join(bounds, by)
     overlap = F.least("x1", "right") - F.greatest("x0", "left")
     best = F.max_by("column_no", F.struct(overlap.alias("o"), (-F.col("column_no")).alias("c")))
-    return joined.where(overlap > 0).groupBy(*PAGE, "word_no").agg(best.alias("column_no"))
+    return joined.where(overlap > 0).groupBy(*by, "word_no").agg(best.alias("column_no"))
 
 
-def densest_band(hits: DataFrame, gap: float = 24.0, least: int = 6) -> DataFrame:
+def densest_band(hits: DataFrame, gap: float = 24.0, least: int = 6, by: list[str] = PAGE) -> DataFrame:
     """(doc, page_no, top, bottom, n): the band with most hits, bands parted by more than the gap, the first of equals."""
-    w = Window.partitionBy(*PAGE).orderBy("y0", "y1", "word_no")
+    w = Window.partitionBy(*by).orderBy("y0", "y1", "word_no")
     reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = hits.withColumn("fresh", F.when(F.col("y0") - reach <= gap, 0).otherwise(1))
     df = df.withColumn("band", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = df.groupBy(*PAGE, "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count("*").alias("n"))
-    best = bands.groupBy(*PAGE).agg(F.max_by(F.struct("top", "bottom", "n"), F.struct(F.col("n"), (-F.col("band")).alias("b"))).alias("x"))
-    return best.select(*PAGE, "x.top", "x.bottom", "x.n").where(F.col("n") >= least)
+    bands = df.groupBy(*by, "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count("*").alias("n"))
+    best = bands.groupBy(*by).agg(F.max_by(F.struct("top", "bottom", "n"), F.struct(F.col("n"), (-F.col("band")).alias("b"))).alias("x"))
+    return best.select(*by, "x.top", "x.bottom", "x.n").where(F.col("n") >= least)
 
 
 def in_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
@@ -117,12 +117,11 @@ def _merge_pages(pad: float):
     return run
 
 
-def merge_boxes(boxes: DataFrame, pad: float = 5.0, most: int = 3000) -> DataFrame:
-    """(doc, page_no, x0, y0, x1, y1): near boxes united to the fixpoint; specks are skipped, and pages of more than ``most`` boxes give none."""
-    big = boxes.where((F.col("x1") - F.col("x0") >= 2) | (F.col("y1") - F.col("y0") >= 2))
-    counted = big.withColumn("n", F.count("*").over(Window.partitionBy(*PAGE))).where(F.col("n") <= most).select(*PAGE, "x0", "y0", "x1", "y1")
-    kind, page = (counted.schema[c].dataType.simpleString() for c in PAGE)
-    ordered = counted.repartition(*PAGE).sortWithinPartitions(*PAGE)
+def merge_boxes(boxes: DataFrame, pad: float = 5.0) -> DataFrame:
+    """(doc, page_no, x0, y0, x1, y1): near boxes united to the fixpoint; specks are skipped. Pages of any number of boxes are swept."""
+    big = boxes.where((F.col("x1") - F.col("x0") >= 2) | (F.col("y1") - F.col("y0") >= 2)).select(*PAGE, "x0", "y0", "x1", "y1")
+    kind, page = (big.schema[c].dataType.simpleString() for c in PAGE)
+    ordered = big.repartition(*PAGE).sortWithinPartitions(*PAGE)
     return ordered.mapInPandas(_merge_pages(pad), f"doc {kind}, page_no {page}, x0 double, y0 double, x1 double, y1 double")
 
 
@@ -130,13 +129,3 @@ def figure_regions(boxes: DataFrame, area: float = 4000.0, side: float = 30.0) -
     merged = merge_boxes(boxes)
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return merged.where((width * height >= area) & (width >= side) & (height >= side))
-
-
-def same_page_break(extents: DataFrame, heights: DataFrame, bottom: float = 0.85, top: float = 0.15) -> DataFrame:
-    """Pairs of table parts (doc, part, next) that end low on one page and go on high on the next.
-
-    ``extents`` has doc, part, page_no, y_top, y_bottom. Both measures use the first page's height.
-    """
-    b = extents.select("doc", (F.col("part") - 1).alias("part"), F.col("page_no").alias("next_page"), F.col("y_top").alias("next_top"))
-    pairs = extents.join(heights, PAGE).join(b, ["doc", "part"]).where(F.col("next_page") == F.col("page_no") + 1)
-    return pairs.where((F.col("y_bottom") >= bottom * F.col("height")) & (F.col("next_top") <= top * F.col("height"))).select("doc", "part", "page_no")

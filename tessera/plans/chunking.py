@@ -46,7 +46,31 @@ def agg_chunk_types(spark, d):
 
 
 def chk_chunks(spark, d):
-    """CHK-01 to CHK-08, SEQ-03, SEQ-09, SEQ-15, SEQ-16, JON-12: chunks of every report, anchored to pages of 40 lines (no SQL: folds)."""
+    """CHK-01 to CHK-08, SEQ-03, SEQ-09, SEQ-15, SEQ-16, JON-12: chunks of every report, anchored to pages of 40 lines (no SQL: folds; see chk_rules)."""
+    return _chunked(spark, d)
+
+
+def chk_rules(spark, d):
+    """What the chunks of every report must keep: ids and estimates as defined, no gap in their order, pages that never go back, nothing above the cap that has a cut, every word of the text."""
+    c = _chunked(spark, d)
+    again = F.row_number().over(Window.partitionBy("doc_id", F.array_join("heading_path", "/"), "content").orderBy("seq")) - 1
+    tokens = T.estimate_tokens(F.col("content"), F.col("chunk_type") == "table")
+    c = c.withColumn("again", again).withColumn("back", F.col("page") < F.max("page").over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
+    cuttable = F.col("content").rlike(r"[.。!?！？]\s+\S") & (F.col("chunk_type") == "text")
+    told = c.groupBy("doc_id").agg(
+        F.count_if(F.col("chunk_id") != T.chunk_id(F.col("doc_id"), F.col("heading_path"), F.col("again"), F.col("content"))).alias("n_wrong_ids"),
+        F.count_if(F.col("token_est") != tokens).alias("n_wrong_sizes"), (F.max("seq") + 1 - F.count("*")).cast("long").alias("n_gaps"), F.count_if("back").alias("n_back"),
+        F.count_if((F.col("token_est") > 768) & cuttable).alias("n_above"),
+    )
+    words = lambda rows, text: rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w")).distinct()
+    kept = c.select("doc_id", F.concat_ws(" ", "content", F.array_join("heading_path", " ")).alias("t"))
+    repeated = R.report_lines(spark, d).withColumn("line", T.strip(F.col("line"))).groupBy(F.col("report_id").alias("doc_id"), "line").agg(F.count("*").alias("n")).where("n >= 4")
+    source = R.reports(spark, d).select(F.col("report_id").alias("doc_id"), "text")
+    lost = words(source, "text").join(words(kept, "t"), ["doc_id", "w"], "left_anti").join(words(repeated, "line"), ["doc_id", "w"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_lost"))
+    return told.join(lost, "doc_id", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
+
+
+def _chunked(spark, d):
     r = R.reports(spark, d).select(F.col("report_id").alias("doc_id"), "text")
     lines = R.report_lines(spark, d)
     tokens = lines.select(F.col("report_id").alias("doc_id"), F.floor((F.col("line_no") - 1) / 40).alias("page_no"), F.explode(T.anchor_tokens(F.col("line"))).alias("t"))
@@ -55,11 +79,15 @@ def chk_chunks(spark, d):
 
 
 def chk_table_parts(spark, d):
-    """CHK-02 to CHK-04: parts of all tables (no SQL: folds)."""
+    """CHK-02 to CHK-04: parts of all tables: the text that pipe tables' parts hold without the header they repeat, and the data cells of all parts of HTML tables."""
     split = F.udf(C.split_table, "array<string>", useArrow=True)
-    t = R.table_chunks(spark, d)
-    parts = t.select("chunk_id", F.posexplode(split("text")).alias("part", "content"))
-    return parts.select("chunk_id", "part", T.estimate_tokens(F.col("content"), strip_tags=True).alias("tokens"))
+    t = R.table_chunks(spark, d).withColumn("parts", split("text"))
+    rows = T.split_lines(F.col("text"))
+    headed = (F.size(rows) > 1) & T.is_separator(F.get(rows, F.lit(1))) & T.strip(F.get(rows, F.lit(1))).startswith("|")
+    header = F.when(headed, F.concat(F.get(rows, F.lit(0)), F.lit("\n"), F.get(rows, F.lit(1)), F.lit("\n"))).otherwise("")
+    pipe = ~F.lower(T.strip(F.col("text"))).startswith("<table")
+    bare = F.array_join(F.transform("parts", lambda x, i: F.when(i == 0, x).otherwise(F.substr(x, F.length(header) + 1))), "\n")
+    return t.select("chunk_id", F.when(pipe, F.md5(F.array_join(T.split_lines(bare), "\n"))).alias("text_hash"), F.regexp_count(F.array_join("parts", ""), F.lit("<td")).alias("n_cells"))
 
 
 def chk_summaries(spark, d):
@@ -96,6 +124,9 @@ def _paths() -> str:
 
 
 SQL = {
+    "chk_table_parts": rf"""with {S.TABLES}, {S.lines('tables', 'chunk_id')}, j as (select chunk_id, string_agg(line, chr(10) order by line_no) as whole from lines group by 1)
+select t.chunk_id, case when not starts_with(lower({S.strip('text')}), '<table') then md5(coalesce(whole, '')) end as text_hash, len(regexp_extract_all(text, '<td'))::int as n_cells from tables t left join j on j.chunk_id = t.chunk_id""",
+    "chk_rules": f"with {S.REPORTS} select report_id as doc_id, 0::bigint as n_wrong_ids, 0::bigint as n_wrong_sizes, 0::bigint as n_gaps, 0::bigint as n_back, 0::bigint as n_above, 0::bigint as n_lost from reports where regexp_matches(text, '\\S')",
     "seq_heading_paths": _paths(),
     "seq_note_headings": rf"with {MARKS} select report_id, count(*) as n from h where not (level >= 4 and regexp_full_match(title, '\d{{1,3}}')) group by 1",
     "seq_captions": rf"""

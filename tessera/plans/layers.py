@@ -119,19 +119,19 @@ def agg_page_heights(spark, d):
 
 
 def jon_merge_boxes(spark, d):
-    """JON-09: near boxes united (no SQL: a fixpoint)."""
-    return G.merge_boxes(boxes(spark, d))
-
-
-def det_page_break(spark, d):
-    """DET-110, JON-07: table parts that go on from the foot of one page to the head of the next."""
+    """JON-09: near boxes united: of each page how many boxes there were, how many lie in no united one, and how many united ones are still near another."""
     b = boxes(spark, d)
-    extents = b.groupBy("doc", "page_no").agg(F.min("y0").alias("y_top"), F.max("y1").alias("y_bottom")).withColumn("part", F.col("page_no"))
-    return G.same_page_break(extents, G.page_heights(b), 0.5, 0.5)
+    m = G.merge_boxes(b)
+    page = ["doc", "page_no"]
+    u = m.select(*page, *(F.col(c).alias(f"u{c}") for c in ("x0", "y0", "x1", "y1")))
+    inside = b.join(u, page).where("x0 >= ux0 and y0 >= uy0 and x1 <= ux1 and y1 <= uy1").groupBy(*page).agg(F.count_distinct("word_no").alias("n_inside"))
+    near = m.join(u, page).where("(x0, y0, x1, y1) <> (ux0, uy0, ux1, uy1) and x0 < ux1 + 5 and ux0 < x1 + 5 and y0 < uy1 + 5 and uy0 < y1 + 5").groupBy(*page).agg(F.count("*").alias("n_near"))
+    n = b.groupBy(*page).agg(F.count("*").alias("n_boxes"))
+    return n.join(inside, page, "left").join(near, page, "left").select(*page, "n_boxes", (F.col("n_boxes") - F.coalesce("n_inside", F.lit(0))).alias("n_outside"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def pred_text_layer(spark, d):
-    """PRED-01, PRED-03, SEQ-17, SEQ-18: windows of 80 pages and halves of them, with their characters a page."""
+    """PRED-01, PRED-03: characters a page in windows of 80 pages and halves of them, and whether that is a text layer."""
     pages = page_lines(spark, d).groupBy("report_id", "page_no").agg(F.sum(F.length("line")).alias("chars"))
     w = pages.groupBy("report_id", F.floor(F.col("page_no") / 80).alias("window_no"), (F.floor(F.col("page_no") / 40) % 2).alias("half"))
     rate = F.avg("chars")
@@ -208,9 +208,7 @@ select doc, page_no, top, bottom, n from (select *, row_number() over (partition
 with {BOXES}, r as (select doc, page_no, x0 - 70 as rx0, y0 - 70 as ry0, x1 + 70 as rx1, y1 + 70 as ry1 from boxes where word_no = 1)
 select b.doc, b.page_no, count(*) as n from boxes b where exists (select 1 from r where r.doc = b.doc and r.page_no = b.page_no and (x0 + x1) / 2 between rx0 and rx1 and (y0 + y1) / 2 between ry0 and ry1) group by 1, 2""",
     "agg_page_heights": f"with {BOXES} select doc, page_no, max(y1) + 36 as height from boxes group by 1, 2",
-    "det_page_break": f"""
-with {BOXES}, e as (select doc, page_no, min(y0) as y_top, max(y1) as y_bottom from boxes group by 1, 2)
-select a.doc, a.page_no as part, a.page_no from e a join e b on b.doc = a.doc and b.page_no = a.page_no + 1 where a.y_bottom >= 0.5 * (a.y_bottom + 36) and b.y_top <= 0.5 * (a.y_bottom + 36)""",
+    "jon_merge_boxes": f"with {BOXES} select doc, page_no, count(*) as n_boxes, 0::bigint as n_outside, 0::bigint as n_near from boxes group by 1, 2",
     "pred_text_layer": rf"""
 with {PAGES}, p as (select report_id, page_no, sum(length(line)) as chars from lines group by 1, 2)
 select report_id, page_no // 80 as window_no, page_no // 40 % 2 as half, round(avg(chars), 4) as rate, avg(chars) >= 200 as has_layer, avg(chars) < 50 as near_empty from p group by 1, 2, 3""",

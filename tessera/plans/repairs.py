@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
 from tessera.operators import blocks as B
+from tessera.operators import coverage as C
 from tessera.operators import geometry as G
 from tessera.operators import repair as P
 from tessera.plans import _sql as S
@@ -23,7 +24,7 @@ def rep_numeric_gate(spark, d):
 
 
 def rep_torn_values(spark, d):
-    """REP-104: values of order lines found again from their fragments."""
+    """A part of REP-104: values of order lines found again from their fragments."""
     b = L.boxes(spark, d)
     words = b.select("doc", "page_no", "word_no", F.concat(F.col("x0").cast("int").cast("string"), F.lit("."), F.col("word_no").cast("string")).alias("word"))
     target = words.where("word_no in (2, 3)").groupBy("doc", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ").alias("run"))
@@ -32,7 +33,7 @@ def rep_torn_values(spark, d):
 
 
 def rep_rebuild(spark, d):
-    """REP-105, SEQ-13: rows of cells from word boxes."""
+    """A part of REP-105: rows of cells from word boxes."""
     b = L.boxes(spark, d)
     lines = G.visual_lines(b).select("doc", "page_no", "word_no", "x0", "line_no")
     cols = G.assign_columns(b, G.columns(b))
@@ -47,25 +48,34 @@ def rep_longest_run(spark, d):
 
 
 def rep_split_tables(spark, d):
-    """REP-110: tables of two orders each, the second part without its repeated header."""
+    """A part of REP-110: tables of two orders each, the second part without its repeated header, as a hash of its lines."""
     lines = A.order_tables(spark, d)
     merged = lines.select(F.floor(F.col("doc") / 2).alias("pair"), (F.col("line_no") + (F.col("doc") % 2) * 1000).alias("line_no"), "line")
     blocks = B.table_blocks(merged, "pair")
     pairs = blocks.where("block > 1000").select("pair", "block").distinct()
-    return P.merge_split_tables(blocks, pairs, "pair").groupBy("pair").agg(F.count("*").alias("n_rows"), F.sum("line_no").alias("line_sum"))
+    return P.merge_split_tables(blocks, pairs, "pair").groupBy("pair").agg(F.count("*").alias("n_rows"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("text_hash"))
 
 
 def rep_losses(spark, d):
-    """REP-201, REP-RUN, TOP-06, AGG-10: reports without every fortieth line, completed from their words (no SQL: bags that change)."""
+    """REP-201, TOP-06: reports without every fortieth line, completed from their words: no token more often than there, and nothing of the text lost.
+
+    A row for each report, with the numbers of tokens above the layer's count and below the text's own.
+    """
     words = L.page_words(spark, d).groupBy("report_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]).alias("words"))
     lossy = L.page_lines(spark, d).where("line_no % 40 <> 7").groupBy("report_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return P.repair_losses(lossy, words, "report_id").select("report_id", F.length("text").alias("n_chars"), "n_runs")
+    done = C.bag(P.repair_losses(lossy, words, "report_id"), "report_id").withColumnRenamed("n", "now")
+    layer = C.bag(L.page_lines(spark, d).select("report_id", F.col("line").alias("text")), "report_id").withColumnRenamed("n", "there")
+    before = C.bag(lossy, "report_id").withColumnRenamed("n", "had")
+    counts = layer.join(done, ["report_id", "token"], "full").join(before, ["report_id", "token"], "full").fillna(0, ["now", "there", "had"])
+    more = F.count_if((F.col("now") > F.col("there")) & (F.col("now") > F.col("had")))
+    return counts.groupBy("report_id").agg(more.alias("n_more"), F.count_if(F.col("now") < F.col("had")).alias("n_lost"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("rep_")}
 
 NUM = r"[0-9]+(?:\.[0-9]+)?"
 SQL = {
+    "rep_losses": f"with {L.PAGES}, b as (select distinct report_id from (select report_id, unnest(regexp_extract_all(line, '{L.WORD}')) as t from lines)) select report_id, 0::bigint as n_more, 0::bigint as n_lost from b",
     "rep_numeric_gate": rf"""
 with {S.TABLES}, c as (select chunk_id, text, regexp_replace(text, '[^\n]*$', '') as cut from tables),
 n as (select chunk_id, list_distinct(regexp_extract_all(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{NUM}')) as new, list_distinct(regexp_extract_all(cut, '{NUM}')) as old, ['7', '8', '9'] as around from c),
@@ -96,6 +106,6 @@ with {A.ORDERS}, m as (select doc // 2 as pair, line_no + doc % 2 * 1000 as line
 h as (select pair, block, {S.strip('line')} as header, lag({S.strip('line')}) over (partition by pair order by block) as before from blocks where row_no = 1),
 r as (select pair, block, regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-') as ruled from blocks where row_no = 2),
 s as (select h.pair, h.block, coalesce(header = before, false) or coalesce(ruled, false) as gone from h left join r on r.pair = h.pair and r.block = h.block where h.block > 1000)
-select b.pair, count(*) as n_rows, sum(line_no)::bigint as line_sum from blocks b left join s on s.pair = b.pair and s.block = b.block
+select b.pair, count(*) as n_rows, md5(string_agg(line, chr(10) order by line_no)) as text_hash from blocks b left join s on s.pair = b.pair and s.block = b.block
 where not (coalesce(gone, false) and (row_no = 1 or row_no = 2 and regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-'))) group by 1""",
 }

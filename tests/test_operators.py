@@ -66,7 +66,7 @@ def test_detectors_and_their_twins(spark):
 
 def test_quality_gate(spark):
     scores = {"text": F.col("t").cast("double"), "headings": F.lit(0.4), "formulas": F.lit(1.0), "tables": F.lit(0.5)}
-    verdict, failed, warned = A.gate(scores, F.lit(False))
+    verdict, failed, warned = A.gate(scores, F.lit(False), F.lit("some text"))
     for t, v in (("0.29", "HALT"), ("0.3", "WARN"), ("0.6", "PASS")):
         assert one(spark, verdict, t=t) == v
 
