@@ -85,8 +85,8 @@ def rep_merge_split(spark, d):
     return merged.unionByName(others).groupBy("chunk_id").agg(F.md5(text).alias("text_hash"), F.count("*").alias("n_lines"))
 
 
-def rep_fused(spark, d):
-    """REP-105: tables whose first row of data was fused into the header, built again from their page or reported."""
+def fused_tables(spark, d):
+    """(lines, words): tables whose first row of data was fused into the header, and their pages; some of these lack a row."""
     g = _grids(spark, d)
     fused = F.transform(F.arrays_zip(F.get("rows", F.lit(0)).alias("a"), F.get("rows", F.lit(1)).alias("b")), lambda x: T.strip(F.concat_ws(" ", x["a"], x["b"])))
     rule = F.array(F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("n"))))
@@ -94,7 +94,13 @@ def rep_fused(spark, d):
     lines = g.select("chunk_id", F.posexplode(text).alias("pos", "line")).select("chunk_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
     rows = g.select("chunk_id", F.lit(0).alias("page_no"), F.posexplode("rows").alias("k", "cells")).withColumn("y", (F.lit(100) + 18 * F.col("k")).cast("double"))
     lost = rows.where(~((F.col("k") == 2) & (F.conv(F.substring("chunk_id", 5, 2), 16, 10).cast("int") % 4 == 0)))
-    return X.rebuild_fused(B.table_blocks(lines, "chunk_id"), _words(lost), "chunk_id").select("chunk_id", "status", F.md5("table").alias("table_hash"))
+    return lines, _words(lost)
+
+
+def rep_fused(spark, d):
+    """REP-105: tables with fused headers, built again from their page or reported."""
+    lines, words = fused_tables(spark, d)
+    return X.rebuild_fused(B.table_blocks(lines, "chunk_id"), words, "chunk_id").select("chunk_id", "status", F.md5("table").alias("table_hash"))
 
 
 def torn_orders(spark, d):
@@ -169,8 +175,7 @@ CELLS = rf"""{GRIDS}, cell as (select chunk_id, h, h2, k, c, regexp_replace(rows
 used as (select chunk_id, c from cell group by 1, 2 having bool_or(cell <> ''))"""
 NUMBER = "(^|[^A-Za-z0-9_.])[0-9]+([.][0-9]+)?%?($|[^A-Za-z0-9_])"
 
-SQL = {
-    "rep_fused": f"""with {CELLS}, fu as (select chunk_id, count(*) filter (regexp_matches(f, '{NUMBER}')) as n from (select a.chunk_id, a.c, trim(a.cell || ' ' || coalesce(b.cell, '')) as f from cell a left join cell b on b.chunk_id = a.chunk_id and b.c = a.c and b.k = 2 where a.k = 1) group by 1),
+FUSED = f"""with fu as (select chunk_id, count(*) filter (regexp_matches(f, '{NUMBER}')) as n from (select a.chunk_id, a.c, trim(a.cell || ' ' || coalesce(b.cell, '')) as f from cell a left join cell b on b.chunk_id = a.chunk_id and b.c = a.c and b.k = 2 where a.k = 1) group by 1),
 nu as (select chunk_id, min(k) as f from cell where regexp_matches(cell, '{NUMBER}') group by 1),
 hd as (select cell.chunk_id, c, string_agg(cell, ' ' order by k) as cell from cell join nu on nu.chunk_id = cell.chunk_id where k < f and cell <> '' group by 1, 2),
 ro as (select u.chunk_id, -1 as k, '| ' || string_agg(coalesce(hd.cell, ''), ' | ' order by u.c) || ' |' as line from used u left join hd on hd.chunk_id = u.chunk_id and hd.c = u.c group by 1
@@ -178,8 +183,11 @@ ro as (select u.chunk_id, -1 as k, '| ' || string_agg(coalesce(hd.cell, ''), ' |
     union all select c.chunk_id, k, '| ' || string_agg(cell, ' | ' order by c.c) || ' |' from cell c join used u on u.chunk_id = c.chunk_id and u.c = c.c join nu on nu.chunk_id = c.chunk_id where k >= f group by 1, 2 having bool_or(cell <> '')),
 tb as (select chunk_id, string_agg(line, chr(10) order by k) as t from ro group by 1),
 lo as (select chunk_id from cell where k = 3 and h2 % 4 = 0 group by 1 having bool_or(cell <> ''))
-select fu.chunk_id, case when ok then 'repaired' else 'reported' end as status, case when ok then md5(t) end as table_hash from (select fu.chunk_id, t, coalesce(f > 1, false) and lo.chunk_id is null as ok from fu left join nu on nu.chunk_id = fu.chunk_id
-    left join tb on tb.chunk_id = fu.chunk_id left join lo on lo.chunk_id = fu.chunk_id where n >= 2) fu""",
+select fu.chunk_id, case when ok then 'repaired' else 'reported' end as status, case when ok then t end as built from (select fu.chunk_id, t, coalesce(f > 1, false) and lo.chunk_id is null as ok from fu left join nu on nu.chunk_id = fu.chunk_id
+    left join tb on tb.chunk_id = fu.chunk_id left join lo on lo.chunk_id = fu.chunk_id where n >= 2) fu"""
+
+SQL = {
+    "rep_fused": f"with {CELLS} select chunk_id, status, md5(built) as table_hash from ({FUSED})",
     "src_tables": f"""with {CELLS}, ro as (select c.chunk_id, any_value(h) as h, k, count(*) as n, count(*) filter (cell <> '') as filled, '| ' || string_agg(cell, ' | ' order by c.c) || ' |' as line from cell c join used u on u.chunk_id = c.chunk_id and u.c = c.c group by 1, 3 having bool_or(cell <> '')),
 tb as (select chunk_id, any_value(h) as h, count(*) as m, max(n) as n, round(0.6 + 0.4 * (sum(filled) / sum(n)), 3) as score, min(k) as first_k, string_agg(line, chr(10) order by k) as t, string_agg(line, chr(10) order by k) filter (k > 1) as body, arg_min(line, k) as head from ro group by 1)
 select chunk_id, 1 as table_no, case when h % 3 = 0 then 'ruled' else 'aligned' end as strategy, score, md5(head || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda i: '---'), ' | ') || ' |' || chr(10) || substr(t, length(head) + 2)) as table_hash from tb where m >= 2 and n >= 2""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors", "packages", "jobs", "regions"]
+MODULES = ["lines", "text", "audit", "layers", "chunking", "repairs", "vectors", "packages", "jobs", "regions", "pipeline"]
 
 
 def _gather(attribute: str) -> dict:
