@@ -14,6 +14,7 @@ from tessera.plans import _sql as S
 from tessera.plans import layers as L
 from tessera.plans import tables as R
 from tessera.session import read
+from tessera.sources import vision as V
 
 
 def _grids(spark, d):
@@ -147,7 +148,31 @@ def src_tables(spark, d):
     return found.select("chunk_id", "table_no", "strategy", "score", F.md5("table").alias("table_hash"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k.startswith(("jon_", "rep_", "det_", "src_")) and callable(v)}
+def bare_figures(spark, d):
+    """(chunk_id, chunk_type, text): chunks with their text, figures with an even sign in their id without descriptions."""
+    c = R.chunks(spark, d).where("content is not null")
+    bare = F.conv(F.substring("chunk_id", 1, 1), 16, 10).cast("int") % 2 == 0
+    return c.select("chunk_id", "chunk_type", F.when(bare, F.regexp_replace("content", r"\n>[^\n]*", "")).otherwise(F.col("content")).alias("text"))
+
+
+def rep_figures(spark, d):
+    """REP-FIG: chunks whose bare images get a description, here their file's name in words; short ones are left out."""
+    lines = R.lines_of(bare_figures(spark, d), "chunk_id")
+    refs = lines.select("chunk_id", F.regexp_extract(T.strip(F.col("line")), r"^!\[[^\]]*\]\(([^)]+)\)$", 1).alias("ref")).where("ref <> ''").distinct()
+    told = refs.select("chunk_id", "ref", F.concat(F.lit("Shows "), F.translate(F.regexp_extract("ref", r"([^/.]+)\.\w+$", 1), "_", " ")).alias("text"))
+    done = V.describe_figures(lines, told, "chunk_id")
+    return done.where(F.col("line").contains("\n> **Figure:** ")).select("chunk_id", "line_no", "line")
+
+
+def pred_image_only(spark, d):
+    """PRED-04: chunks whose filled lines are images alone."""
+    c = bare_figures(spark, d)
+    filled = F.filter(F.transform(T.split_lines(F.col("text")), T.strip), lambda x: x != "")
+    only = (F.size(filled) > 0) & F.forall(filled, lambda x: x.rlike(r"^!\[[^\]]*\]\([^)]+\)$"))
+    return c.where(only).select("chunk_id", "chunk_type")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k.startswith(("jon_", "rep_", "det_", "src_", "pred_")) and callable(v)}
 
 GRIDS = rf"""{S.TABLES}, {S.lines('tables', 'chunk_id')},
 r0 as (select chunk_id, line_no, {S.cells('line')} as cells from lines where regexp_matches({S.strip('line')}, '^\|.*\|$') and not (regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-'))),
@@ -175,6 +200,8 @@ CELLS = rf"""{GRIDS}, cell as (select chunk_id, h, h2, k, c, regexp_replace(rows
 used as (select chunk_id, c from cell group by 1, 2 having bool_or(cell <> ''))"""
 NUMBER = "(^|[^A-Za-z0-9_.])[0-9]+([.][0-9]+)?%?($|[^A-Za-z0-9_])"
 
+BARE = r"""c0 as (select chunk_id, max_by(struct_pack(content, chunk_type), struct_pack(indexed_at, seq)) as r from chunks group by 1),
+c as (select chunk_id, r.chunk_type as chunk_type, case when ('0x' || substr(chunk_id, 1, 1))::int % 2 = 0 then regexp_replace(r.content, '\n>[^\n]*', '', 'g') else r.content end as text from c0 where r.content is not null)"""
 FUSED = f"""with fu as (select chunk_id, count(*) filter (regexp_matches(f, '{NUMBER}')) as n from (select a.chunk_id, a.c, trim(a.cell || ' ' || coalesce(b.cell, '')) as f from cell a left join cell b on b.chunk_id = a.chunk_id and b.c = a.c and b.k = 2 where a.k = 1) group by 1),
 nu as (select chunk_id, min(k) as f from cell where regexp_matches(cell, '{NUMBER}') group by 1),
 hd as (select cell.chunk_id, c, string_agg(cell, ' ' order by k) as cell from cell join nu on nu.chunk_id = cell.chunk_id where k < f and cell <> '' group by 1, 2),
@@ -188,6 +215,12 @@ select fu.chunk_id, case when ok then 'repaired' else 'reported' end as status,
 
 SQL = {
     "rep_fused": f"with {CELLS} select chunk_id, status, md5(built) as table_hash from ({FUSED})",
+    "rep_figures": rf"""with {BARE}, {S.lines('c', 'chunk_id')},
+i as (select *, regexp_extract({S.strip('line')}, '^!\[[^\]]*\]\(([^)]+)\)$', 1) as ref, coalesce(regexp_matches({S.strip('lead(line) over (partition by chunk_id order by line_no)')}, '^>\s*\*\*Figure'), false) as described from lines),
+b as (select *, row_number() over (partition by chunk_id order by line_no) as place, 'Shows ' || replace(regexp_extract(ref, '([^/.]+)\.\w+$', 1), '_', ' ') as told from i where ref <> '' and not described)
+select chunk_id, line_no, line || chr(10) || '> **Figure:** ' || trim(told) as line from b where place <= 20 and length(trim(told)) > 20""",
+    "pred_image_only": rf"""with {BARE}, {S.lines('c', 'chunk_id')},
+f as (select chunk_id, count(*) as n, count(*) filter (regexp_full_match({S.strip('line')}, '!\[[^\]]*\]\([^)]+\)')) as m from lines where {S.strip('line')} <> '' group by 1) select c.chunk_id, chunk_type from c join f on f.chunk_id = c.chunk_id where n = m""",
     "src_tables": f"""with {CELLS}, ro as (select c.chunk_id, any_value(h) as h, k, count(*) as n, count(*) filter (cell <> '') as filled, '| ' || string_agg(cell, ' | ' order by c.c) || ' |' as line from cell c join used u on u.chunk_id = c.chunk_id and u.c = c.c group by 1, 3 having bool_or(cell <> '')),
 tb as (select chunk_id, any_value(h) as h, count(*) as m, max(n) as n, round(0.6 + 0.4 * (sum(filled) / sum(n)), 3) as score, min(k) as first_k, string_agg(line, chr(10) order by k) as t, string_agg(line, chr(10) order by k) filter (k > 1) as body, arg_min(line, k) as head from ro group by 1)
 select chunk_id, 1 as table_no, case when h % 3 = 0 then 'ruled' else 'aligned' end as strategy, score, md5(head || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda i: '---'), ' | ') || ' |' || chr(10) || substr(t, length(head) + 2)) as table_hash from tb where m >= 2 and n >= 2""",

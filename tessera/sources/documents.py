@@ -12,8 +12,12 @@ CHUNK_SCHEMA = (
 METADATA_SCHEMA = "schema_version string, doc_id string, title string, slug string, source string, pages int, content_hash string"
 
 
-def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(doc_id, path, length) of all files below a folder; the id comes from the bytes, hidden twins (._name) are left out."""
+def scan_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
+    """(doc_id, path, length) of all files below a folder with the suffix in any case; the id comes from the bytes, hidden twins (._name) are left out.
+
+    A folder that isn't there is an error.
+    """
+    pattern = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(~name.startswith("._")).select(F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), "path", "length")

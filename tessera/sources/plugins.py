@@ -6,9 +6,16 @@ row with its error, and a window of pages that fails is tried again in halves, t
 
 from __future__ import annotations
 
+import importlib.util
+import re
+import shutil
+import subprocess
+import tempfile
+import threading
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +46,95 @@ class TextExtractor(Extractor):
             return "\f".join(f.read().split("\f")[first : last + 1])
 
 
+class ModuleExtractor(Extractor):
+    """An engine that is an installed module: there only if it can be imported, loaded once in each worker.
+
+    ``open_file`` takes the module and a path and gives the text of each page.
+    """
+
+    def __init__(self, name: str, module: str, open_file: Callable[[object, str], list[str]]) -> None:
+        self.name, self.module, self.open_file = name, module, open_file
+
+    def is_available(self) -> bool:
+        return importlib.util.find_spec(self.module) is not None
+
+    def warm_up(self) -> None:
+        importlib.import_module(self.module)
+
+    def extract(self, path: str, first: int, last: int) -> str:
+        pages = self.open_file(importlib.import_module(self.module), path.removeprefix("file:"))
+        return "\f".join(pages[first : last + 1])
+
+
+class CommandExtractor(Extractor):
+    """An engine in an interpreter of its own: a command that writes Markdown into a folder.
+
+    ``{path}``, ``{out}``, ``{first}`` and ``{last}`` are filled in. The largest Markdown file below the
+    folder is the text; the command is stopped after ``seconds``.
+    """
+
+    def __init__(self, name: str, command: list[str], seconds: float = 1200) -> None:
+        self.name, self.command, self.seconds = name, command, seconds
+
+    def is_available(self) -> bool:
+        return shutil.which(self.command[0]) is not None
+
+    def extract(self, path: str, first: int, last: int) -> str:
+        with tempfile.TemporaryDirectory() as out:  # of this one call, on the machine that makes it
+            values = {"path": path.removeprefix("file:"), "out": out, "first": str(first), "last": str(last)}
+            filled = [re.sub(r"\{(path|out|first|last)\}", lambda m: values[m[1]], part) for part in self.command]
+            done = subprocess.run(filled, capture_output=True, text=True, timeout=self.seconds)
+            if done.returncode:
+                raise RuntimeError(done.stderr.strip()[-500:] or f"exit code {done.returncode}")
+            files = sorted(Path(out).rglob("*.md"), key=lambda f: (-f.stat().st_size, str(f)))
+            if not files:
+                raise FileNotFoundError("the engine wrote no Markdown")
+            return files[0].read_text(encoding="utf-8", errors="replace")
+
+
+def page_count(entries: list[dict]) -> int:
+    """Pages of an engine's list of contents: distinct page indexes."""
+    return len({e["page_idx"] for e in entries if e.get("page_idx") is not None})
+
+
+# Pages looked at, confidence and number of tables of a model that finds tables in images.
+MOST_PAGES, LEAST_CONFIDENCE, MOST_TABLES = 100, 0.7, 50
+
+
+def detected_tables(found: list[tuple[int, float, tuple[float, float, float, float]]]) -> list[tuple[int, tuple[float, float, float, float]]]:
+    """(page, box) of a table model's findings (page, confidence, box): on the first 100 pages, sure enough, at most 50 in order."""
+    kept = [(page, box) for page, confidence, box in found if page < MOST_PAGES and confidence >= LEAST_CONFIDENCE]
+    return sorted(kept, key=lambda f: (f[0], f[1][1], f[1][0]))[:MOST_TABLES]
+
+
+def with_timeout(call: Callable[[], str], seconds: float) -> str:
+    """The call's result, or TimeoutError; the caller goes on, the thread ends with its process."""
+    result: list = []
+
+    def run() -> None:
+        try:
+            result.append((True, call()))
+        except BaseException as error:
+            result.append((False, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not result:
+        raise TimeoutError(f"no result within {seconds} seconds")
+    ok, value = result[0]
+    if not ok:
+        raise value
+    return value
+
+
 _REGISTRY: dict[str, Extractor] = {}
 
 
+def registered() -> dict[str, Extractor]:
+    return dict(_REGISTRY)
+
+
 def register(extractor: Extractor) -> None:
     _REGISTRY[extractor.name] = extractor
 
