@@ -93,3 +93,18 @@ def heading_paths(marks: DataFrame, key: str) -> DataFrame:
 def demote_footnotes(marks: DataFrame) -> DataFrame:
     """Headings of level four and deeper whose title is only a short number are footnote marks, not headings."""
     return marks.where(~((F.col("level") >= 4) & F.col("title").rlike(r"^\d{1,3}$")))
+
+
+def note_prefixes(lines: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, line) of the filled lines, deep headings that are only a short number made the start of the text that follows them.
+
+    Where no text follows (a heading, a table, an image, code or the end), the number stays as a line of text.
+    """
+    filled = lines.select(key, "line_no", "line", T.strip(F.col("line")).alias("s")).where("s <> ''")
+    w = Window.partitionBy(key).orderBy("line_no")
+    note = F.regexp_extract("s", r"^#{4,6}\s+(\d{1,3})$", 1)
+    text = ~F.col("s").rlike(r"^(?:#{1,6}\s|```|~~~|\|.*\|$|!\[[^\]]*\]\([^)]+\)$|(?i:<table))")
+    df = filled.withColumn("note", note).withColumn("is_text", text).withColumn("goes_on", F.coalesce(F.lead("is_text").over(w), F.lit(False))).withColumn("before", F.lag("note").over(w))
+    prefixed = F.concat("before", F.lit(". "), F.ltrim("line"))
+    line = F.when(F.col("note") != "", F.col("note")).when((F.coalesce("before", F.lit("")) != "") & F.col("is_text"), prefixed).otherwise(F.col("line"))
+    return df.where((F.col("note") == "") | ~F.col("goes_on")).select(key, "line_no", line.alias("line"))

@@ -25,12 +25,19 @@ def seq_heading_paths(spark, d):
 
 
 def seq_note_headings(spark, d):
-    """SEQ-06: headings that stay when short numbers deep down are taken as note marks."""
+    """Headings that stay when short numbers deep down are taken as note marks."""
     return B.demote_footnotes(_marks(spark, d)).groupBy("report_id").agg(F.count("*").alias("n"))
 
 
+def seq_notes(spark, d):
+    """SEQ-06: reports with a note mark on every 25th line; each begins the text that follows it."""
+    mark = F.concat(F.lit("#### "), (F.col("line_no") % 9 + 1).cast("string"))
+    lines = R.report_lines(spark, d).withColumn("line", F.when(F.col("line_no") % 25 == 7, mark).otherwise(F.col("line")))
+    return B.note_prefixes(lines, "report_id")
+
+
 def seq_captions(spark, d):
-    """SCL-23, SEQ-14: caption or heading within three lines above each bare image, the farthest first."""
+    """SCL-23: caption or heading within three lines above each bare image, the farthest first."""
     lines = R.lines_of(R.chunks(spark, d).where("content is not null").select("doc_id", "seq", F.col("content").alias("text"), "chunk_id"), "chunk_id")
     w = Window.partitionBy("chunk_id").orderBy("line_no")
     good = F.when(F.col("line").rlike(r"(?i)^\s*(?:Exhibit|Figure|Table|Chart)\b|^#{1,6}\s"), F.substring(T.strip(F.col("line")), 1, 120))
@@ -129,6 +136,10 @@ select t.chunk_id, case when not starts_with(lower({S.strip('text')}), '<table')
     "chk_rules": f"with {S.REPORTS} select report_id as doc_id, 0::bigint as n_wrong_ids, 0::bigint as n_wrong_sizes, 0::bigint as n_gaps, 0::bigint as n_back, 0::bigint as n_above, 0::bigint as n_lost from reports where regexp_matches(text, '\\S')",
     "seq_heading_paths": _paths(),
     "seq_note_headings": rf"with {MARKS} select report_id, count(*) as n from h where not (level >= 4 and regexp_full_match(title, '\d{{1,3}}')) group by 1",
+    "seq_notes": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, m as (select report_id, line_no, case when line_no % 25 = 7 then '#### ' || (line_no % 9 + 1) else line end as line from lines),
+f as (select *, {S.strip('line')} as s from m where {S.strip('line')} <> ''), n as (select *, regexp_extract(s, '^#{{4,6}}\s+(\d{{1,3}})$', 1) as note, not regexp_matches(s, '^(?:#{{1,6}}\s|```|~~~|\|.*\|$|!\[[^\]]*\]\([^)]+\)$|(?i:<table))') as txt from f),
+g as (select *, coalesce(lead(txt) over w, false) as goes_on, lag(note) over w as before from n window w as (partition by report_id order by line_no))
+select report_id, line_no, case when note <> '' then note when coalesce(before, '') <> '' and txt then before || '. ' || ltrim(line) else line end as line from g where note = '' or not goes_on""",
     "seq_captions": rf"""
 with c as (select chunk_id, max_by(content, struct_pack(indexed_at, seq)) as text from chunks where content is not null group by chunk_id), {S.lines('c', 'chunk_id')},
 g as (select *, case when regexp_matches(line, '(?i)^\s*(Exhibit|Figure|Table|Chart)\b|^#{{1,6}}\s') then substr({S.strip('line')}, 1, 120) end as good from lines),

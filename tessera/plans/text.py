@@ -95,41 +95,44 @@ def scl_heading_tree(spark, d):
 
 
 def scl_echo(spark, d):
-    """SCL-18: repeated n-grams that ligatures leave, over document texts (no SQL: a greedy scan)."""
-    docs = read(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.length(U.drop_echo(F.col("text"))).alias("n_chars"))
+    """SCL-18: titles behind an echo of their first words, as ligatures leave it; the echo goes (titles beyond ASCII change their form and have no hash here)."""
+    p = read(spark, d, "package_metadata").where("doc_id is not null and title is not null").groupBy("doc_id").agg(F.max("title").alias("title"))
+    words = F.filter(F.split("title", r"\s+"), lambda w: w != "")
+    k = F.conv(F.substring("doc_id", 1, 4), 16, 10).cast("int") % 5 + 2
+    echo = F.concat_ws(" ", F.array_join(F.slice(words, F.lit(1), k), " "), F.array_join(words, " "))
+    return p.select("doc_id", F.when(F.col("title").rlike(r"^[ -~]*$"), F.md5(U.drop_echo(echo))).alias("title_hash"))
 
 
 def scl_formulas(spark, d):
-    """SCL-20, SCL-21: empty formulas removed, broken ones counted, spaced indices closed."""
+    """SCL-21: empty formulas removed, broken ones counted."""
     c = read(spark, d, "chunks").where("content is not null and chunk_type = 'text'")
     t = F.col("content")
     return c.groupBy("chunk_id").agg(
-        F.max(F.length(T.remove_empty_formulas(t))).alias("n_left"), F.max(F.regexp_count(t, F.lit(r"\?\?+"))).alias("n_broken"), F.max(F.size(F.regexp_extract_all(t, F.lit(r"\$[^$\n]+\$"), F.lit(0)))).alias("n_inline")
+        F.max(F.md5(T.remove_empty_formulas(t))).alias("left_hash"), F.max(F.regexp_count(t, F.lit(r"\?\?+"))).alias("n_broken"), F.max(F.size(F.regexp_extract_all(t, F.lit(r"\$[^$\n]+\$"), F.lit(0)))).alias("n_inline")
     )
 
 
 def scl_spaced_latex(spark, d):
-    """SCL-20 over all texts (no SQL: replacement inside matches)."""
+    """SCL-20 over all texts."""
     c = read(spark, d, "chunks").where("content is not null and chunk_type = 'text'").dropDuplicates(["chunk_id"])
-    return c.select("chunk_id", F.length(U.close_spaced_indices(F.col("content"))).alias("n_chars"))
+    return c.select("chunk_id", F.md5(U.close_spaced_indices(F.col("content"))).alias("closed_hash"))
 
 
 def scl_images(spark, d):
-    """SCL-22, PRED-04: images by kind, decorative ones removed."""
+    """SCL-22: images by kind, decorative ones removed."""
     c = read(spark, d, "chunks").where("content is not null")
     t = F.col("content")
     return c.groupBy("chunk_id").agg(
         F.max(F.regexp_count(t, F.lit(r"!\[[^\]]*\]\([^)]*\)"))).alias("n_images"),
         F.max(F.regexp_count(t, F.lit(r"!\[\]\([^)]*\)"))).alias("n_bare"),
-        F.max(F.length(T.remove_decorative_images(t))).alias("n_left"),
+        F.max(F.md5(T.remove_decorative_images(t))).alias("left_hash"),
     )
 
 
 def scl_reply(spark, d):
     """SCL-24: code chunks as replies without their fences."""
     c = read(spark, d, "chunks").where("chunk_type = 'code' and content is not null")
-    return c.groupBy("chunk_id").agg(F.max(F.length(T.strip_reply(F.col("content")))).alias("n_left"))
+    return c.groupBy("chunk_id").agg(F.max(F.md5(T.strip_reply(F.col("content")))).alias("left_hash"))
 
 
 def scl_page_range(spark, d):
@@ -221,16 +224,22 @@ with {S.REPORTS}, {S.lines('reports', 'report_id')}
 select report_id, line_no, length(regexp_extract(line, '^(#{{1,6}})\s', 1)) as level,
     {S.strip("regexp_replace(regexp_extract(line, '^#{1,6}[[:space:]]+(.*)$', 1), '<[^>]+>', '', 'g')")} as title
 from lines where regexp_matches(line, '^#{{1,6}}\s+\S')""",
+    "scl_echo": r"""
+with p as (select doc_id, max(title) as title from package_metadata where doc_id is not null and title is not null group by 1), w as (select doc_id, title, list_filter(regexp_split_to_array(title, '\s+'), lambda x: x <> '') as w from p)
+select doc_id, case when regexp_full_match(title, '[ -~]*') then md5(case when len(w) = 1 then w[1] || ' ' || w[1] else array_to_string(w, ' ') end) end as title_hash from w""",
+    "scl_spaced_latex": r"""
+with c as (select chunk_id, any_value(content) as t from chunks where content is not null and chunk_type = 'text' group by 1)
+select chunk_id, md5(array_to_string(list_transform(regexp_extract_all(t, '(?s)\$[^$]*\$|[^$]+|\$'), lambda p: case when starts_with(p, '$') and length(p) > 1 and contains(p, ' _ {') then regexp_replace(p, '\s*([_^{}])\s*', '\1', 'g') else p end), '')) as closed_hash from c""",
     "scl_formulas": r"""
-select chunk_id, max(length(regexp_replace(regexp_replace(content, '\$\$\s*\$\$', '', 'g'), '\$\s+\$', '', 'g'))) as n_left,
+select chunk_id, max(md5(regexp_replace(regexp_replace(content, '\$\$\s*\$\$', '', 'g'), '\$\s+\$', '', 'g'))) as left_hash,
     max(len(regexp_extract_all(content, '\?\?+'))) as n_broken, max(len(regexp_extract_all(content, '\$[^$\n]+\$'))) as n_inline
 from chunks where content is not null and chunk_type = 'text' group by chunk_id""",
     "scl_images": r"""
 select chunk_id, max(len(regexp_extract_all(content, '!\[[^\]]*\]\([^)]*\)'))) as n_images, max(len(regexp_extract_all(content, '!\[\]\([^)]*\)'))) as n_bare,
-    max(length(regexp_replace(regexp_replace(content, '(?i)!\[\]\([^)]*(?:logo|icon|bullet|separator|decoration|bg_)[^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as n_left
+    max(md5(regexp_replace(regexp_replace(content, '(?i)!\[\]\([^)]*(?:logo|icon|bullet|separator|decoration|bg_)[^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as left_hash
 from chunks where content is not null group by chunk_id""",
     "scl_reply": rf"""
-select chunk_id, max(length({S.strip("regexp_replace(regexp_replace(" + S.strip("regexp_replace(content, '(?s)<think>.*?</think>', '', 'g')") + ", '^```[A-Za-z]*[[:space:]]*', ''), '[[:space:]]?```$', '')")})) as n_left
+select chunk_id, max(md5({S.strip("regexp_replace(regexp_replace(" + S.strip("regexp_replace(content, '(?s)<think>.*?</think>', '', 'g')") + ", '^```[A-Za-z]*[[:space:]]*', ''), '[[:space:]]?```$', '')")})) as left_hash
 from chunks where chunk_type = 'code' and content is not null group by chunk_id""",
     "scl_page_range": r"""
 with j as (select distinct job_id, regexp_replace(params ->> '$.page_range', '\s+', '', 'g') as spec from jobs),
