@@ -29,4 +29,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.groupBy(F.col("record_id").alias("chunk_id"), "field_name").agg(*(F.max(c).alias(c) for c in ("clean", "kinds", "n_left", "n_removed")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean}
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each field: its texts, and how many clean ones still hold a comment, a wiki link or a LaTeX heading outside code and formulas."""
+    bare = F.regexp_replace("clean", r"(?s)```.*?(?:```|\z)|\$[^$]*\$", "")
+    return p1_clean(spark, sf_dir).groupBy("field_name").agg(
+        F.count("*").alias("n_texts"), F.count_if(bare.contains("<!--")).alias("n_comments"), F.count_if(bare.rlike(r"\[\[[^\[\]]+\]\]")).alias("n_links"), F.count_if(bare.rlike(r"\\(?:sub)*section\*?\{")).alias("n_headings")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_check": p1_check}
+
+SQL = {
+    "p1_check": """
+select field_name, count(*) as n_texts, 0::bigint as n_comments, 0::bigint as n_links, 0::bigint as n_headings from (
+    select distinct chunk_id, 'content' as field_name from chunks where chunk_type = 'text' and content is not null union all select distinct chunk_id, 'embed_text' from chunks where chunk_type = 'text' and embed_text is not null) group by 1"""
+}

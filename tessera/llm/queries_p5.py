@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.unicode import nfc
 from tessera.llm.lookalikes import canonical
 from tessera.session import read
 
@@ -26,9 +27,22 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.groupBy("record_id", "field_name", "canonical").agg(F.max("findings").alias("findings"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each field: its texts, and how many canonical ones still are uncomposed, wide, invisible in part or oddly spaced."""
+    forms = p5_canonical(spark, sf_dir).withColumn("c", F.col("canonical"))
+    joiner = F.regexp_replace("c", r"(?<=[\p{IsDevanagari}\p{IsBengali}\p{IsTamil}\p{IsArabic}])[\x{200C}\x{200D}]|\x{200D}(?=\p{So})", "")
+    return forms.groupBy("field_name").agg(
+        F.count_distinct("record_id").alias("n_records"), F.count_if(nfc(F.col("c")) != F.col("c")).alias("n_uncomposed"), F.count_if(F.col("c").rlike("[０-９Ａ-Ｚａ-ｚ]")).alias("n_wide"),
+        F.count_if(joiner.rlike(r"\p{Cf}")).alias("n_invisible"), F.count_if(F.col("c").rlike(r"[\p{Zs}&&[^ ]]")).alias("n_spaced"),
+    )
+
+
+QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p5_check": p5_check}
 
 SQL = {
+    "p5_check": """
+select field_name, count(distinct record_id) as n_records, 0::bigint as n_uncomposed, 0::bigint as n_wide, 0::bigint as n_invisible, 0::bigint as n_spaced from (
+    select chunk_id as record_id, 'content' as field_name from chunks where chunk_type = 'text' and content is not null union all select doc_id, 'title' from package_metadata where title is not null) group by 1""",
     "p5_found": r"""
 with t as (
     select chunk_id as record_id, 'content' as field_name, content as text from chunks where chunk_type = 'text' and content is not null

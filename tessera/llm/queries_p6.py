@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.tokenizing import encode_column
+from tessera.llm.tokenizing import decode_column, encode_column
 from tessera.session import read
 
 
@@ -12,4 +13,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that each document's ids decode to."""
+    return decode_column(p6_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_hash"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_check": p6_check}
+
+SQL = {"p6_check": "select doc_id, md5(coalesce(text, '')) as text_hash from documents"}

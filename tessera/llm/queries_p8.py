@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tessera.functions.textops import strip
 from tessera.llm.sentences import sentence_ends
 from tessera.session import read
 
@@ -12,4 +14,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_ends(read(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {"p8_found": p8_found}
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the last unit of each document ends, and how many units are blank, repeated or end in white space."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ends = p8_found(spark, sf_dir).join(docs, "doc_id")
+    start = F.coalesce(F.lag("sent_end").over(Window.partitionBy("doc_id").orderBy("sent_end")), F.lit(0))  # one document's ends
+    unit = F.substr("text", start + 1, F.col("sent_end") - start)
+    units = ends.select("doc_id", "sent_end", F.length(strip(unit)).alias("n_filled"), unit.rlike(r"\s$").alias("loose"))
+    return units.groupBy("doc_id").agg(F.max("sent_end").alias("last_end"), F.count_if(F.col("n_filled") == 0).alias("n_blank"), F.count_if("loose").alias("n_loose"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_check": p8_check}
+
+SQL = {
+    "p8_check": r"""
+select doc_id, length(regexp_replace(text, '[\s\x0b\x{85}\x1c-\x1f\p{Z}]+$', '')) as last_end, 0::bigint as n_blank, 0::bigint as n_loose from documents where regexp_matches(text, '[^\s\x0b\x{85}\x1c-\x1f\p{Z}]')"""
+}

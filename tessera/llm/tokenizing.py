@@ -135,6 +135,19 @@ def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return narrow.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_column(encoded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """(key, text) of every row of (key, ids); the ids of nothing are an empty text."""
+    name = ship_vocabulary(encoded.sparkSession, path or os.path.join(FOLDER, BYTE_BPE_50K))
+    kind = encoded.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(encoder(name).ranks).decode
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens) of every row; null and empty texts have no tokens."""
     name = ship_vocabulary(documents.sparkSession, path or os.path.join(FOLDER, BYTE_BPE_50K))
