@@ -342,7 +342,7 @@ FEATURES = [
 N_STATIC = FEATURES.index("saying_after") + 1
 # The prior's mean: rounded from a fitted model.
 PRIOR = np.array(
-    [0.5, 0.0, 0.5, 0.5, 2.0, 3.0, 1.0, 1.5, -4.0, -8.0, 0.5, -6.0, -7.0, 2.0, 2.0, -8.0, 2.0, -4.0, 1.0, 0.0, -6.0, -5.0, -6.0, -2.0, 2.0, -4.0, 7.0, -6.0]
+    [0.5, -1.0, -1.4, 0.2, 1.3, 1.4, 1.3, 0.0, 0.0, -5.1, -0.3, -1.2, -2.4, 0.4, -0.9, 0.0, 0.6, 0.0, 0.7, 0.3, 0.0, -0.3, -4.8, -1.0, 2.5, -1.2, 0.7, -2.4]
 )
 
 
