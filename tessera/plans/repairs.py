@@ -50,9 +50,9 @@ def rep_longest_run(spark, d):
 def rep_split_tables(spark, d):
     """A part of REP-110: tables of two orders each, the second part without its repeated header, as a hash of its lines."""
     lines = A.order_tables(spark, d)
-    merged = lines.select(F.floor(F.col("doc") / 2).alias("pair"), (F.col("line_no") + (F.col("doc") % 2) * 1000).alias("line_no"), "line")
+    merged = lines.select(F.floor(F.col("doc") / 2).alias("pair"), (F.col("line_no") + (F.col("doc") % 2) * 1_000_000).alias("line_no"), "line")
     blocks = B.table_blocks(merged, "pair")
-    pairs = blocks.where("block > 1000").select("pair", "block").distinct()
+    pairs = blocks.where("block > 1000000").select("pair", "block").distinct()
     return P.merge_split_tables(blocks, pairs, "pair").groupBy("pair").agg(F.count("*").alias("n_rows"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("text_hash"))
 
 
@@ -102,10 +102,10 @@ with {S.REPORTS}, {S.lines('reports', 'report_id')}, m as (select report_id, lin
 r as (select report_id, island, min(line_no) as "first", max(line_no) as "last" from m group by 1, 2)
 select report_id, "first", "last" from (select *, row_number() over (partition by report_id order by "last" - "first" desc, "first") as n from r) where n = 1""",
     "rep_split_tables": rf"""
-with {A.ORDERS}, m as (select doc // 2 as pair, line_no + doc % 2 * 1000 as line_no, line from orders_t), {A._blocks_sql('m', 'pair')},
+with {A.ORDERS}, m as (select doc // 2 as pair, line_no + doc % 2 * 1000000 as line_no, line from orders_t), {A._blocks_sql('m', 'pair')},
 h as (select pair, block, {S.strip('line')} as header, lag({S.strip('line')}) over (partition by pair order by block) as before from blocks where row_no = 1),
 r as (select pair, block, regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-') as ruled from blocks where row_no = 2),
-s as (select h.pair, h.block, coalesce(header = before, false) or coalesce(ruled, false) as gone from h left join r on r.pair = h.pair and r.block = h.block where h.block > 1000)
+s as (select h.pair, h.block, coalesce(header = before, false) or coalesce(ruled, false) as gone from h left join r on r.pair = h.pair and r.block = h.block where h.block > 1000000)
 select b.pair, count(*) as n_rows, md5(string_agg(line, chr(10) order by line_no)) as text_hash from blocks b left join s on s.pair = b.pair and s.block = b.block
 where not (coalesce(gone, false) and (row_no = 1 or row_no = 2 and regexp_full_match(line, '\s*\|?[\s:|-]+\|?\s*') and contains(line, '-'))) group by 1""",
 }
