@@ -130,7 +130,7 @@ def seq_block_around(spark, d):
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith(("det_", "audit_", "qc_", "seq_")) and callable(v)}
 
 ORDERS = """orders_t as (
-    select l_orderkey as doc, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) + 2)::bigint as line_no,
+    select l_orderkey as doc, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, trunc(l_quantity)::int::varchar) + 2)::bigint as line_no,
         case when l_orderkey % 5 = 0 then '| ' || trunc(l_quantity)::int || ' | ' || l_linenumber || ' | x 10 | - ' || l_linenumber || ' |'
              else '| part ' || l_partkey || ' | ' || trunc(l_quantity)::int || ' | sum |  |' end as line from lineitem
     union all select distinct l_orderkey, 1, case when l_orderkey % 7 = 0 then '| total 5 | rate 3.1% | a | b |' when l_orderkey % 11 = 0 then '|  |  |  |  |'

@@ -238,7 +238,7 @@ g as (select f.report_id, f.token, f.n, greatest(f.n - coalesce(l.n, 0), 0) as g
 s as (select report_id, sum(gap)::bigint as missing, sum(n)::bigint as total, array_to_string((list(token order by gap desc, token) filter (gap > 0))[1:15], ',') as examples from g group by 1)
 select report_id, missing, total, 'info' as severity, examples from s where missing > 0""",
     "rep_torn_columns": """
-with r as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as k, l_linenumber as n, trunc(l_quantity)::int as q, l_partkey as p from lineitem where l_orderkey % 5 = 0),
+with r as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, trunc(l_quantity)::int::varchar) as k, l_linenumber as n, trunc(l_quantity)::int as q, l_partkey as p from lineitem where l_orderkey % 5 = 0),
 o as (select doc, count(*) as m, bool_or(doc % 3 = 0 and n = 2 and q <> 77) as off from r group by 1 having count(*) >= 2),
 x as (select doc, 1 as line_no, '| part | sum |  |  |  |' as torn, '| part | sum |' as whole from o union all select doc, 2, '|---|---|---|---|---|', '| --- | --- |' from o
     union all select r.doc, k + 2, '| part' || p || ' | ' || q || ' | ' || n || ' | × 10 | - ' || n || ' |', '| part' || p || ' | ' || case when r.doc % 3 = 0 and n = 2 then 77 else q end || '.' || n || ' × 10 -' || n || ' |' from r join o on o.doc = r.doc)
