@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
+from tessera.operators import audit as A
 from tessera.operators import blocks as B
 from tessera.operators import coverage as C
 from tessera.operators import geometry as G
 from tessera.operators import regions as X
 from tessera.operators import repair as P
 from tessera.plans import _sql as S
+from tessera.plans import audit as Q
 from tessera.plans import layers as L
 from tessera.plans import tables as R
 from tessera.session import read
@@ -260,3 +262,16 @@ def rep_report(spark, d):
 
 QUERIES["rep_report"] = rep_report
 SQL["rep_report"] = _report_sql()
+
+
+def audit_tables(spark, d):
+    """DET-103 to DET-107, AUD: issues of the corpus' own tables, whose first row of data was fused into the header."""
+    lines, _ = fused_tables(spark, d)
+    return A.all_rules(lines, "chunk_id")
+
+
+QUERIES["audit_tables"] = audit_tables
+SQL["audit_tables"] = f"""with {CELLS}, fh as (select a.chunk_id, a.c, trim(a.cell || ' ' || coalesce(b.cell, '')) as f from cell a left join cell b on b.chunk_id = a.chunk_id and b.c = a.c and b.k = 2 where a.k = 1),
+l as (select chunk_id as doc, 1 as line_no, '| ' || string_agg(f, ' | ' order by c) || ' |' as line from fh group by 1 union all select chunk_id, 2, '|' || repeat('---|', count(*)) from fh group by 1
+    union all select chunk_id, k, '| ' || array_to_string(rows[k], ' | ') || ' |' from (select *, unnest(range(3, len(rows) + 1)) as k from grid)),
+{Q._blocks_sql('l', 'doc')} select doc as chunk_id, rule, severity, n, lines from ({Q.RULE_103} union all {Q.RULE_104} union all {Q.RULE_105} union all {Q.RULE_107})"""
