@@ -82,7 +82,8 @@ def repair(texts: DataFrame, words: DataFrame | None, layer: DataFrame | None) -
     if layer is not None:
         whole = cut(P.repair_losses(texts, layer, KEY))
         texts = texts.join(whole.select(KEY, F.col("text").alias("completed")), KEY, "left").select(KEY, F.coalesce("completed", "text").alias("text"))
-        actions = actions.unionByName(whole.where("n_runs > 0").select(KEY, F.lit("201").alias("rule"), F.lit("repaired").alias("status")))
+        for counted, status in (("n_runs", "repaired"), ("n_reported", "reported")):
+            actions = actions.unionByName(whole.where(F.col(counted) > 0).select(KEY, F.lit("201").alias("rule"), F.lit(status).alias("status")))
     return texts, actions
 
 

@@ -89,12 +89,15 @@ _TOKEN = re.compile(r"[A-Za-z][A-Za-z\-']{3,}")
 MOST_RUNS, LONGEST_RUN, MOST_SHARE = 10, 12, 0.05
 
 
-def missing_runs(words: list[str], text: str) -> list[tuple[int, int]]:
-    """(start, end) of runs of layer words that hold a missing token, widened over words that are missing too."""
+def missing_runs(words: list[str], text: str, capped: bool = True) -> list[tuple[int, int]]:
+    """(start, end) of runs of layer words that hold a missing token, widened over words that are missing too.
+
+    Those that a repair may take on: none if more than 5 % of the layer is missing, else at most ten, of at most twelve words.
+    """
     layer = Counter(t.lower() for w in words for t in _TOKEN.findall(w))
     have = Counter(t.lower() for t in _TOKEN.findall(text))
     gap = layer - have
-    if not gap or sum(gap.values()) > MOST_SHARE * max(1, sum(layer.values())):
+    if not gap or (capped and sum(gap.values()) > MOST_SHARE * max(1, sum(layer.values()))):
         return []
     lacks = []
     left = Counter(gap)
@@ -109,7 +112,7 @@ def missing_runs(words: list[str], text: str) -> list[tuple[int, int]]:
             runs[-1] = (runs[-1][0], k + 1)
         elif missing:
             runs.append((k, k + 1))
-    return [r for r in runs if r[1] - r[0] <= LONGEST_RUN][:MOST_RUNS]
+    return [r for r in runs if r[1] - r[0] <= LONGEST_RUN][:MOST_RUNS] if capped else runs
 
 
 def inject_missing(words: list[str], text: str) -> tuple[str, int]:
@@ -135,13 +138,20 @@ def inject_missing(words: list[str], text: str) -> tuple[str, int]:
 
 
 def repair_losses(texts: DataFrame, layer: DataFrame, key: str) -> DataFrame:
-    """(key, text, n_runs): ``texts`` (key, text) completed from ``layer`` (key, words in order)."""
+    """(key, text, n_runs, n_reported): ``texts`` (key, text) completed from ``layer`` (key, words in order).
+
+    What is missing and was not put back, because there is too much of it or no place for it, is reported by its number of runs.
+    """
     joined = texts.select(key, "text").join(layer.select(key, "words"), key)
     kind = joined.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [inject_missing(w or [], t or "") for t, w in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=[key, "text", "n_runs"])
-
-    return joined.select(key, "text", "words").mapInArrow(run, f"{key} {kind}, text string, n_runs int")
+            done = []
+            for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist()):
+                whole, n = inject_missing(words or [], text or "")
+                done.append((whole, n, len(missing_runs(words or [], whole, capped=False))))
+            columns = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "text", "n_runs", "n_reported"])
+
+    return joined.select(key, "text", "words").mapInArrow(run, f"{key} {kind}, text string, n_runs int, n_reported int")

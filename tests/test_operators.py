@@ -150,7 +150,7 @@ def test_missing_runs_are_put_back_or_refused():
     text = " ".join(words).replace("Quenby ", "", 1)
     done, n = R.inject_missing(words, text)
     assert n == 1 and "Authors Quenby Marrowgate" in done
-    assert R.inject_missing(words, "gutted") == ("gutted", 0)
+    assert R.inject_missing(words, "gutted") == ("gutted", 0) and R.missing_runs(words, "gutted") == [] and R.missing_runs(words, "gutted", capped=False)
     assert R.inject_missing(words, " ".join(words)) == (" ".join(words), 0)
 
 
