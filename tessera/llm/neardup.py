@@ -38,7 +38,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import sketch as S
@@ -251,19 +251,108 @@ def _verify(numerator: int, denominator: int):
     return run
 
 
-def _meeting(index: DataFrame, hot: int) -> DataFrame:
-    """Each two classes (cls, n, high, low and the same with _b) under each key that both have."""
+_MET = "index_key long, cls_a long, cls_b long, n int, high long, low long"
+_ROW = ("index_key", "cls", "n", "high", "low")
+
+
+def _near_enough(threshold: float, n_a, n_b, distance):
+    """Length and bitmap filters: whether sets of these sizes can be similar with bitmaps so far apart."""
+    total = n_a + n_b
+    least_overlap = np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+    return (np.minimum(n_a, n_b) >= np.maximum(n_a, n_b) * threshold - 1e-9) & (distance <= total - 2 * least_overlap)
+
+
+def _meet(threshold: float, hot: int):
+    """Pairs of classes under a key out of rows sorted by key and class; the rows of keys with more than ``hot`` classes go on as they are."""
+    names = [part.split()[0] for part in _MET.split(", ")]
+
+    def pairs_of(rows: tuple[np.ndarray, ...], starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, cls, n, high, low = rows
+        high, low = high.view(np.uint64), low.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
+        for m in np.unique(lengths):
+            i, j = np.triu_indices(int(m), 1)
+            at = starts[lengths == m]
+            step = max(1, 2_000_000 // len(i))
+            for k in range(0, len(at), step):
+                left, right = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                distance = np.bitwise_count(high[left] ^ high[right]).astype(np.int64) + np.bitwise_count(low[left] ^ low[right])
+                near = _near_enough(threshold, n[left], n[right], distance)
+                left, right = left[near], right[near]
+                if len(left):
+                    empty = pa.nulls(len(left), pa.int64())
+                    yield pa.RecordBatch.from_arrays([empty, pa.array(cls[left]), pa.array(cls[right]), pa.array(np.minimum(n[left], n[right])), empty, empty], names=names)
+
+    def as_they_are(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        key, cls, n, high, low = map(pa.array, rows)
+        return pa.RecordBatch.from_arrays([key, cls, pa.nulls(len(key), pa.int64()), n, high, low], names=names)
+
+    def runs(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        key = rows[0]
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        lengths = np.diff(np.append(starts, len(key)))
+        some = (lengths > 1) & (lengths <= hot)
+        yield from pairs_of(rows, starts[some], lengths[some])
+        many = np.repeat(lengths > hot, lengths)
+        if many.any():
+            yield as_they_are(tuple(c[many] for c in rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: tuple[np.ndarray, ...] | None = None  # the last key's rows, which may go on in the next batch
+        flowing: tuple[int, int] | None = None  # a key known to be hot, and its last class
+        for batch in batches:
+            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in _ROW)
+            if waiting is not None:
+                rows = tuple(np.concatenate(pair) for pair in zip(waiting, rows))
+                waiting = None
+            key, cls = rows[:2]
+            if not len(key):
+                continue
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            if flowing is not None:
+                fresh[0] = (int(key[0]), int(cls[0])) != flowing
+            rows = tuple(c[fresh] for c in rows)
+            if flowing is not None:
+                same = rows[0] == flowing[0]
+                if same.any():
+                    yield as_they_are(tuple(c[same] for c in rows))
+                    flowing = (flowing[0], int(rows[1][same][-1]))
+                rows = tuple(c[~same] for c in rows)
+                if not len(rows[0]):
+                    continue
+                flowing = None
+            last = int((rows[0] != rows[0][-1]).sum())
+            if last:
+                yield from runs(tuple(c[:last] for c in rows))
+            tail = tuple(c[last:] for c in rows)
+            if len(tail[0]) > hot:
+                yield as_they_are(tail)
+                flowing = (int(tail[0][-1]), int(tail[1][-1]))
+            else:
+                waiting = tail
+        if waiting is not None and len(waiting[0]):
+            yield from runs(waiting)
+
+    return run
+
+
+def _meeting(keys: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(cls_a, cls_b, n) of each two classes that may be similar, once for each key that both have; ``keys`` are partitioned by key."""
+    met = cut(keys.sortWithinPartitions("index_key", "cls").mapInArrow(_meet(threshold, hot), _MET))
     columns = ("cls", "n", "high", "low")
-    sized = index.withColumn("m", F.count("*").over(Window.partitionBy("index_key")))
-    few = sized.where(F.col("m") <= hot).select("index_key", *columns)
-    cold = few.join(few.select("index_key", *(F.col(c).alias(f"{c}_b") for c in columns)), "index_key").where(F.col("cls") < F.col("cls_b"))
-    blocks = F.ceil(F.col("m") / hot)
-    many = sized.where(F.col("m") > hot).withColumn("last", (blocks - 1).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    many = met.where("cls_b is null").select("index_key", F.col("cls_a").alias("cls"), "n", "high", "low")
+    sizes = many.groupBy("index_key").agg(F.count("*").alias("m"))
+    many = many.join(sizes, "index_key").withColumn("blocks", F.ceil(F.col("m") / hot)).withColumn("last", (F.col("blocks") - 1).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = many.select("index_key", F.col("block").alias("one"), F.explode(F.sequence("block", "last")).alias("two"), *columns)
     right = many.select("index_key", F.explode(F.sequence(F.lit(0), "block")).alias("one"), F.col("block").alias("two"), *(F.col(c).alias(f"{c}_b") for c in columns))
     split = left.join(right, ["index_key", "one", "two"]).where((F.col("one") < F.col("two")) | (F.col("cls") < F.col("cls_b")))
-    names = [*columns, *(f"{c}_b" for c in columns)]
-    return cold.select(*names).unionByName(split.select(*names))
+    total = F.col("n") + F.col("n_b")
+    least_overlap = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    distance = F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b")))
+    near = split.where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9)).where(distance <= total - 2 * least_overlap)
+    hot_pairs = near.select(F.least("cls", "cls_b").alias("cls_a"), F.greatest("cls", "cls_b").alias("cls_b"), F.least("n", "n_b").alias("n"))
+    return met.where("cls_b is not null").select("cls_a", "cls_b", "n").unionByName(hot_pairs)
 
 
 def similar_classes(
@@ -289,15 +378,10 @@ def similar_classes(
     keys = narrow.mapInArrow(
         _keys(width, least_words, threshold, cells, shared), "index_key long, cls long, n int, high long, low long"
     ).repartition("index_key")
-    index = keys.groupBy("index_key", "cls").agg(F.first("n").alias("n"), F.first("high").alias("high"), F.first("low").alias("low"))
-    total = F.col("n") + F.col("n_b")
-    least_overlap = F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     candidates = (
-        _meeting(index, hot)
-        .where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(threshold) - F.lit(1e-9))
-        .where(F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) <= total - 2 * least_overlap)
-        .groupBy(F.least("cls", "cls_b").alias("cls_a"), F.greatest("cls", "cls_b").alias("cls_b"))
-        .agg(F.count("*").alias("n_keys"), F.min(F.least("n", "n_b")).alias("n"))
+        _meeting(keys, threshold, hot)
+        .groupBy("cls_a", "cls_b")
+        .agg(F.count("*").alias("n_keys"), F.min("n").alias("n"))
         .where(F.col("n_keys") >= 1 + F.floor(F.col("n") / STEP))
         .select("cls_a", "cls_b")
     )

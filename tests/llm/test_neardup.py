@@ -90,3 +90,43 @@ def test_a_key_with_several_texts_is_no_pair_of_itself(spark):
     df = spark.createDataFrame(rows, "chunk_id string, content string")
     members, links = similar_classes(df, "chunk_id", "content", 0.7, 3, 20, cells=1 << 16)
     assert [tuple(r) for r in similar_pairs(members, links, several_texts=True).collect()] == [("a", "b")]
+
+
+def test_pairs_under_a_key_wherever_batches_end():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.neardup import _meet
+
+    rng = random.Random(11)
+    for hot in (2, 5, 1000):
+        rows = sorted((rng.choice([-7, 0, 3, 3, 3, 3, 8, 9]), rng.randrange(-30, 30)) for _ in range(200))
+        cut = sorted(rng.sample(range(1, 200), 30))
+        parts = [rows[a:b] for a, b in zip([0, *cut], [*cut, 200])]
+        size = lambda c: 10 + abs(c) % 3
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in p], pa.int64()), pa.array([c for _, c in p], pa.int64()), pa.array([size(c) for _, c in p], pa.int32()), pa.array([c for _, c in p], pa.int64()), pa.array([0] * len(p), pa.int64())],
+                names=["index_key", "cls", "n", "high", "low"],
+            )
+            for p in parts
+        ]
+        pairs, through = [], []
+        for b in _meet(0.7, hot)(iter(batches)):
+            for r in b.to_pylist():
+                if r["cls_b"] is None:
+                    through.append((r["index_key"], r["cls_a"]))
+                else:
+                    pairs.append((r["cls_a"], r["cls_b"]))
+        want, hot_rows = [], []
+        for key in {k for k, _ in rows}:
+            classes = sorted({c for k, c in rows if k == key})
+            if len(classes) > hot:
+                hot_rows += [(key, c) for c in classes]
+                continue
+            for a, b in itertools.combinations(classes, 2):
+                total = size(a) + size(b)
+                far = bin((a ^ b) & (2**64 - 1)).count("1")
+                if min(size(a), size(b)) >= 0.7 * max(size(a), size(b)) and far <= total - 2 * int(np.ceil(total * 0.7 / 1.7 - 1e-9)):
+                    want.append((a, b))
+        assert sorted(pairs) == sorted(want) and sorted(through) == sorted(hot_rows)
