@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import textops as T
@@ -10,24 +10,24 @@ from tessera.plans import _sql as S
 from tessera.session import read
 
 
-def repeated_lines(lines: Column, least: int = 4, longest: int = 60) -> Column:
-    """Running headers of one document: short lines that occur at least ``least`` times in its array of lines.
+def with_running_headers(docs: DataFrame, lines: str, least: int = 4, longest: int = 60) -> DataFrame:
+    """Adds ``headers``: the short lines that occur at least ``least`` times in each document's own array of lines.
 
     In the sorted array a line that occurs so often equals the one ``least`` - 1 places later.
     """
-    short = F.sort_array(F.filter(lines, lambda x: F.length(x).between(1, longest - 1) & x.rlike(r"[\p{L}\p{N}]")))
-    pairs = F.zip_with(short, F.slice(short, F.lit(least), F.size(short)), lambda x, y: F.when(x == y, x))
-    return F.array_compact(F.array_distinct(pairs))
+    short = F.sort_array(F.filter(F.transform(lines, lambda x: T.strip(x)), lambda x: F.length(x).between(1, longest - 1)))
+    docs = docs.withColumn("short", F.when(F.size(lines) >= least, short).otherwise(F.array().cast("array<string>")))
+    pairs = F.zip_with("short", F.slice("short", F.lit(least), F.greatest(F.size("short"), F.lit(1))), lambda x, y: F.when(x == y, x))
+    headers = F.filter(F.array_distinct(F.array_compact(pairs)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return docs.withColumn("headers", headers).drop("short")
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and tokens by source without running headers; documents are rows, so only the sums are shuffled."""
-    docs = read(spark, sf_dir, "documents").where("text is not null").select("source", F.transform(T.split_lines(F.col("text")), T.strip).alias("lines"))
-    docs = docs.withColumn("headers", repeated_lines(F.col("lines")))
-    kept = F.when(F.size("headers") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("headers", x)))
-    tokens = F.aggregate(F.transform("kept", lambda x: T.estimate_tokens(x)), F.lit(0).cast("long"), lambda total, n: total + n)
-    summed = docs.withColumn("kept", kept).select(F.coalesce("source", F.lit("unknown")).alias("source"), F.size("kept").alias("n"), tokens.alias("t")).where("n > 0")
-    return summed.groupBy("source").agg(F.sum("n").alias("n_lines"), F.sum("t").alias("n_tokens"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.coalesce("source", F.lit("unknown")).alias("source"), T.split_lines(F.col("text")).alias("lines"))
+    lines = with_running_headers(docs, "lines").select("source", "headers", F.explode("lines").alias("line")).withColumn("line", T.strip(F.col("line")))
+    kept = lines.where((F.size("headers") == 0) | ~F.array_contains("headers", F.col("line")))
+    return kept.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum(T.estimate_tokens(F.col("line"))).alias("n_tokens"))
 
 
 QUERIES = {"corpus_summary": corpus_summary}
