@@ -13,11 +13,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(read(spark, sf_dir, "documents"))
 
 
-def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that each document's ids decode to."""
     return decode_column(p6_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_hash"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_check": p6_check}
+QUERIES = {"p6_ids": p6_ids, "p6_text": p6_text}
 
-SQL = {"p6_check": "select doc_id, md5(coalesce(text, '')) as text_hash from documents"}
+SQL = {"p6_text": "select doc_id, md5(coalesce(text, '')) as text_hash from documents"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.textops import strip
@@ -16,12 +16,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the last unit of each document ends, and how many units are blank, repeated or end in white space."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ends = p8_found(spark, sf_dir).join(docs, "doc_id")
-    start = F.coalesce(F.lag("sent_end").over(Window.partitionBy("doc_id").orderBy("sent_end")), F.lit(0))  # one document's ends
-    unit = F.substr("text", start + 1, F.col("sent_end") - start)
-    units = ends.select("doc_id", "sent_end", F.length(strip(unit)).alias("n_filled"), unit.rlike(r"\s$").alias("loose"))
-    return units.groupBy("doc_id").agg(F.max("sent_end").alias("last_end"), F.count_if(F.col("n_filled") == 0).alias("n_blank"), F.count_if("loose").alias("n_loose"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    ends = p8_found(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list("sent_end")).alias("ends"))  # one document's ends
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("ends"))
+    unit = lambda end, start: F.substr("text", (start + 1).cast("int"), (end - start).cast("int"))
+    units = docs.join(ends, "doc_id").select("doc_id", "ends", F.zip_with("ends", F.slice(starts, F.lit(1), F.size("ends")), unit).alias("units"))
+    return units.select(
+        "doc_id", F.array_max("ends").alias("last_end"), F.size(F.filter("units", lambda u: F.length(strip(u)) == 0)).cast("long").alias("n_blank"), F.size(F.filter("units", lambda u: u.rlike(r"\s$"))).cast("long").alias("n_loose")
+    )
 
 
 QUERIES = {"p8_found": p8_found, "p8_check": p8_check}
