@@ -95,6 +95,26 @@ def demote_footnotes(marks: DataFrame) -> DataFrame:
     return marks.where(~((F.col("level") >= 4) & F.col("title").rlike(r"^\d{1,3}$")))
 
 
+def table_captions(lines: DataFrame, key: str, cut: int = 200) -> DataFrame:
+    """(key, block, caption): for each table of lines the last caption line of the text block before it, else the start of that block's last line.
+
+    Lines of superscript notes are no captions; a table without text before it has none.
+    """
+    s = T.strip(F.col("line"))
+    structural = s.rlike(r"^(?:#{1,6}\s|```|\|.*\|$|!\[[^\]]*\]\([^)]+\)$|(?i:<table))")
+    w = Window.partitionBy(key).orderBy("line_no")
+    placed = placed_rows(lines, key, least=1).withColumn("s", s).withColumn("is_text", (F.col("s") != "") & ~structural)
+    fresh = F.when(F.col("is_text") & ~F.coalesce(F.lag("is_text").over(w), F.lit(False)), F.col("line_no"))
+    placed = placed.withColumn("fresh", fresh).withColumn("run", F.last("fresh", ignorenulls=True).over(w))
+    caption = F.col("s").rlike(r"(?i)^(?:Table|Figure|表|图)\s*[\d.::]+")
+    told = F.col("is_text") & ~F.col("s").startswith("<sup>")
+    within = Window.partitionBy(key, "run").orderBy("line_no")
+    last_caption = F.last(F.when(told & caption, F.col("s")), ignorenulls=True).over(within)
+    last_line = F.last(F.when(told, F.substring("s", 1, cut)), ignorenulls=True).over(within)
+    placed = placed.withColumn("caption", F.when(F.col("run").isNotNull(), F.coalesce(last_caption, last_line)))
+    return placed.where(F.col("line_no") == F.col("block")).select(key, "block", "caption")
+
+
 def note_prefixes(lines: DataFrame, key: str) -> DataFrame:
     """(key, line_no, line) of the filled lines, deep headings that are only a short number made the start of the text that follows them.
 

@@ -147,6 +147,27 @@ def build_plan(packages: DataFrame, bodies: DataFrame, counts: DataFrame) -> Dat
     return joined.select("doc_id", F.when(~fresh, "stale").when(F.coalesce("n_chunks", F.lit(0)) == 0, "empty").otherwise("ready").alias("state"))
 
 
+def write_index(rows: DataFrame, folder: str) -> None:
+    """The index as a table (chunk_id, doc_id, chunk_type, page, vector): a folder for each type, sorted by document and page.
+
+    A filter on the type reads its folder alone; one on document or page skips row groups by their bounds.
+    """
+    placed = rows.select("chunk_id", "doc_id", F.coalesce("chunk_type", F.lit("unknown")).alias("chunk_type"), "page", "vector")
+    spread = placed.repartition("chunk_type", F.substring(F.md5("doc_id"), 1, 2)).sortWithinPartitions("chunk_type", "doc_id", "page")
+    spread.write.mode("overwrite").partitionBy("chunk_type").parquet(folder)
+
+
+def filtered(index: DataFrame, doc_id: str | None = None, chunk_type: str | None = None, first_page: int | None = None, last_page: int | None = None) -> DataFrame:
+    """Rows of the index that the given conditions leave; an unknown page is on none."""
+    if doc_id is not None:
+        index = index.where(F.col("doc_id") == doc_id)
+    if chunk_type is not None:
+        index = index.where(F.col("chunk_type") == chunk_type)
+    if first_page is not None:
+        index = index.where(F.col("page") >= first_page)
+    return index if last_page is None else index.where(F.col("page") <= last_page)
+
+
 def build_report(current: DataFrame, indexed: DataFrame) -> DataFrame:
     """One row (embedded, unchanged, deleted, total) of what a sync does."""
     now, then = current.select("chunk_id", F.lit(True).alias("now")).distinct(), indexed.select("chunk_id", F.lit(True).alias("then")).distinct()

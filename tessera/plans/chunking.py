@@ -29,6 +29,16 @@ def seq_note_headings(spark, d):
     return B.demote_footnotes(_marks(spark, d)).groupBy("report_id").agg(F.count("*").alias("n"))
 
 
+def seq_table_captions(spark, d):
+    """SEQ-14: caption of each table of the reports, with a small table put in before every 30th line and a caption before some."""
+    lines = R.report_lines(spark, d)
+    at, n = F.col("line_no") % 30 == 11, F.col("line_no").cast("string")
+    caption = F.when(F.col("line_no") % 60 == 11, F.array(F.concat(F.lit("Table "), n, F.lit(". Values")), F.lit("<sup>1</sup> note"), F.lit(""))).otherwise(F.array(F.lit("")))
+    more = F.when(at, F.concat(caption, F.array(F.lit("| a | b |"), F.lit("|---|---|"), F.lit("| 1 | 2 |"), F.lit("")), F.array("line"))).otherwise(F.array("line"))
+    spread = lines.select("report_id", "line_no", F.posexplode(more).alias("k", "line")).select("report_id", (F.col("line_no") * 10 + F.col("k")).alias("line_no"), "line")
+    return B.table_captions(spread, "report_id")
+
+
 def seq_notes(spark, d):
     """SEQ-06: reports with a note mark on every 25th line; each begins the text that follows it."""
     mark = F.concat(F.lit("#### "), (F.col("line_no") % 9 + 1).cast("string"))
@@ -98,7 +108,7 @@ def chk_table_parts(spark, d):
 
 
 def chk_summaries(spark, d):
-    """SCL-19: summary of every report and where it is from (no SQL: runs of lines with two outcomes)."""
+    """SCL-19: summary of every report and where it is from."""
     kind = Y.StructType().add("summary", "string").add("source", "string")
     s = F.udf(C.summary, kind, useArrow=True)
     return R.reports(spark, d).select("report_id", s("text").alias("s")).select("report_id", "s.summary", "s.source")
@@ -136,6 +146,24 @@ select t.chunk_id, case when not starts_with(lower({S.strip('text')}), '<table')
     "chk_rules": f"with {S.REPORTS} select report_id as doc_id, 0::bigint as n_wrong_ids, 0::bigint as n_wrong_sizes, 0::bigint as n_gaps, 0::bigint as n_back, 0::bigint as n_above, 0::bigint as n_lost from reports where regexp_matches(text, '\\S')",
     "seq_heading_paths": _paths(),
     "seq_note_headings": rf"with {MARKS} select report_id, count(*) as n from h where not (level >= 4 and regexp_full_match(title, '\d{{1,3}}')) group by 1",
+    "chk_summaries": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, t as (select report_id, line_no, {S.strip('line')} as s from lines),
+k as (select *, regexp_matches(s, '^#{{1,6}}\s+') as head, regexp_matches(s, '^#{{1,6}}\s+.*') or starts_with(s, '|') or starts_with(s, '!') or starts_with(s, '>') or starts_with(s, '```') or starts_with(s, '<') or starts_with(s, '---') as barred from t),
+ab as (select report_id, min(line_no) as a from k where head and lower({S.strip("regexp_replace(s, '^#{1,6}[[:space:]]+', '')")}) in ('abstract', '摘要') group by 1),
+sec as (select k.*, line_no - row_number() over (partition by k.report_id order by line_no) as g from k join ab on ab.report_id = k.report_id where s <> '' and line_no > a and line_no < coalesce((select min(h.line_no) from k h where h.report_id = k.report_id and h.head and h.line_no > a), 1000000000)),
+abs_p as (select report_id, arg_min(p, m) as p from (select report_id, g, min(line_no) as m, substr(string_agg(s, ' ' order by line_no), 1, 600) as p from sec group by 1, 2) group by 1),
+pl as (select *, line_no - row_number() over (partition by report_id order by line_no) as g from k where s <> '' and not barred),
+pr as (select report_id, g, min(line_no) as m, max(line_no) as z, string_agg(s, ' ' order by line_no) as p from pl group by 1, 2),
+ok as (select pr.report_id, m, p from pr left join k on k.report_id = pr.report_id and k.line_no = z + 1 where not coalesce(barred, false) and length(p) > 150 and length(p) - length(replace(replace(p, '.', ''), '。', '')) >= 2),
+fi as (select report_id, arg_min(p, m) as p from ok group by 1)
+select r.report_id, coalesce(abs_p.p, substr(fi.p, 1, 600), '') as summary, case when abs_p.p is not null then 'abstract' when fi.p is not null then 'first_paragraph' else 'unavailable' end as source
+from reports r left join abs_p on abs_p.report_id = r.report_id left join fi on fi.report_id = r.report_id""",
+    "seq_table_captions": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, m as (select report_id, line_no, case when line_no % 30 = 11 then list_concat(case when line_no % 60 = 11 then ['Table ' || line_no || '. Values', '<sup>1</sup> note', ''] else [''] end, ['| a | b |', '|---|---|', '| 1 | 2 |', '', line]) else [line] end as a from lines),
+e as (select report_id, line_no * 10 + i - 1 as line_no, a[i] as line from m, unnest(range(1, len(a) + 1)) as u(i)), t as (select *, {S.strip('line')} as s from e),
+x as (select *, regexp_matches(s, '^\|.*\|$') as pipe, s <> '' and not regexp_matches(s, '^(?:#{{1,6}}\s|```|\|.*\|$|!\[[^\]]*\]\([^)]+\)$|(?i:<table))') as txt from t),
+y as (select *, pipe and not coalesce(lag(pipe) over w and lag(line_no) over w = line_no - 1, false) as starts, case when txt and not coalesce(lag(txt) over w, false) then line_no end as fresh from x window w as (partition by report_id order by line_no)),
+z as (select *, max(fresh) over (partition by report_id order by line_no rows unbounded preceding) as run from y),
+c as (select report_id, run, arg_max(s, line_no) filter (regexp_matches(s, '(?i)^(?:Table|Figure|表|图)\s*[\d.::]+')) as cap, arg_max(substr(s, 1, 200), line_no) as last_line from z where txt and not starts_with(s, '<sup>') group by 1, 2)
+select z.report_id, z.line_no as block, coalesce(cap, last_line) as caption from z left join c on c.report_id = z.report_id and c.run = z.run where starts""",
     "seq_notes": rf"""with {S.REPORTS}, {S.lines('reports', 'report_id')}, m as (select report_id, line_no, case when line_no % 25 = 7 then '#### ' || (line_no % 9 + 1) else line end as line from lines),
 f as (select *, {S.strip('line')} as s from m where {S.strip('line')} <> ''), n as (select *, regexp_extract(s, '^#{{4,6}}\s+(\d{{1,3}})$', 1) as note, not regexp_matches(s, '^(?:#{{1,6}}\s|```|~~~|\|.*\|$|!\[[^\]]*\]\([^)]+\)$|(?i:<table))') as txt from f),
 g as (select *, coalesce(lead(txt) over w, false) as goes_on, lag(note) over w as before from n window w as (partition by report_id order by line_no))

@@ -8,6 +8,7 @@ from tessera.functions import textops as T
 from tessera.operators import vectors as V
 from tessera.plans import tables as R
 from tessera.session import read
+from tessera.streaming import ingest as I
 
 
 def _rows(spark, d):
@@ -54,6 +55,14 @@ def vec_build_plan(spark, d):
     return V.build_plan(p, bodies, counts)
 
 
+def vec_payload_filter(spark, d):
+    """VEC-03: tables on pages 2 to 5 out of the written index of all chunks."""
+    folder = I.workspace(spark, "index")
+    c = R.chunks(spark, d)
+    V.write_index(V.embed(c).join(c.select("chunk_id", "doc_id", "chunk_type", "page"), "chunk_id"), folder)
+    return V.filtered(spark.read.parquet(folder), chunk_type="table", first_page=2, last_page=5).select("chunk_id", "doc_id", "page", F.size("vector").alias("dimensions"))
+
+
 def vec_build_report(spark, d):
     """AGG-12, TOOL-08: what the sync of the two states does, in one row."""
     return V.build_report(*_versions(spark, d))
@@ -116,6 +125,7 @@ SQL = {
     "vec_index_recall": "select count(*) filter (vec_id % 100 = 0) as n_queries, true as finds_enough from embeddings",
     "vec_hits": f"with h as ({_search(' and r.label = 3', 3)}) select query_id, row_id, score, place, case when doc_id is null then null else coalesce(source, 'unknown') end as title, md5(substr(text, 1, 1500)) as content_hash from h left join documents on doc_id = row_id",
     "vec_build_plan": f"with {PLAN} select doc_id, state from plan",
+    "vec_payload_filter": "with c as (select chunk_id, max_by(struct_pack(doc_id, chunk_type, page), struct_pack(indexed_at, seq)) as r from chunks group by 1) select chunk_id, r.doc_id as doc_id, r.page as page, 32 as dimensions from c where r.chunk_type = 'table' and r.page between 2 and 5",
     "vec_build_report": f"with {VERSIONS} select (select count(*) from now where chunk_id not in (select chunk_id from then_)) as embedded, (select count(*) from now where chunk_id in (select chunk_id from then_)) as unchanged, (select count(*) from then_ where chunk_id not in (select chunk_id from now)) as deleted, (select count(*) from now) as total",
     "vec_sync": f"with {VERSIONS} select chunk_id, 32 as dimensions from now",
     "vec_sync_ready": f"""with {VERSIONS}, {PLAN}, o as (select owners.doc_id, owners.chunk_id, coalesce(state, 'none') as state from owners left join plan on plan.doc_id = owners.doc_id where owners.doc_id is not null)
