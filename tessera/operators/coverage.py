@@ -67,6 +67,13 @@ def best_page(probes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     ``probes`` has key and token, ``pages`` has the first column of key, page_no and token.
     """
     doc = key[0]
-    hits = probes.distinct().join(pages.select(doc, "page_no", "token").distinct(), [doc, "token"]).groupBy(*key, "page_no").agg(F.count("*").alias("hits"))
+    probes, pages = probes.distinct(), pages.select(doc, "page_no", "token").distinct()
+    # a token of every page of a document tells no page from another: it only counts, for the first page too
+    n_pages = pages.groupBy(doc).agg(F.count_distinct("page_no").alias("n_pages"), F.min("page_no").alias("first_page"))
+    spread = pages.groupBy(doc, "token").agg(F.count("*").alias("n")).join(n_pages, doc).select(doc, "token", "first_page", (F.col("n") == F.col("n_pages")).alias("everywhere"))
+    told = probes.join(spread, [doc, "token"])
+    base = told.groupBy(*key).agg(F.count_if("everywhere").alias("base"), F.min("first_page").alias("first_page"))
+    hits = told.where(~F.col("everywhere")).select(*key, "token").join(pages, [doc, "token"]).groupBy(*key, "page_no").agg(F.count("*").alias("hits"))
     best = hits.groupBy(*key).agg(F.max_by(F.struct("page_no", "hits"), F.struct(F.col("hits"), (-F.col("page_no")).alias("early"))).alias("b"))
-    return best.select(*key, "b.page_no", "b.hits")
+    joined = base.join(best, key, "left")
+    return joined.select(*key, F.coalesce("b.page_no", "first_page").alias("page_no"), (F.coalesce("b.hits", F.lit(0)) + F.col("base")).alias("hits"))

@@ -60,7 +60,7 @@ def split_pairs(lines: DataFrame, blocks: DataFrame, words: DataFrame, key: str)
     between = lines.select(key, "line_no", "line").join(pairs.select(key, "block", "last", "next_block"), key).where((F.col("line_no") > F.col("last")) & (F.col("line_no") < F.col("next_block")))
     texts = between.where((T.strip(F.col("line")) != "") & ~T.strip(F.col("line")).startswith("#")).select(key, "block").distinct()
     pairs = pairs.join(texts, [key, "block"], "left_anti")
-    at = locate(blocks, words, key)
+    at = cut(locate(blocks, words, key))
     heights = words.groupBy(key, "page_no").agg((F.max("y1") + 36).alias("height"))
     first = at.select(key, "block", F.col("page_no").alias("page"), F.col("y_bottom").alias("bottom")).join(heights.withColumnRenamed("page_no", "page"), [key, "page"])
     second = at.select(key, F.col("block").alias("next_block"), F.col("page_no").alias("next_page"), F.col("y_top").alias("top"))

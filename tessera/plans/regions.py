@@ -15,7 +15,7 @@ from tessera.plans import _sql as S
 from tessera.plans import audit as Q
 from tessera.plans import layers as L
 from tessera.plans import tables as R
-from tessera.session import read
+from tessera.session import cut, read
 from tessera.sources import vision as V
 
 
@@ -81,7 +81,7 @@ def rep_merge_split(spark, d):
     """REP-110: the texts with the confirmed parts made one."""
     lines, words = torn_apart(spark, d)
     blocks = B.table_blocks(lines, "chunk_id")
-    pairs = X.split_pairs(lines, blocks, words, "chunk_id")
+    pairs = cut(X.split_pairs(lines, blocks, words, "chunk_id"))
     merged = P.merge_split_tables(blocks, pairs.where("state = 'merge'").select("chunk_id", F.col("next_block").alias("block")), "chunk_id").select("chunk_id", "line_no", "line")
     others = X.without_gaps(lines, pairs, "chunk_id").join(blocks.select("chunk_id", "line_no"), ["chunk_id", "line_no"], "left_anti")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
