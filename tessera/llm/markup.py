@@ -191,7 +191,7 @@ class Tree:
         for k, part in enumerate(parts):
             if not isinstance(part, _Kept):
                 part = re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", part)
-                part = re.sub(r"[ \t]+(?=\n)", "", part)
+                part = re.sub(r"(?<![ \t])[ \t]++(?=\n)", "", part)
                 part = re.sub(r"(?<=\n) (?=[^\s-])", "", part)
                 part = re.sub(r"\n{3,}", "\n\n", part)
                 if k == 0 and part[:1] == " " and part[1:2].strip():
@@ -365,7 +365,7 @@ class Tree:
                 lists[-1].number += 1
                 label = f"{lists[-1].number}. "
             fresh = self.stack[-1].parts and self.stack[-1].parts[-1].endswith("\n")
-            before = ("" if fresh else "\n") + "  " * max(0, len(lists) - 1) + label
+            before = ("" if fresh else "\n") + _indent(len(lists) - 1) + label
         elif name[0] == "h" and name[1:].isdigit():
             before = "\n\n" + "#" * int(name[1:]) + " "
         elif name in ("ul", "ol") and self._open_of["html_tag", "li"]:
@@ -546,7 +546,7 @@ class Tree:
 
     def _item(self, m: re.Match, end: int) -> int:
         indent = m[0][: len(m[0]) - len(m[0].lstrip())].expandtabs(4)
-        self._atom("md_list", "  " * (len(indent) // 2) + "- ", m[0])
+        self._atom("md_list", _indent(len(indent) // 2) + "- ", m[0])
         return m.end()
 
     def _footnote(self, m: re.Match, end: int) -> int:
@@ -601,7 +601,7 @@ class Tree:
             if lists and lists[-1].name in ("enumerate", "ol"):
                 lists[-1].number += 1
                 label = f"{lists[-1].number}. "
-            self._atom("latex_command", "  " * max(0, len(lists) - 1) + label, mark)
+            self._atom("latex_command", _indent(len(lists) - 1) + label, mark)
             return re.compile(r"[ \t]*").match(self.text, m.end(), end).end()
         if mark in _TEX_LAYOUT:
             self._atom("latex_command", "", mark)
@@ -680,6 +680,11 @@ class Tree:
         return m.end()
 
 
+def _indent(levels: int) -> str:
+    """Two spaces for each level of a list, for 16 levels at most, so that no text grows with the square of its length."""
+    return "  " * max(0, min(16, levels))
+
+
 def _formula(body: str) -> str:
     return re.sub(r"\\(?:label|tag)\{[^{}]*\}", "", body).strip()
 

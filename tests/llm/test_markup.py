@@ -64,14 +64,14 @@ def test_long_formulas_stay_whole():
     assert M.clean(f"so {formula} holds <b>here</b>") == f"so {formula} holds here"
 
 
-@pytest.mark.parametrize("piece", ["<b>", "<li><b>", "{", "{{", "<b>{", "[[", "`", "<a href=", "$", "*a", "_b ", "\\textbf{", "|", "| |", "<pre>", "<!--", "''", "<a " + " " * 50, "[x](", "\\begin{a}", "&", "> ", "]]", "a & "])
+@pytest.mark.parametrize("piece", ["<b>", "<ul><li>", "<td>", "- a\n", "  - b\n", "<li><b>", "{", "{{", "<b>{", "[[", "`", "<a href=", "$", "*a", "_b ", "\\textbf{", "|", "| |", "<pre>", "<!--", "''", "<a " + " " * 50, "[x](", "\\begin{a}", "&", "> ", "]]", "a & "])
 def test_hostile_texts_end(piece):
     import time
 
     began = time.time()
     for text in (piece * (60_000 // len(piece)), "\n".join([piece] * (60_000 // len(piece)))):
         M.clean(text)
-    assert time.time() - began < 6
+    assert time.time() - began < 3
 
 
 def test_subtrees_and_their_removal():
