@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +65,85 @@ def same_bag(bag_a: DataFrame, bag_b: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "token"], "full").groupBy(key).agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
 
 
-def best_page(probes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
-    """(key, page_no, hits): the page that shares most distinct tokens with a probe, the earliest of equals.
-
-    ``probes`` has key and token, ``pages`` has the first column of key, page_no and token.
+#: Pages of a document that are looked at together: a token's pages are the bits of one number.
+PAGES_AT_ONCE = 8192
+
+
+def most_common_bit(numbers: list[int]) -> tuple[int, int]:
+    """How many of the numbers have the bit that most of them have, and which bit that is, the lowest of equals."""
+    every = numbers[0]
+    for x in numbers:
+        every &= x
+    if every:
+        return len(numbers), (every & -every).bit_length() - 1
+    places: list[int] = []  # of every bit a count of its own, binary: place k holds the digits of 2^k
+    for carry in numbers:
+        for k, digits in enumerate(places):
+            places[k], carry = digits ^ carry, digits & carry
+            if not carry:
+                break
+        else:
+            places.append(carry)
+    most, left = 0, -1
+    for k in reversed(range(len(places))):
+        if places[k] & left:
+            most, left = most | 1 << k, places[k] & left
+    return most, (left & -left).bit_length() - 1
+
+
+def pages_of_probes(rows: list[tuple[int | None, list[str], bool]], at_once: int = PAGES_AT_ONCE) -> Iterator[tuple[int, int, int]]:
+    """(row, page_no, hits) of the rows (page_no, tokens, asks) of one document that ask and share a token with a page."""
+    pages = sorted({page for page, _, _ in rows if page is not None})
+    best: dict[int, tuple[int, int]] = {}
+    for at in range(0, len(pages), at_once):
+        bit = {page: 1 << i for i, page in enumerate(pages[at : at + at_once])}
+        on: dict[str, int] = {}
+        for page, tokens, _ in rows:
+            if page in bit:
+                for token in tokens:
+                    on[token] = on.get(token, 0) | bit[page]
+        for row, (_, tokens, asks) in enumerate(rows):
+            if asks and (found := [on[token] for token in tokens if token in on]):
+                hits, i = most_common_bit(found)
+                if row not in best or hits > best[row][1]:
+                    best[row] = (pages[at + i], hits)
+    return ((row, page, hits) for row, (page, hits) in best.items())
+
+
+def best_page(lines: DataFrame, key: list[str]) -> DataFrame:
+    """(key, page_no, hits): the page that shares most distinct tokens with a line that asks, the earliest of equals.
+
+    ``lines`` has key, page_no, tokens and asks. The first column of key is the document; all its lines with a page_no
+    make its pages, also those that ask. Lines of a document meet in one task, in one pass over sorted rows.
     """
     doc = key[0]
-    probes, pages = probes.distinct(), pages.select(doc, "page_no", "token").distinct()
-    # a token of every page of a document tells no page from another: it only counts, for the first page too
-    n_pages = pages.groupBy(doc).agg(F.count_distinct("page_no").alias("n_pages"), F.min("page_no").alias("first_page"))
-    spread = pages.groupBy(doc, "token").agg(F.count("*").alias("n")).join(n_pages, doc).select(doc, "token", "first_page", (F.col("n") == F.col("n_pages")).alias("everywhere"))
-    told = probes.join(spread, [doc, "token"])
-    base = told.groupBy(*key).agg(F.count_if("everywhere").alias("base"), F.min("first_page").alias("first_page"))
-    hits = told.where(~F.col("everywhere")).select(*key, "token").join(pages, [doc, "token"]).groupBy(*key, "page_no").agg(F.count("*").alias("hits"))
-    best = hits.groupBy(*key).agg(F.max_by(F.struct("page_no", "hits"), F.struct(F.col("hits"), (-F.col("page_no")).alias("early"))).alias("b"))
-    joined = base.join(best, key, "left")
-    return joined.select(*key, F.coalesce("b.page_no", "first_page").alias("page_no"), (F.coalesce("b.hits", F.lit(0)) + F.col("base")).alias("hits"))
+    tokens = F.array_distinct(F.array_compact("tokens")).alias("tokens")
+    rows = lines.where(F.col(doc).isNotNull()).select(*key, "page_no", tokens, "asks")
+    names = [*key, "page_no", "hits"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[tuple, tuple]] = []  # the last document's rows, which may go on in the next batch
+
+        def answers() -> list[tuple]:
+            return [(*waiting[row][0], page_no, hits) for row, page_no, hits in pages_of_probes([x for _, x in waiting])]
+
+        for batch in batches:
+            kinds = [*batch.schema.types[: len(key) + 1], pa.int64()]
+            words = batch.column("tokens").flatten().dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            all_tokens = [distinct[i] for i in words.indices.to_pylist()]
+            ends = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            ids, page_nos, asks = zip(*(batch.column(c).to_pylist() for c in key)), batch.column("page_no").to_pylist(), batch.column("asks").to_pylist()
+            found: list[tuple] = []
+            for of, page_no, start, end, asking in zip(ids, page_nos, [0, *ends], ends, asks):
+                if waiting and waiting[0][0][0] != of[0]:
+                    found += answers()
+                    waiting.clear()
+                waiting.append((of, (page_no, all_tokens[start:end], asking)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)], names=names)
+        if waiting:
+            found = answers()
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)], names=names)
+
+    return rows.repartition(doc).sortWithinPartitions(doc).mapInArrow(run, f"{schema}, hits long")

@@ -79,10 +79,8 @@ def agg_same_bag(spark, d):
 
 def jon_best_page(spark, d):
     """JON-06, SRC-10: the page of its report that shares most tokens with each line of at least six."""
-    tokens = F.array_distinct(T.anchor_tokens(F.col("line")))
-    probes = page_lines(spark, d).where(F.size(tokens) >= 6).select("report_id", "line_no", F.explode(tokens).alias("token"))
-    pages = page_lines(spark, d).select("report_id", "page_no", F.explode(tokens).alias("token"))
-    return C.best_page(probes, pages, ["report_id", "line_no"])
+    lines = page_lines(spark, d).select("report_id", "line_no", "page_no", F.array_distinct(T.anchor_tokens(F.col("line"))).alias("tokens"))
+    return C.best_page(lines.withColumn("asks", F.size("tokens") >= 6), ["report_id", "line_no"])
 
 
 def seq_visual_lines(spark, d):

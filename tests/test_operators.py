@@ -194,3 +194,50 @@ def test_classes(spark):
     rows = [("a", "ieee_paper", "$x$", 10), ("b", "notes", "plain", 3), ("c", "market outlook", "| a |", 60), ("d", None, "", None)]
     out = {r["doc_id"]: (r["doc_type"], r["source"]) for r in K.classify(spark.createDataFrame(rows, "doc_id string, name string, sample string, pages int")).collect()}
     assert out["a"] == ("academic_paper", "filename") and out["b"] == ("general", "content") and out["c"] == ("industry_report", "filename") and out["d"] == ("general", "content")
+
+
+def best_by_counting(rows):
+    pages = {}
+    for page, tokens, _ in rows:
+        if page is not None:
+            pages.setdefault(page, set()).update(tokens)
+    for row, (_, tokens, asks) in enumerate(rows):
+        hits = {page: len(set(tokens) & found) for page, found in pages.items()}
+        if asks and any(hits.values()):
+            page = min(hits, key=lambda p: (-hits[p], p))
+            yield row, page, hits[page]
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 8192])
+def test_pages_of_probes(at_once):
+    rng = random.Random(at_once)
+    for n_words in (4, 12, 60):
+        words = [f"w{i}" for i in range(n_words)]
+        rows = [(rng.choice([None, -2, *range(9)]), rng.sample(words, rng.randint(0, 4)), rng.random() < 0.7) for _ in range(120)]
+        rows.append((None, ["nowhere"], True))
+        assert sorted(C.pages_of_probes(rows, at_once)) == sorted(best_by_counting(rows))
+    assert not list(C.pages_of_probes([(None, ["a"], True)], at_once))
+
+
+def test_best_page_of_many_documents(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)]
+    docs = {f"d{d}": [(rng.choice([None, *range(5)]), [rng.choice([*words, None]) for _ in range(rng.randint(0, 9))], rng.random() < 0.8) for _ in range(rng.randint(1, 90))] for d in range(40)}
+    lines = [(doc, n, page, tokens, asks) for doc, rows in docs.items() for n, (page, tokens, asks) in enumerate(rows)]
+    lines += [(None, 0, 1, ["w1"], True), ("d0", 1000, 1, None, True)]
+    rng.shuffle(lines)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = C.best_page(spark.createDataFrame(lines, "doc string, n int, page_no long, tokens array<string>, asks boolean"), ["doc", "n"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = [(doc, *x) for doc, rows in docs.items() for x in best_by_counting([(page, [t for t in tokens if t], asks) for page, tokens, asks in rows])]
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_best_page_reads_reports_once(spark, sf):
+    """Every exchange, join and scan of a plan is kept by the driver until it ends."""
+    from tessera.plans import layers
+
+    plan = layers.jon_best_page(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
