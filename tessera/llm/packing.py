@@ -1,14 +1,15 @@
 """Filling containers of fixed capacity by a grouping genetic algorithm on islands.
 
 Items are dealt by hash into blocks of bounded size; each block is one packing problem. Best fit in
-falling order gives its first individual; where that already needs no more containers than the sum
-of the sizes does, nothing can be better and the block is done. Every other block is evolved on
-several islands, each a row and a task of its own with a population of its own. An individual is a
-partition of the block's items into containers. The crossover injects whole well-filled containers
-of the second parent into the first, removes the first parent's containers that hold one of these
-items, and puts the displaced items where they fit best, after swapping them with one or two items of
-a container that is fuller that way. After each round every island's elite moves on to the next
-island of its block. What the blocks leave in badly filled containers is dealt anew and packed once
+falling order and tight filling give its first individuals; where one of them already needs no more
+containers than the sum of the sizes does, nothing can be better and the block is done. Every other
+block is evolved on several islands, each a row and a task of its own with a population of its own.
+An individual is a partition of the block's items into containers. The crossover injects whole
+well-filled containers of the second parent into the first, removes the first parent's containers
+that hold one of these items, swaps the displaced items with one or two items of a container that is
+fuller that way, and puts the others where one or two of them fill a container to its last token, or
+where they fit best. After each round every island's elite moves on to the next island of its block;
+an island that has a packing at the bound keeps only that. What the blocks leave in badly filled containers is dealt anew and packed once
 more.
 
 Defined results: an item within the capacity is never split; one above it fills whole containers
@@ -23,6 +24,8 @@ import random
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import nsmallest
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +61,95 @@ class Packing:
 
 def best_fit(bins: list[list[int]], fills: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:
     """Put each item, in the order given, into the fullest container that has room, else into a new one."""
-    free = sorted((capacity - f, k) for k, f in enumerate(fills))
+    if not items:
+        return Packing(bins, fills)
+    n = len(bins)
+    least = min(map(sizes.__getitem__, items))  # no item fits into less room
+    shift = (n + len(items)).bit_length()  # room and container in one number, as numbers compare faster than pairs
+    mask = (1 << shift) - 1
+    free = sorted(((capacity - f) << shift) | k for k, f in enumerate(fills) if capacity - f >= least)
+    shared = [True] * n  # containers are shared between individuals, so only new ones are changed in place
     for item in items:
         size = sizes[item]
-        at = bisect_left(free, (size, -1))
+        at = bisect_left(free, size << shift)
         if at < len(free):
-            room, k = free.pop(at)
-            bins[k] = [*bins[k], item]  # containers are shared between individuals, so none is changed in place
+            found = free.pop(at)
+            k = found & mask
+            room = (found >> shift) - size
+            if shared[k]:
+                bins[k] = [*bins[k], item]
+                shared[k] = False
+            else:
+                bins[k].append(item)
+            fills[k] += size
         else:
-            room, k = capacity, len(bins)
+            k = len(bins)
+            room = capacity - size
             bins.append([item])
+            fills.append(size)
+            shared.append(False)
+        if room >= least:
+            insort(free, (room << shift) | k)
+    return Packing(bins, fills)
+
+
+def fill_tightly(bins: list[list[int]], fills: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:
+    """Fill the containers with room, the fullest first, then new ones begun with the largest item left.
+
+    Each takes the item that fills it to the last token, else two that do, else the largest that fits, and goes on.
+    """
+    by_size: dict[int, list[int]] = {}
+    for item in items:
+        by_size.setdefault(sizes[item], []).append(item)
+    nothing = [item for size in [s for s in by_size if s <= 0] for item in by_size.pop(size)]
+    there = sorted(by_size)
+
+    def take(size: int) -> int:
+        same = by_size[size]
+        item = same.pop()
+        if not same:
+            del by_size[size]
+            del there[bisect_left(there, size)]
+        return item
+
+    begun = iter(sorted((k for k, f in enumerate(fills) if f < capacity), key=lambda k: -fills[k]))
+    while there:
+        k = next(begun, None)
+        if k is None:
+            room, got = capacity - there[-1], [take(there[-1])]
+        else:
+            room, got = capacity - fills[k], []
+        while room > 0 and there:
+            if room in by_size:
+                got.append(take(room))
+                room = 0
+                break
+            at = bisect_right(there, room) - 1
+            if at < 0:
+                break
+            first = at
+            while first >= 0 and 2 * there[first] >= room:  # the larger one of two
+                larger = there[first]
+                if room - larger in by_size and (2 * larger != room or len(by_size[larger]) > 1):
+                    got += [take(larger), take(room - larger)]
+                    room = 0
+                    break
+                first -= 1
+            else:
+                room -= there[at]
+                got.append(take(there[at]))
+        if k is None:
+            bins.append(got)
+            fills.append(capacity - room)
+        elif got:
+            bins[k] = [*bins[k], *got]
+            fills[k] = capacity - room
+    if nothing:
+        if not bins:
+            bins.append([])
             fills.append(0)
-        fills[k] += size
-        insort(free, (room - size, k))
+        bins[0] = [*bins[0], *nothing]
+        fills[0] += sum(sizes[i] for i in nothing)
     return Packing(bins, fills)
 
 
@@ -110,24 +189,24 @@ def exchange(bins: list[list[int]], fills: list[int], displaced: list[int], size
 
 
 def crossover(first: Packing, second: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    n = len(second.bins)
-    full = [k for k in range(n) if second.fills[k] >= WELL_FILLED * capacity] or sorted(range(n), key=lambda k: -second.fills[k])[: max(1, n // 10)]
+    n, well = len(second.bins), WELL_FILLED * capacity
+    full = [k for k, f in enumerate(second.fills) if f >= well] or sorted(range(n), key=lambda k: -second.fills[k])[: max(1, n // 10)]
     chosen = rng.sample(full, max(1, min(len(full), len(full) // 3 + 1)))
-    injected = {item for k in chosen for item in second.bins[k]}
     bins, fills, displaced = [second.bins[k] for k in chosen], [second.fills[k] for k in chosen], []
-    poor = sorted(range(len(first.bins)), key=lambda k: (first.fills[k], rng.random()))[: max(1, len(first.bins) // 20)]
-    broken = set(poor)
+    injected = set(chain.from_iterable(bins))
+    broken = {k for _, _, k in nsmallest(max(1, len(first.bins) // 20), [(f, rng.random(), k) for k, f in enumerate(first.fills)])}
+    apart = injected.isdisjoint
     for k, items in enumerate(first.bins):
-        if k in broken or not injected.isdisjoint(items):
-            displaced.extend(i for i in items if i not in injected)
+        if k in broken or not apart(items):
+            displaced += [i for i in items if i not in injected]
         else:
             bins.append(items)
             fills.append(first.fills[k])
     displaced = exchange(bins, fills, displaced, sizes, capacity)
-    displaced.sort(key=lambda i: -sizes[i])
     if rng.random() < 0.5:  # a little disorder lets other combinations meet
         displaced.sort(key=lambda i: -sizes[i] * rng.uniform(0.8, 1.0))
-    return best_fit(bins, fills, displaced, sizes, capacity)
+        return best_fit(bins, fills, displaced, sizes, capacity)
+    return fill_tightly(bins, fills, displaced, sizes, capacity)
 
 
 def least_bins(sizes: list[int], capacity: int) -> int:
@@ -141,7 +220,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> Packing:
 
 def first_population(sizes: list[int], capacity: int, rng: random.Random, first: list[Packing] | None = None) -> list[Packing]:
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = list(first or ())
+    people = list(first or (best_fit([], [], order, sizes, capacity),))
     while len(people) < POPULATION:
         noise = rng.choice((0.1, 0.3, 0.6, 1.0))
         people.append(best_fit([], [], sorted(order, key=lambda i: -sizes[i] * rng.uniform(1 - noise, 1)), sizes, capacity))
@@ -166,19 +245,17 @@ def evolve(people: list[Packing], sizes: list[int], capacity: int, children: int
 
 def _to_bytes(packing: Packing, n: int) -> bytes:
     owner = np.zeros(n, dtype=np.int32)
-    for k, items in enumerate(packing.bins):
-        owner[items] = k
+    owner[list(chain.from_iterable(packing.bins))] = np.repeat(np.arange(len(packing.bins), dtype=np.int32), list(map(len, packing.bins)))
     return owner.tobytes()
 
 
 def _from_bytes(blob: bytes, sizes: list[int]) -> Packing:
-    owner = np.frombuffer(blob, dtype=np.int32).tolist()
-    bins: list[list[int]] = [[] for _ in range(max(owner, default=-1) + 1)]
-    fills = [0] * len(bins)
-    for item, k in enumerate(owner):
-        bins[k].append(item)
-        fills[k] += sizes[item]
-    return Packing(bins, fills)
+    owner = np.frombuffer(blob, dtype=np.int32)
+    order = np.argsort(owner, kind="stable")
+    ends = np.cumsum(np.bincount(owner)).tolist()
+    items, begins = order.tolist(), [0, *ends[:-1]]
+    until = [0, *accumulate(sizes[i] for i in items)]
+    return Packing([items[a:b] for a, b in zip(begins, ends)], [until[b] - until[a] for a, b in zip(begins, ends)])
 
 
 _STATE = "container_kind string, block long, island int, capacity int, keys array<string>, sizes array<int>, people array<binary>"
@@ -201,13 +278,16 @@ def _seed(*parts: object) -> random.Random:
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """One block: done by best fit, or one row for each of its islands with the first individual."""
+    """One block: done by best fit or tight filling, or one row for each of its islands with the first individuals."""
     rows = sorted(zip(table.column("key").to_pylist(), table.column("size").to_pylist()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
     kind, block, capacity = (table.column(c)[0].as_py() for c in ("container_kind", "block", "capacity"))
     keys, sizes = [r[0] for r in rows], [r[1] for r in rows]
-    first = best_fit_decreasing(sizes, capacity)
-    islands = [DONE] if len(first.bins) <= least_bins(sizes, capacity) else range(ISLANDS)
-    row = {"container_kind": kind, "block": block, "capacity": capacity, "keys": keys, "sizes": sizes, "people": [_to_bytes(first, len(sizes))]}
+    people, least = [best_fit_decreasing(sizes, capacity)], least_bins(sizes, capacity)
+    if len(people[0].bins) > least:
+        people.append(fill_tightly([], [], list(range(len(sizes))), sizes, capacity))
+    done = [p for p in people if len(p.bins) <= least]
+    islands = [DONE] if done else range(ISLANDS)
+    row = {"container_kind": kind, "block": block, "capacity": capacity, "keys": keys, "sizes": sizes, "people": [_to_bytes(p, len(sizes)) for p in done or people]}
     return pa.Table.from_pylist([row | {"island": island} for island in islands], schema=_STATE_TYPES)
 
 
@@ -219,10 +299,14 @@ def _state_rows(own: dict, people: list[Packing]) -> list[dict]:
 
 
 def evolve_island(own: dict, migrants: list[bytes], number: int) -> list[Packing]:
-    """One round of one island; its population is drawn in the first one."""
+    """One round of one island; its population is drawn in the first one. A packing at the bound ends the search."""
     sizes, capacity = own["sizes"], own["capacity"]
     rng = _seed(own["container_kind"], own["block"], own["island"], number)
-    people = [_from_bytes(p, sizes) for p in [*own["people"], *migrants]]
+    blobs, least = [*own["people"], *migrants], least_bins(sizes, capacity)
+    for blob in blobs:
+        if np.frombuffer(blob, dtype=np.int32).max(initial=-1) < least:
+            return [_from_bytes(blob, sizes)]
+    people = [_from_bytes(p, sizes) for p in blobs]
     if number == 0:
         people = first_population(sizes, capacity, rng, people)
     return evolve(people, sizes, capacity, max(CHILDREN, LEAST_WORK // max(1, len(sizes))), rng)[:POPULATION]

@@ -88,3 +88,35 @@ def test_islands_get_each_others_elite():
     perfect = K.best_fit([], [], sorted(range(len(sizes))), sizes, 10_000)
     people = K.evolve_island(own, [K._to_bytes(perfect, len(sizes))], 1)
     assert len(people[0].bins) == len(perfect.bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 100), max_size=120), st.integers(0, 60))
+def test_tight_filling_keeps_every_item_once_and_no_container_overflows(sizes, n_begun):
+    begun = K.best_fit([], [], list(range(min(n_begun, len(sizes)))), sizes, 100)
+    before = [list(b) for b in begun.bins]
+    p = K.fill_tightly(list(begun.bins), list(begun.fills), list(range(min(n_begun, len(sizes)), len(sizes))), sizes, 100)
+    assert sorted(i for b in p.bins for i in b) == list(range(len(sizes))) and all(p.bins)
+    assert all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(p.bins, p.fills))
+    assert begun.bins == before and all(set(b) <= set(c) for b, c in zip(before, p.bins))
+
+
+def test_tight_filling_takes_what_fills_a_container_exactly():
+    sizes = [60, 55, 40, 25, 20, 30, 0]
+    assert [sorted(b) for b in K.fill_tightly([], [], list(range(7)), sizes, 100).bins] == [[0, 2, 6], [1, 3, 4], [5]]
+    assert K.fill_tightly([[0]], [60], [3, 4, 4, 2], sizes, 100).bins[0] == [0, 2]
+
+
+def test_a_few_children_reach_the_bound_that_best_fit_misses():
+    for seed in (1, 3, 17, 22, 45, 48, 54, 57):
+        rng = random.Random(seed)
+        sizes = [max(1, int(rng.lognormvariate(5.6, 0.8)) % 512) for _ in range(1500)]
+        first = K.best_fit_decreasing(sizes, 512)
+        least = K.least_bins(sizes, 512)
+        assert len(first.bins) > least
+        own = {"sizes": sizes, "capacity": 512, "container_kind": "k", "block": seed, "island": 0, "people": [K._to_bytes(first, len(sizes))]}
+        people = K.evolve_island(own, [], 0)
+        people = K.evolve_island(own | {"people": [K._to_bytes(p, len(sizes)) for p in people]}, [], 1)
+        assert len(people[0].bins) == least
+        there = K.evolve_island(own | {"people": [K._to_bytes(p, len(sizes)) for p in people]}, [], 2)
+        assert len(there) == 1 and len(there[0].bins) == least
